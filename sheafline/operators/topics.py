@@ -1,0 +1,76 @@
+"""Topic segmentation: cut where the vocabulary changes (Hearst 1997)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from sheafline.functions.chunks import chunk_regex
+from sheafline.functions.text import words
+from sheafline.operators.rows import explode_rows
+
+
+def chunk_topics(df: DataFrame, key: str, text: str = "text", block: int = 3) -> DataFrame:
+    """(key, segment, sentences, chunk): runs of sentences about one topic.
+
+    Blocks of ``block`` sentences are compared with the next block by the
+    cosine of their word counts; a gap less similar than both its neighbours
+    ends a segment. A term counts once for the gap on each side of its block,
+    so the comparison is a grouping and not a join. Every step groups within a
+    text: after one exchange on the (unique) key nothing moves again, and the
+    sentences themselves stay in their row.
+    """
+    present = df.filter(F.col(key).isNotNull())
+    texts = present.select(key, chunk_regex(F.col(text)).alias("s")).repartition(key)
+    terms = explode_rows(texts, [key], F.col("s"), "pos", "sentence").select(
+        key,
+        F.floor(F.col("pos") / block).alias("blk"),
+        F.explode(words(F.lower("sentence"))).alias("term"),
+    )
+    sides = terms.select(
+        key,
+        "term",
+        F.explode(
+            F.array(
+                F.struct(F.col("blk").alias("gap"), F.lit(1).alias("l"), F.lit(0).alias("r")),
+                F.struct((F.col("blk") - 1).alias("gap"), F.lit(0).alias("l"), F.lit(1).alias("r")),
+            )
+        ).alias("s"),
+    ).select(key, "term", "s.*")
+    counts = sides.groupBy(key, "gap", "term").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    gaps = (
+        counts.groupBy(key, "gap")
+        .agg(
+            F.sum(F.col("l") * F.col("r")).alias("dot"),
+            F.sum(F.col("l") * F.col("l")).alias("ll"),
+            F.sum(F.col("r") * F.col("r")).alias("rr"),
+        )
+        .filter("ll > 0 and rr > 0")
+        .select(key, "gap", (F.col("dot") / F.sqrt(F.col("ll") * F.col("rr"))).alias("cos"))
+    )
+    w = W.partitionBy(key).orderBy("gap")
+    low = (
+        gaps.withColumn("before", F.lag("cos").over(w))
+        .withColumn("after", F.lead("cos").over(w))
+        .filter((F.col("cos") < F.col("before")) & (F.col("cos") < F.col("after")))
+    )
+    cuts = low.groupBy(key).agg(
+        F.array_sort(F.collect_list(((F.col("gap") + 1) * block).cast("int"))).alias("cuts")
+    )
+    starts = F.concat(
+        F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>"))
+    )
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("s")))
+    return (
+        texts.join(cuts, key, "left")
+        .withColumn("starts", starts)
+        .select(key, "s", F.arrays_zip("starts", ends.alias("ends")).alias("bounds"))
+        .select(key, "s", F.posexplode_outer("bounds").alias("segment", "b"))
+        .select(
+            key,
+            "segment",
+            (F.col("b.ends") - F.col("b.starts")).alias("sentences"),
+            F.array_join(
+                F.slice("s", F.col("b.starts") + 1, F.col("b.ends") - F.col("b.starts")), " "
+            ).alias("chunk"),
+        )
+    )
