@@ -76,7 +76,7 @@ def query_expand(
     if n <= 0:
         raise ValueError("n must be positive")
     first = facets.orderBy(*order).limit(n)
-    row = F.struct(*[F.col(c) for c in order], F.col("facet_type"), F.col("term"))
+    row = F.struct(*dict.fromkeys([*order, "facet_type", "term"]))
     packed = first.agg(F.array_sort(F.collect_list(row)).alias("f")).scalar()
     return topics.select("*", F.posexplode(packed).alias("pos", "facet")).select(
         *topics.columns,

@@ -154,9 +154,9 @@ run_audit AS (
 
 STEPS = """
 steps AS (
-  SELECT (o_orderkey - 1) // 8 || '-' || ((o_orderkey - 1) % 8 + 1) AS id,
-         'tool-' || o_custkey AS tool_name, (o_orderkey - 1) // 8 AS plan,
-         (o_orderkey - 1) % 8 + 1 AS line, o_orderstatus AS flag
+  SELECT o_orderkey // 8 || '-' || (o_orderkey % 8 + 1) AS id,
+         'tool-' || o_custkey AS tool_name, o_orderkey // 8 AS plan,
+         o_orderkey % 8 + 1 AS line, o_orderstatus AS flag
   FROM orders),
 edges AS (
   SELECT plan || '-' || (line // 2) AS src, id AS dst, line FROM steps WHERE line > 1

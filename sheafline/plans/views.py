@@ -155,8 +155,8 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     """Eight orders in a row make a plan: step n takes the output of step n/2,
     and of step n-1 when the order is finished; every 11th plan also names a
     step nobody declared."""
-    plan = F.floor((F.col("o_orderkey") - 1) / 8)
-    line = (F.col("o_orderkey") - 1) % 8 + 1
+    plan = F.floor(F.col("o_orderkey") / 8)
+    line = F.col("o_orderkey") % 8 + 1
 
     def step(n):
         return F.concat(plan, F.lit("-"), n)
