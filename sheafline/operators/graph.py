@@ -18,32 +18,34 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     storage. Nodes that never see all their inputs lie on or behind a cycle,
     which is an error.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
-    everyone = ends if nodes is None else ends.union(nodes.select("id"))
-    needs = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
-    start = cut(everyone.distinct().join(needs, "id", "left").na.fill(0, ["need"]))
-
-    levels = [start.filter("need = 0").select("id", F.lit(0).alias("level"))]
-    waiting = start.filter("need > 0")
-    total, placed = start.count(), levels[0].count()
-    seen = waiting.select("id", "need", F.lit(0).cast("bigint").alias("seen")).filter("false")
+    pairs = edges.select("src", "dst").distinct()
+    needs = pairs.groupBy("dst").agg(F.count("*").alias("need"))
+    edges = cut(pairs.join(needs, "dst"))
+    known = edges.select(F.col("src").alias("id"), F.lit(0).cast("bigint").alias("need"))
+    known = known.union(edges.select(F.col("dst"), "need"))
+    if nodes is not None:
+        known = known.union(nodes.select("id", F.lit(0).cast("bigint")))
+    everyone = cut(known.groupBy("id").agg(F.max("need").alias("need")))
+
+    total = everyone.count()
+    levels = [cut(everyone.filter("need = 0").select("id", F.lit(0).alias("level")))]
+    placed = levels[0].count()
+    waiting = None
     while placed < total:
         level = len(levels)
-        hits = (
+        seen = (
             edges.join(levels[-1].select(F.col("id").alias("src")), "src")
-            .groupBy(F.col("dst").alias("id"))
+            .groupBy(F.col("dst").alias("id"), "need")
             .agg(F.count("*").alias("seen"))
         )
-        touched = hits.join(waiting, "id").select("id", "need", "seen")
-        state = cut(
-            seen.unionByName(touched).groupBy("id", "need").agg(F.sum("seen").alias("seen"))
-        )
+        if waiting is not None:
+            seen = waiting.unionByName(seen).groupBy("id", "need").agg(F.sum("seen").alias("seen"))
+        state = cut(seen)
         ready = state.filter("seen = need").select("id", F.lit(level).alias("level"))
         found = ready.count()
         if found == 0:
             raise ValueError("The built graph is not a DAG.")
         levels.append(ready)
-        seen = state.filter("seen < need")
+        waiting = state.filter("seen < need")
         placed += found
     return reduce(DataFrame.unionByName, levels)

@@ -12,7 +12,7 @@ from sheafline.plans.registry import query
 
 
 def _chunks(spark, sf, chunks):
-    rows = web.chunk_rows(V.table(spark, sf, "documents"), chunks, ["doc_id"])
+    rows = web.chunk_rows(V.texts(spark, sf), chunks, ["doc_id"])
     return rows.withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
 
@@ -107,7 +107,7 @@ def chunk_sentences(spark, sf):
            string_agg(sentence, ' ' ORDER BY pos) AS chunk FROM seg GROUP BY doc_id, segment""",
 )
 def chunk_topics(spark, sf):
-    rows = topics.chunk_topics(V.table(spark, sf, "documents"), "doc_id")
+    rows = topics.chunk_topics(V.texts(spark, sf), "doc_id")
     return rows.withColumns(
         {c: F.col(c).cast("bigint") for c in ("segment", "sentences")}
     )

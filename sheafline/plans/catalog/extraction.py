@@ -11,7 +11,7 @@ from sheafline.plans.registry import query
 
 
 def _found(spark, sf):
-    return E.extract_labels(V.table(spark, sf, "documents"), V.LABEL_PATTERNS, ["doc_id"])
+    return E.extract_labels(V.texts(spark, sf), V.LABEL_PATTERNS, ["doc_id"])
 
 
 @query(
@@ -45,7 +45,7 @@ def extract_terms(spark, sf):
     )
     closing = b.select(F.lit("closing").alias("label"), F.element_at("w", -1).alias("value"))
     return E.extract_terms(
-        V.table(spark, sf, "documents"), opening.union(closing), ["doc_id"], max_words=2
+        V.texts(spark, sf), opening.union(closing), ["doc_id"], max_words=2
     ).select("doc_id", "extraction_class", "extraction_text")
 
 
@@ -137,5 +137,5 @@ def register_extractor(spark, sf):
             setup=_compile,
         )
     )
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.texts(spark, sf).select("doc_id", "text")
     return E.apply_extractor(docs, "capitals")

@@ -25,7 +25,7 @@ from sheafline.plans.registry import query
         CASE WHEN lang = 'en' THEN 'true' ELSE '' END AS english FROM documents""",
 )
 def normalize_text(spark, sf):
-    docs = V.table(spark, sf, "documents").select(
+    docs = V.texts(spark, sf).select(
         "doc_id",
         F.col("text").alias("norm"),
         (F.col("n_chars") % 2).alias("parity"),
@@ -38,7 +38,7 @@ def normalize_text(spark, sf):
 
 def _prompts(spark, sf):
     """Conversation turns as prompt lists: each sentence is one sub-prompt."""
-    return V.table(spark, sf, "conversations").select(
+    return V.texts(spark, sf, "conversations").select(
         "conv_id",
         "turn",
         F.transform(
@@ -78,7 +78,7 @@ def feature_names(spark, sf):
        FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def prompt_render(spark, sf):
-    docs = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id", "left")
+    docs = V.texts(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left")
     template = "In {{{lang}}} from {source}, quality {quality}: {text}"
     return docs.select("doc_id", X.prompt_render(template, docs.columns).alias("prompt"))
 
@@ -279,7 +279,7 @@ def failed_split(spark, sf):
        FROM documents""",
 )
 def content_sha256(spark, sf):
-    return V.table(spark, sf, "documents").select(
+    return V.texts(spark, sf).select(
         "doc_id",
         X.content_sha256("text").alias("text_hash"),
         X.content_sha256("source", "lang", "doc_id").alias("row_hash"),
@@ -292,7 +292,7 @@ def content_sha256(spark, sf):
                CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1""",
 )
 def dedupe_exact(spark, sf):
-    return content_groups(V.table(spark, sf, "documents"), "text", "doc_id")
+    return content_groups(V.texts(spark, sf), "text", "doc_id")
 
 
 @query(

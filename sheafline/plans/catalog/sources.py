@@ -63,7 +63,7 @@ def table_write(spark, sf):
        FROM documents""",
 )
 def json_export(spark, sf):
-    return S.to_json_rows(V.table(spark, sf, "documents"), "doc_id", "lang", "text")
+    return S.to_json_rows(V.texts(spark, sf), "doc_id", "lang", "text")
 
 
 @query(

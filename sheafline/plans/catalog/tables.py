@@ -168,7 +168,7 @@ _TARGET = [
 def target_assembly(spark, sf):
     from sheafline.operators.extraction import extract_labels
 
-    docs = V.table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = V.texts(spark, sf).select("source", "doc_id", "text")
     found = extract_labels(docs, V.LABEL_PATTERNS, ["source", "doc_id"])
     return T.target_assembly(
         found, _TARGET, ["source", "doc_id"], ["nth"], [F.col("doc_id").desc()]
@@ -255,6 +255,6 @@ _RECORD = [
 )
 def harvest_records(spark, sf):
     chunks = web.chunk_rows(
-        V.table(spark, sf, "documents"), chunk_fixed(F.col("text")), ["doc_id"]
+        V.texts(spark, sf), chunk_fixed(F.col("text")), ["doc_id"]
     )
     return harvest.harvest_records(chunks, V.LABEL_PATTERNS, _RECORD, ["doc_id"])

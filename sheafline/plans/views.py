@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sheafline.functions import urls as U
 from sheafline.operators import web
 from sheafline.operators.tables import Feature
-from sheafline.sources.tables import scan_pages
+from sheafline.sources.tables import scan_pages, spread
 
 AGENT = "harvestbot/1.0 (+https://harvest.example.org)"
 
@@ -21,8 +21,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose rows each take long to work on."""
+    return spread(table(spark, sf, name))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_pages(spark, f"{sf}/pages.parquet")
+    return spread(scan_pages(spark, f"{sf}/pages.parquet"))
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -428,7 +433,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 
     d = F.col("doc_id")
     blocks = web.chunk_rows(
-        table(spark, sf, "documents"), chunk_fixed(F.col("text"), 60), ["doc_id"]
+        texts(spark, sf), chunk_fixed(F.col("text"), 60), ["doc_id"]
     ).select("doc_id", "chunk_idx", "text", words(F.col("text")).alias("w"))
 
     def pair(label, value):

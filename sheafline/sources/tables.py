@@ -9,12 +9,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+SPREAD_LIMIT = 128 << 20
 SOURCE_TYPES = ("website", "api", "database", "local_file")
 _MODES = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
 # Formats found by the file facets, by extension.
 _FORMATS = {".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv", ".orc": "orc"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt out to all cores.
+
+    A file of one row group is read by one task, however long the work on each
+    text takes. Only a scan that fits one input partition (by default 128 MB)
+    is dealt out, so the exchange is bounded; anything larger has row groups
+    enough and is left alone.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size > SPREAD_LIMIT else df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages, at a declared schema so that nothing is inferred."""
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
