@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.functions import html as H
 from sheafline.functions import urls as U
-from sheafline.operators.ranking import dedupe_keep_first
+from sheafline.operators.ranking import dedupe_keep_first, first_n
 from sheafline.operators.rows import explode_rows
 
-# An origin with more rules than this is matched by prefix join, not by array.
-RULE_ARRAY_LIMIT = 1000
+# An origin's first rules travel as an array; those behind are met by a join.
+RULE_ARRAY_LIMIT = 500
 
 
 def _status_verdict(status: Column) -> Column:
@@ -25,34 +25,37 @@ def _status_verdict(status: Column) -> Column:
     )
 
 
-def applicable_rules(rules: DataFrame, agent: str) -> DataFrame:
-    """Rules that bind ``agent``: its own group if it has one, else ``*``.
+def _addressed_rules(rules: DataFrame, agent: str) -> DataFrame:
+    """Rules of the groups that name ``agent``, and of ``*``.
 
-    One row per (origin, path) with the earliest position, all a first-match
-    search can reach. An empty path that is not allowed means allow all.
+    An empty path that is not allowed means allow all.
     """
     token = F.lit(agent.split("/")[0].lower())
     name = F.lower(F.col("agent"))
-    named = F.col("agent") != "*"
-    mine = rules.filter(~named | token.contains(name)).select(
+    star = F.col("agent") == "*"
+    return rules.filter(star | token.contains(name)).select(
         "origin",
-        F.when(named, name).otherwise(F.lit("*")).alias("grp"),
+        star.alias("star"),
+        name.alias("grp"),
         F.col("position").cast("bigint").alias("position"),
         (F.col("allow") | (F.col("path") == "")).alias("allow"),
         U.percent_decode(F.col("path")).alias("path"),
     )
-    by_path = mine.groupBy("origin", "grp", "path").agg(
-        F.min(F.struct("position", "allow")).alias("m")
-    )
-    chosen = (
-        by_path.groupBy("origin", "grp")
-        .agg(F.min("m.position").alias("p"))
-        .groupBy("origin")
-        .agg(F.min(F.struct((F.col("grp") == "*").alias("star"), "p", "grp")).alias("c"))
-        .select("origin", F.col("c.grp").alias("grp"))
-    )
-    return by_path.join(chosen, ["origin", "grp"]).select(
-        "origin", "path", F.col("m.position").alias("position"), F.col("m.allow").alias("allow")
+
+
+def _rule_heads(addressed: DataFrame, limit: int) -> DataFrame:
+    """One row per origin: its group, the group's first rules in order, and
+    whether there are more than ``limit`` rows. The group is the first that
+    names the agent, else ``*``; the map side keeps limit + 1 rows an origin."""
+    head = first_n(addressed, ["origin"], [F.col("star"), F.col("position")], limit + 1)
+    row = F.struct("star", "position", "grp", "allow", "path")
+    folded = head.groupBy("origin").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    grp = F.element_at("r", 1)["grp"]
+    return folded.select(
+        "origin",
+        grp.alias("grp"),
+        F.filter("r", lambda r: r["grp"] == grp).alias("rules"),
+        (F.size("r") > limit).alias("more"),
     )
 
 
@@ -66,64 +69,67 @@ def robots_join(
     """Add ``allowed`` to ``urls`` (column ``url``) from its origin's rules.
 
     The first rule by position whose path starts the url's path decides; no
-    match allows. An origin's rules travel to its urls as one sorted array, so
-    a url stays one row; origins with more than ``array_limit`` rules go
-    through an equi-join on the prefixes that can occur, with the same answer.
+    match allows. An origin's first ``array_limit`` rules travel to its urls
+    as one sorted array, so a url stays one row, and a match among them is
+    final. Only urls that found none, at an origin that has more rules, go on
+    to an equi-join on the prefixes that can occur, which has no limit.
     The joins carry no hints: Catalyst broadcasts a side only when its size is
     known to be small, and AQE splits an origin that holds many urls.
     """
-    bound = applicable_rules(rules, agent)
-    sizes = bound.groupBy("origin").agg(F.count("*").alias("n"))
-    small = (
-        bound.join(sizes.filter(F.col("n") <= array_limit), "origin")
-        .groupBy("origin")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "allow", "path"))).alias("rules"))
-    )
-    many = sizes.filter(F.col("n") > array_limit).select("origin", F.lit(True).alias("many"))
+    addressed = _addressed_rules(rules, agent)
+    heads = _rule_heads(addressed, array_limit)
     policy = (
         status.groupBy("origin")
         .agg(F.max("status").alias("status"))
-        .join(small, "origin", "left")
-        .join(many, "origin", "left")
+        .join(heads.drop("grp"), "origin", "left")
         .select(
             F.col("origin").alias("_o"),
-            _status_verdict(F.col("status")).alias("verdict"),
-            F.col("rules"),
-            F.coalesce("many", F.lit(False)).alias("many"),
+            _status_verdict(F.col("status")).alias("_verdict"),
+            F.col("rules").alias("_rules"),
+            F.coalesce("more", F.lit(False)).alias("_more"),
         )
     )
     placed = urls.withColumn("_o", U.url_origin(F.col("url"))).withColumn(
         "_tail", U.percent_decode(U.url_tail(F.col("url")))
     )
-    joined = placed.join(policy, "_o", "left")
-    by_array = F.get(
-        F.filter(F.col("rules"), lambda r: F.startswith(F.col("_tail"), r["path"])), F.lit(0)
-    )["allow"]
-    needs_prefix = F.coalesce(F.col("many") & F.col("verdict").isNull(), F.lit(False))
-    direct = joined.filter(~needs_prefix).select(
-        *urls.columns, F.coalesce("verdict", by_array, F.lit(True)).alias("allowed")
+    first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_tail"), r["path"])), F.lit(0))
+    joined = placed.join(policy, "_o", "left").select(
+        *urls.columns,
+        "_o",
+        "_tail",
+        F.coalesce("_verdict", first["allow"]).alias("allowed"),
+        F.coalesce("_more", F.lit(False)).alias("_more"),
+    )
+    open_question = F.col("allowed").isNull() & F.col("_more")
+    settled = joined.filter(~open_question).select(
+        *urls.columns, F.coalesce("allowed", F.lit(True)).alias("allowed")
     )
 
-    crowded = joined.filter(needs_prefix)
-    big_rules = bound.join(many.select("origin"), "origin", "left_semi")
-    lengths = big_rules.groupBy("origin").agg(
+    asked = joined.filter(open_question).select(*urls.columns, "_o", "_tail")
+    crowded = heads.filter("more").select("origin", "grp")
+    rest = (
+        addressed.join(crowded, ["origin", "grp"])
+        .groupBy(F.col("origin").alias("_o"), "path")
+        .agg(F.min(F.struct("position", "allow")).alias("m"))
+    )
+    lengths = rest.groupBy("_o").agg(
         F.collect_set(F.length("path")).alias("lengths")  # bounded by the longest path
     )
     decided = (
-        crowded.select("_o", "_tail")
+        asked.select("_o", "_tail")
         .distinct()
-        .join(lengths.withColumnRenamed("origin", "_o"), "_o")
+        .join(lengths, "_o")
         .select("_o", "_tail", F.explode("lengths").alias("len"))
         .filter(F.col("len") <= F.length("_tail"))
         .select("_o", "_tail", F.substring("_tail", F.lit(1), F.col("len")).alias("path"))
-        .join(big_rules.withColumnRenamed("origin", "_o"), ["_o", "path"])
+        .join(rest, ["_o", "path"])
         .groupBy("_o", "_tail")
-        .agg(F.min(F.struct("position", "allow")).alias("m"))
+        .agg(F.min("m").alias("m"))
     )
-    by_prefix = crowded.join(decided, ["_o", "_tail"], "left").select(
+    answered = asked.join(decided, ["_o", "_tail"], "left").select(
         *urls.columns, F.coalesce("m.allow", F.lit(True)).alias("allowed")
     )
-    return direct.unionByName(by_prefix)
+    return settled.unionByName(answered)
 
 
 def robots_allowed(
