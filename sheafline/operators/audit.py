@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from sheafline.functions.times import utc_instant
+from sheafline.operators.sides import small_side
 
 STATUSES = ("queued", "running", "succeeded", "failed", "unknown")
 
@@ -26,39 +29,49 @@ def audit_rows(df: DataFrame) -> DataFrame:
 
 
 def audit_sink(df: DataFrame, path: str) -> None:
-    """Append audit rows, a folder per plan."""
-    audit_rows(df).write.mode("append").partitionBy("plan_id").parquet(path)
+    """Append audit rows, a folder per plan; AQE splits a plan with many rows
+    and packs those with few, so that files come out even."""
+    audit_rows(df).hint("rebalance", "plan_id").write.mode("append").partitionBy("plan_id").parquet(path)
+
+
+def _ticks(df: DataFrame, name: str) -> Column:
+    """A time column as a whole number that keeps its order."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.unix_micros(utc_instant(F.col(name)))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(name)
+    return F.col(name).cast("bigint")
 
 
 def run_status_counts(audit: DataFrame) -> DataFrame:
     """Nodes per status and run, a column per status."""
-    counts = (
-        audit.select("run_id", known_status(F.col("status")).alias("status"))
-        .groupBy("run_id")
-        .pivot("status", list(STATUSES))
-        .count()
-    )
-    return counts.na.fill(0, list(STATUSES))
+    status = known_status(F.col("status"))
+    return audit.groupBy("run_id").agg(*[F.count_if(status == s).alias(s) for s in STATUSES])
 
 
 def latest_status(audit: DataFrame) -> DataFrame:
     """Last status of each node of a run, and when it first started.
 
-    Folds on the map side: a node's whole history never meets in one task.
+    Time and status are packed into one number, so the fold is a plain hash
+    aggregation that starts on the map side. Of two statuses at the same time
+    the one later in ``STATUSES`` counts.
     """
-    last = F.max(F.struct("at", "status"))
+    names = F.array(*[F.lit(s) for s in STATUSES])
+    status = known_status(F.col("status"))
+    packed = _ticks(audit, "at") * 8 + F.array_position(names, status)
     return (
-        audit.select("run_id", "node_id", "at", known_status(F.col("status")).alias("status"))
-        .groupBy("run_id", "node_id")
+        audit.groupBy("run_id", "node_id")
         .agg(
-            last.alias("l"),
-            F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"),
+            F.max(packed).alias("_last"),
+            F.max("at").alias("at"),
+            F.min(F.when(status == "running", F.col("at"))).alias("started_at"),
         )
         .select(
             "run_id",
             "node_id",
-            F.col("l.status").alias("status"),
-            F.col("l.at").alias("at"),
+            F.element_at(names, F.pmod("_last", F.lit(8)).cast("int")).alias("status"),
+            "at",
             "started_at",
         )
     )
@@ -66,7 +79,8 @@ def latest_status(audit: DataFrame) -> DataFrame:
 
 def unknown_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
     """Steps whose tool is not registered."""
-    return steps.join(tools.select(F.col("name").alias("tool_name")), "tool_name", "left_anti")
+    names = tools.select(F.col("name").alias("tool_name")).distinct()
+    return steps.join(small_side(names), "tool_name", "left_anti")
 
 
 def known_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
@@ -74,7 +88,7 @@ def known_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
     summary = tools.select(
         F.col("name").alias("tool_name"), F.col("description").alias("tool_description")
     )
-    return steps.join(summary, "tool_name")
+    return steps.join(small_side(summary), "tool_name")
 
 
 def edge_table(steps: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sheafline.functions.text import words
 from sheafline.operators.rows import explode_rows
+from sheafline.operators.sides import small_side
 
 
 def to_extraction_struct(pairs: Column) -> Column:
@@ -61,7 +62,8 @@ def extract_terms(
     """Word sequences of the text listed in ``terms`` (``label``, ``value``).
 
     The value list can be of any size: it is met by an equi-join on the lower
-    cased word sequence, after repeats inside a text are folded.
+    cased word sequence, after repeats inside a text are folded, and is sent
+    to the texts only when it was measured to be small.
     """
     tokens = chunks.select(*keep, words(F.lower(text)).alias("w"))
 
@@ -81,7 +83,7 @@ def extract_terms(
     return (
         explode_rows(tokens, keep, seen, "_pos", "extraction_text")
         .drop("_pos")
-        .join(listed, "extraction_text")
+        .join(small_side(listed), "extraction_text")
     )
 
 

@@ -107,7 +107,7 @@ def coverage_rate(
 
 def missing_vs_index(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
     """Rows of the official index that were not harvested."""
-    return expected.join(got.select(key), key, "left_anti")
+    return expected.join(got.select(key).distinct(), key, "left_anti")
 
 
 def quality_scores(

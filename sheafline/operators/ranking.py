@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Spark trims each map partition to the first n rows per key before the
 # shuffle, for n up to spark.sql.optimizer.windowGroupLimitThreshold (1000).
-MAP_SIDE_LIMIT = 1000
+# What is left of a hot key is n rows per map task; from this n on, a salted
+# pass folds those first.
+SALT_FROM = 500
 SALTS = 64
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in ``order``.
 
-    Up to 1000 rows the map side already drops the rest. Beyond that the
-    same rule runs first on salted keys, which leaves n x 64 rows per key; the
-    salt cannot change the answer, only where the first pass runs.
+    The map side already drops most of a hot key. For larger ``n`` the same
+    rule runs first on salted keys, which leaves n x 64 rows per key; the salt
+    cannot change the answer, only where the first pass runs.
     """
-    if n > MAP_SIDE_LIMIT:
+    if n > SALT_FROM:
         salted = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", F.spark_partition_id() % SALTS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.functions.text import strip
+from sheafline.operators.sides import small_side
 
 FIELDS = (
     "time_start", "time_end", "area_value", "entity_type", "scope", "additional_details", "topic",
@@ -106,7 +107,7 @@ def requirement_filter(facts: DataFrame, req: DataFrame) -> DataFrame:
         F.col("time_end").cast("timestamp_ntz").alias("_to"),
     )
     return (
-        facts.join(spans, "area")
+        facts.join(small_side(spans), "area")
         .filter(F.col("ts").between(F.col("_from"), F.col("_to")))
         .drop("_from", "_to")
     )

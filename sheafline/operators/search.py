@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sheafline.functions.text import split_names
-from sheafline.operators.ranking import dedupe_keep_first, first_n
+from sheafline.operators.ranking import SALT_FROM, dedupe_keep_first, first_n
 
 # The provider names a request may list.
 PROVIDERS = ("searx", "brave", "exa", "tavily")
@@ -41,7 +41,7 @@ def first_nonempty_provider(results: DataFrame, k: int = 3) -> DataFrame:
     """
     order = W.partitionBy("query").orderBy("provider_order", "rank", "url")
     running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    if k > 1000:  # beyond the map-side limit: trim per provider first
+    if k > SALT_FROM:  # trim per provider first, where keys can be salted
         results = first_n(results, ["query", "provider_order"], [F.col("rank"), F.col("url")], k)
     return (
         results.withColumn("_rn", F.row_number().over(order))

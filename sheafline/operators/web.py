@@ -12,7 +12,7 @@ from sheafline.operators.ranking import dedupe_keep_first, first_n
 from sheafline.operators.rows import explode_rows
 
 # An origin's first rules travel as an array; those behind are met by a join.
-RULE_ARRAY_LIMIT = 500
+RULE_ARRAY_LIMIT = 400
 
 
 def _status_verdict(status: Column) -> Column:

@@ -93,6 +93,18 @@ def resume_join(spark, sf):
     return due.select("consumer", "topic", "id", "payload")
 
 
+@query(
+    "resume",
+    f"""WITH {Q.EVENT_LOG}, {Q.OFFSETS}
+        SELECT id, payload FROM event_log WHERE topic = 'error' AND id >
+          (SELECT last_id FROM consumer_offsets WHERE consumer = 'reader_error')""",
+)
+def resume(spark, sf):
+    return L.resume(
+        V.event_log(spark, sf), "reader_error", "error", V.consumer_offsets(spark, sf), page=None
+    )
+
+
 def _user_offsets(spark, sf):
     events = V.table(spark, sf, "events")
     name = F.concat(F.lit("c"), "user_id").alias("consumer")

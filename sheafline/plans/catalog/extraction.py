@@ -107,19 +107,6 @@ def pivot_records(spark, sf):
     return E.pivot_records(_found(spark, sf), list(V.LABEL_PATTERNS), "doc_id", ["nth"])
 
 
-def _count_capitals(batch, pattern):
-    """Runs in the tasks, on Arrow batches."""
-    return batch.assign(
-        capitals=batch["text"].str.count(pattern).astype("int64"),
-    )[["doc_id", "capitals"]]
-
-
-def _compile():
-    import re
-
-    return re.compile("[A-Z]")
-
-
 @query(
     "register_extractor",
     f"""SELECT doc_id, len(regexp_extract_all({Q.norm('text')} || ' ' || text, '[A-Z]')) AS capitals,
@@ -127,14 +114,24 @@ def _compile():
 )
 def register_extractor(spark, sf):
     """A user function between column hooks, with its state built per task."""
+
+    def build():
+        import re
+
+        return re.compile("[A-Z]")
+
+    def count_capitals(batch, pattern):
+        counts = batch["text"].str.count(pattern).astype("int64")
+        return batch.assign(capitals=counts)[["doc_id", "capitals"]]
+
     E.register_extractor(
         E.Extractor(
             name="capitals",
-            fn=_count_capitals,
+            fn=count_capitals,
             schema="doc_id bigint, capitals bigint",
             pre={"text": F.coalesce("text", F.lit(""))},
             post={"many": F.col("capitals") > 50},
-            setup=_compile,
+            setup=build,
         )
     )
     docs = V.texts(spark, sf).select("doc_id", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheafline.functions.times import utc_instant
 from sheafline.plans import fragments as Q
 from sheafline.plans.registry import query
 from sheafline.session import scratch_path
@@ -127,7 +128,7 @@ def daily_refresh(spark, sf):
     """Days that the watermark has closed; the last day stays open."""
     sink = scratch_path(spark, "daily")
     stream = _events(spark, sf).select(
-        E.utc_instant(F.col("ts")).alias("ts"), "event_type", "value"
+        utc_instant(F.col("ts")).alias("ts"), "event_type", "value"
     )
     days = E.daily_refresh(stream, "ts", ["event_type"], "value")
     _drain(

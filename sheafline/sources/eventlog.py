@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from sheafline.operators.sides import small_side
 from sheafline.session import cut
 
 LOG_SCHEMA = "id bigint, payload string, created_at timestamp, topic string"
@@ -65,7 +66,9 @@ def event_append(
     events = assign_ids(to_events(df, topic), order, last_id)
     created = F.col("created_at") if "created_at" in df.columns else F.current_timestamp()
     rows = events.select("id", "topic", "payload", created.cast("timestamp").alias("created_at"))
-    rows.write.mode("append").partitionBy("topic").parquet(path)
+    # many topics: AQE splits the large ones and packs the small ones into files
+    even = rows if topic is not None else rows.hint("rebalance", "topic")
+    even.write.mode("append").partitionBy("topic").parquet(path)
     return event_summary(rows)
 
 
@@ -73,7 +76,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
-def event_read(log: DataFrame, topic: str, since_id: int = 0, page: int | None = PAGE) -> DataFrame:
+def event_read(
+    log: DataFrame, topic: str, since_id: int | Column = 0, page: int | None = PAGE
+) -> DataFrame:
     """Events of a topic after ``since_id``, in id order, at most a page."""
     rows = log.filter((F.col("topic") == topic) & (F.col("id") > since_id)).select("id", "payload")
     return rows.orderBy("id") if page is None else page_limit(rows, page)
@@ -97,7 +102,18 @@ def resume_join(log: DataFrame, readers: DataFrame, offsets: DataFrame) -> DataF
     due = readers.join(offsets, "consumer", "left").select(
         "consumer", "topic", F.coalesce("last_id", F.lit(0)).alias("last_id")
     )
-    return log.join(due, "topic").filter(F.col("id") > F.col("last_id")).drop("last_id")
+    return (
+        log.join(small_side(due), "topic").filter(F.col("id") > F.col("last_id")).drop("last_id")
+    )
+
+
+def resume(
+    log: DataFrame, consumer: str, topic: str, offsets: DataFrame, page: int | None = PAGE
+) -> DataFrame:
+    """The same for one consumer, without a join: its offset is a scalar
+    subquery, whose value reaches the scan of the log."""
+    mine = offsets.filter(F.col("consumer") == consumer).agg(F.max("last_id").alias("m"))
+    return event_read(log, topic, F.coalesce(mine.scalar(), F.lit(0)), page)
 
 
 def ensure_offsets(offsets: DataFrame, consumers: DataFrame) -> DataFrame:

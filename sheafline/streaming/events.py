@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sheafline.functions.text import parse_json
+from sheafline.functions.times import utc_naive
 from sheafline.sources.eventlog import assign_ids, event_summary, to_events
 
 STREAM_SCHEMA = (
@@ -16,16 +17,6 @@ STREAM_SCHEMA = (
 HEAD_SCHEMA = "topic string, inserted bigint, last_event_id bigint, batch_id bigint"
 
 
-def utc_instant(naive: Column) -> Column:
-    """The instant a zone-less timestamp means in UTC (watermarks need one)."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp")
-
-
-def utc_naive(instant: Column) -> Column:
-    """The zone-less UTC timestamp of an instant."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-
-
 def file_stream(
     spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
@@ -59,20 +50,16 @@ def event_pipe(
             batch = transform(batch)
         last = 0
         if batch_id > 0:
-            row = (
-                spark.read.schema(HEAD_SCHEMA)
-                .parquet(heads)
-                .filter(F.col("batch_id") == batch_id - 1)
-                .agg(F.max("last_event_id").alias("m"))
-                .first()
-            )
+            before = spark.read.schema(HEAD_SCHEMA).parquet(f"{heads}/batch_id={batch_id - 1}")
+            row = before.agg(F.max("last_event_id").alias("m")).first()
             last = int(row["m"] or 0)
         created = F.col("created_at") if "created_at" in batch.columns else F.current_timestamp()
         events = assign_ids(to_events(batch, topic), order, last)  # materialised there
         if on_chunk is not None:
             on_chunk(events, batch_id)
         rows = events.select("id", "topic", "payload", created.alias("created_at"))
-        rows.write.mode("overwrite").partitionBy("topic").parquet(f"{log}/batch_id={batch_id}")
+        even = rows if topic is not None else rows.hint("rebalance", "topic")
+        even.write.mode("overwrite").partitionBy("topic").parquet(f"{log}/batch_id={batch_id}")
         head = event_summary(rows).unionByName(
             spark.range(1).select(  # carries the last id over an empty batch
                 F.lit(None).cast("string").alias("topic"),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.functions.times import utc_instant
 from sheafline.sources import eventlog as L
 from sheafline.streaming import events as E
 
@@ -102,7 +103,7 @@ def test_days_close_with_the_watermark(spark, paths):
     df = spark.createDataFrame(rows, "t string, kind string, v double")
     df.select(F.col("t").cast("timestamp_ntz").alias("t"), "kind", "v").write.parquet(paths["in"])
     stream = E.file_stream(spark, paths["in"], "t timestamp_ntz, kind string, v double")
-    days = E.daily_refresh(stream.select(E.utc_instant(F.col("t")).alias("t"), "kind", "v"), "t", ["kind"], "v")
+    days = E.daily_refresh(stream.select(utc_instant(F.col("t")).alias("t"), "kind", "v"), "t", ["kind"], "v")
     drain(
         days.writeStream.format("parquet").option("checkpointLocation", paths["state"])
         .trigger(availableNow=True).start(paths["sink"])
