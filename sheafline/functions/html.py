@@ -32,19 +32,27 @@ ENTITIES = {
     "&rarr;": "→", "&larr;": "←",
 }
 
-_BREAKS = r"(?i)</?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|pre)\b[^>]*>|</(?:h[1-6]|li|td|th)\s*>|<(?:br|hr|h[4-6])\b[^>]*>"
+# One leading '<' for all alternatives: most characters are passed over at once.
+_BREAKS = (
+    r"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|pre)\b[^>]*"
+    r"|/(?:h[1-6]|li|td|th)\s*|(?:br|hr|h[4-6])\b[^>]*)>"
+)
 _ATTRIBUTE = r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 
 
+def _opened(tags: Sequence[str]) -> str:
+    """An element of one of the tags, after its '<', up to its end."""
+    return rf"({'|'.join(tags)})\b[^>]*>(.*?)(?:</\1\s*>|\z)"
+
+
 def _element(tags: Sequence[str]) -> str:
-    return rf"<({'|'.join(tags)})\b[^>]*>(.*?)(?:</\1\s*>|\z)"
+    return "<" + _opened(tags)
 
 
 def without_scripts(html: Column) -> Column:
     """Markup without comments, scripts and styles."""
-    return F.regexp_replace(
-        html, rf"(?is)<!--.*?(?:-->|\z)|{_element(('script', 'style', 'noscript', 'template'))}", ""
-    )
+    hidden = _opened(("script", "style", "noscript", "template"))
+    return F.regexp_replace(html, rf"(?is)<(?:!--.*?(?:-->|\z)|{hidden})", "")
 
 
 def unescape(text: Column) -> Column:
@@ -78,14 +86,26 @@ def _selected(html: Column, keep: Sequence[str], drop: Sequence[str]) -> Column:
     return F.regexp_replace(F.array_join(inside, "<br>"), rf"(?is){_element(drop)}", "")
 
 
+def _mark_heading(markup: Column, level: int) -> Column:
+    opening = rf"(?i)<h{level}\b[^>]*>"
+    marked = "\n" + "#" * level + " "
+    return let(
+        markup,
+        lambda t: F.when(
+            t.contains(f"<h{level}") | t.contains(f"<H{level}"),
+            F.regexp_replace(t, opening, marked),
+        ).otherwise(t),
+    )
+
+
 def _to_blocks(markup: Column) -> Column:
     text = F.regexp_replace(markup, r"[ \t\r\n\f]+", " ")
     for level in (1, 2, 3):
-        text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+        text = _mark_heading(text, level)
     text = F.regexp_replace(text, _BREAKS, "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return unescape(F.regexp_replace(text, r"^[ \n]+|[ \n]+$", ""))
+    return unescape(F.btrim(text, F.lit(" \n")))
 
 
 def _to_flat(markup: Column) -> Column:

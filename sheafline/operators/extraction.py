@@ -24,8 +24,27 @@ def to_extraction_struct(pairs: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class LabelPattern:
+    """A label's regular expression, and a literal that every match contains:
+    texts without the literal are not searched."""
+
+    regex: str
+    needs: str | None = None
+
+
+def _matches(text: Column, pattern: str | LabelPattern) -> Column:
+    if isinstance(pattern, str):
+        pattern = LabelPattern(pattern)
+    found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+    return found if pattern.needs is None else F.when(text.contains(pattern.needs), found)
+
+
 def extract_labels(
-    chunks: DataFrame, patterns: Mapping[str, str], keep: Sequence[str], text: str = "text"
+    chunks: DataFrame,
+    patterns: Mapping[str, str | LabelPattern],
+    keep: Sequence[str],
+    text: str = "text",
 ) -> DataFrame:
     """Every match of each label's pattern: one row per match, with ``nth``
     counting a label's matches inside its text.
@@ -37,9 +56,9 @@ def extract_labels(
         *[
             F.struct(
                 F.lit(label).alias("extraction_class"),
-                F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(0)).alias("found"),
+                _matches(F.col(text), pattern).alias("found"),
             )
-            for label, rx in patterns.items()
+            for label, pattern in patterns.items()
         ]
     )
     labelled = chunks.select(*keep, text, F.explode(per_label).alias("e"))
@@ -68,15 +87,17 @@ def extract_terms(
     tokens = chunks.select(*keep, words(F.lower(text)).alias("w"))
 
     def grams(n: int) -> Column:
+        if n == 1:
+            return F.col("w")
         return F.when(
             F.size("w") >= n,
             F.transform(
-                F.sequence(F.lit(1), F.size("w") - (n - 1)),
-                lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "),
+                F.sequence(F.lit(0), F.size("w") - n),
+                lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)]),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    seen = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, max_words + 1)])))
+    seen = F.array_distinct(F.concat(*[grams(n) for n in range(1, max_words + 1)]))
     listed = terms.select(
         F.col("label").alias("extraction_class"), F.lower("value").alias("extraction_text")
     ).distinct()

@@ -77,7 +77,7 @@ def query_expand(
         raise ValueError("n must be positive")
     first = facets.orderBy(*order).limit(n)
     row = F.struct(*dict.fromkeys([*order, "facet_type", "term"]))
-    packed = first.agg(F.array_sort(F.collect_list(row)).alias("f")).scalar()
+    packed = first.agg(F.sort_array(F.collect_list(row)).alias("f")).scalar()
     return topics.select("*", F.posexplode(packed).alias("pos", "facet")).select(
         *topics.columns,
         F.col("pos"),

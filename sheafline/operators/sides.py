@@ -12,17 +12,13 @@ def small_side(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYT
     """``df`` with a broadcast hint if it was measured to be small.
 
     Catalyst guesses the size of a derived side from its inputs and often far
-    too high, which would shuffle the large side. This counts rows and bytes,
-    reading no more than ``max_rows`` + 1 rows. A larger side is returned as
-    it is, for a shuffled join that AQE can split where it is skewed.
+    too high, which would shuffle the large side. This counts its rows and
+    bytes, an aggregation that sends one row per task. A larger side is
+    returned as it is, for a shuffled join that AQE can split where skewed.
     """
-    measured = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count("*").alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
+    size = F.octet_length(F.to_json(F.struct("*")))
+    measured = df.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")
+    ).first()
     small = measured["n"] <= max_rows and measured["b"] <= max_bytes
     return F.broadcast(df) if small else df

@@ -2,75 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.functions.chunks import chunk_regex
-from sheafline.functions.text import words
+from sheafline.functions.text import let, words
 from sheafline.operators.rows import explode_rows
 
 
+def _square(sorted_words: Column) -> Column:
+    """Sum of squared word counts of a sorted word array: the nth of equal
+    words adds 2n - 1."""
+    start = F.struct(
+        F.lit("").alias("word"), F.lit(0).alias("nth"), F.lit(0).cast("bigint").alias("total")
+    )
+
+    def step(seen: Column, w: Column) -> Column:
+        nth = F.when(w == seen["word"], seen["nth"] + 1).otherwise(F.lit(1))
+        return F.struct(
+            w.alias("word"), nth.alias("nth"), (seen["total"] + 2 * nth - 1).alias("total")
+        )
+
+    return F.aggregate(sorted_words, start, step, lambda s: s["total"])
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Product of the word counts of two word arrays."""
+
+    def count(words: Column, w: Column) -> Column:
+        return F.size(words) - F.size(F.array_remove(words, w))
+
+    return F.aggregate(
+        F.array_intersect(a, b),
+        F.lit(0).cast("bigint"),
+        lambda n, w: n + count(a, w) * count(b, w),
+    )
+
+
+def _cuts(sentences: Column, block: int) -> Column:
+    """Sentence positions where a new segment starts, without the first."""
+
+    def blocks_of(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(block)),
+            lambda i: F.sort_array(
+                words(F.lower(F.array_join(F.slice(s, i + 1, F.lit(block)), " ")))
+            ),
+        )
+
+    def gaps_of(blocks: Column) -> Column:
+        weighed = F.transform(
+            blocks, lambda b: F.struct(b.alias("w"), _square(b).alias("norm"))
+        )
+
+        def between(b: Column) -> Column:
+            gaps = F.transform(
+                F.slice(b, 1, F.size(b) - 1),
+                lambda left, i: let(
+                    F.get(b, i + 1),
+                    lambda right: F.struct(
+                        i.alias("gap"),
+                        F.when(
+                            (left["norm"] > 0) & (right["norm"] > 0),
+                            _common(left["w"], right["w"])
+                            / F.sqrt(left["norm"] * right["norm"]),
+                        ).alias("cos"),
+                    ),
+                ),
+            )
+            return F.filter(gaps, lambda g: g["cos"].isNotNull())
+
+        return F.when(F.size(blocks) > 1, let(weighed, between))
+
+    def lows(g: Column) -> Column:
+        low = F.filter(
+            g,
+            lambda x, i: (x["cos"] < F.get(g, i - 1)["cos"]) & (x["cos"] < F.get(g, i + 1)["cos"]),
+        )
+        return F.transform(low, lambda x: (x["gap"] + 1) * block)
+
+    found = let(let(blocks_of(sentences), gaps_of), lows)
+    return F.coalesce(found, F.array().cast("array<int>"))
+
+
 def chunk_topics(df: DataFrame, key: str, text: str = "text", block: int = 3) -> DataFrame:
     """(key, segment, sentences, chunk): runs of sentences about one topic.
 
     Blocks of ``block`` sentences are compared with the next block by the
     cosine of their word counts; a gap less similar than both its neighbours
-    ends a segment. A term counts once for the gap on each side of its block,
-    so the comparison is a grouping and not a join. Every step groups within a
-    text: after one exchange on the (unique) key nothing moves again, and the
-    sentences themselves stay in their row.
+    starts a new segment. Only neighbouring blocks of one text are compared,
+    so all of it happens inside the text's row and nothing is shuffled.
     """
-    present = df.filter(F.col(key).isNotNull())
-    texts = present.select(key, chunk_regex(F.col(text)).alias("s")).repartition(key)
-    terms = explode_rows(texts, [key], F.col("s"), "pos", "sentence").select(
-        key,
-        F.floor(F.col("pos") / block).alias("blk"),
-        F.explode(words(F.lower("sentence"))).alias("term"),
-    )
-    sides = terms.select(
-        key,
-        "term",
-        F.explode(
-            F.array(
-                F.struct(F.col("blk").alias("gap"), F.lit(1).alias("l"), F.lit(0).alias("r")),
-                F.struct((F.col("blk") - 1).alias("gap"), F.lit(0).alias("l"), F.lit(1).alias("r")),
+
+    def segments(s: Column) -> Column:
+        def bounded(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda start, i: let(
+                    F.coalesce(F.get(starts, i + 1), F.size(s)) - start,
+                    lambda n: F.struct(
+                        n.alias("sentences"),
+                        F.array_join(F.slice(s, start + 1, n), " ").alias("chunk"),
+                    ),
+                ),
             )
-        ).alias("s"),
-    ).select(key, "term", "s.*")
-    counts = sides.groupBy(key, "gap", "term").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    gaps = (
-        counts.groupBy(key, "gap")
-        .agg(
-            F.sum(F.col("l") * F.col("r")).alias("dot"),
-            F.sum(F.col("l") * F.col("l")).alias("ll"),
-            F.sum(F.col("r") * F.col("r")).alias("rr"),
-        )
-        .filter("ll > 0 and rr > 0")
-        .select(key, "gap", (F.col("dot") / F.sqrt(F.col("ll") * F.col("rr"))).alias("cos"))
-    )
-    w = W.partitionBy(key).orderBy("gap")
-    low = (
-        gaps.withColumn("before", F.lag("cos").over(w))
-        .withColumn("after", F.lead("cos").over(w))
-        .filter((F.col("cos") < F.col("before")) & (F.col("cos") < F.col("after")))
-    )
-    cuts = low.groupBy(key).agg(
-        F.array_sort(F.collect_list(((F.col("gap") + 1) * block).cast("int"))).alias("cuts")
-    )
-    starts = F.concat(
-        F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>"))
-    )
-    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("s")))
-    return (
-        texts.join(cuts, key, "left")
-        .withColumn("starts", starts)
-        .select(key, "s", F.arrays_zip("starts", ends.alias("ends")).alias("bounds"))
-        .select(key, "s", F.posexplode_outer("bounds").alias("segment", "b"))
-        .select(
-            key,
-            "segment",
-            (F.col("b.ends") - F.col("b.starts")).alias("sentences"),
-            F.array_join(
-                F.slice("s", F.col("b.starts") + 1, F.col("b.ends") - F.col("b.starts")), " "
-            ).alias("chunk"),
-        )
+
+        return let(F.concat(F.array(F.lit(0)), _cuts(s, block)), bounded)
+
+    found = let(chunk_regex(F.col(text)), segments)
+    return explode_rows(df, [key], found, "segment", "c").select(
+        key, "segment", F.col("c.sentences").alias("sentences"), F.col("c.chunk").alias("chunk")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +10,7 @@ from sheafline.functions import html as H
 from sheafline.functions import urls as U
 from sheafline.operators.ranking import dedupe_keep_first, first_n
 from sheafline.operators.rows import explode_rows
+from sheafline.operators.sides import small_side
 
 # An origin's first rules travel as an array; those behind are met by a join.
 RULE_ARRAY_LIMIT = 400
@@ -49,7 +50,7 @@ def _rule_heads(addressed: DataFrame, limit: int) -> DataFrame:
     names the agent, else ``*``; the map side keeps limit + 1 rows an origin."""
     head = first_n(addressed, ["origin"], [F.col("star"), F.col("position")], limit + 1)
     row = F.struct("star", "position", "grp", "allow", "path")
-    folded = head.groupBy("origin").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    folded = head.groupBy("origin").agg(F.sort_array(F.collect_list(row)).alias("r"))
     grp = F.element_at("r", 1)["grp"]
     return folded.select(
         "origin",
@@ -139,13 +140,22 @@ def robots_allowed(
     return robots_join(urls, status, rules, agent, **options).filter("allowed").drop("allowed")
 
 
-def page_result_join(urls: DataFrame, results: DataFrame, order: str) -> DataFrame:
+def page_result_join(
+    urls: DataFrame,
+    results: DataFrame,
+    order: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Pair each requested url with its fetch result, by url.
 
     A url fetched more than once counts with its first result in ``order``,
-    so a repeated request never multiplies with repeated results.
+    so a repeated request never multiplies with repeated results. Results that
+    nobody asked for go first, before wide rows move; ``prepare`` then works
+    on each remaining result once, however many requests share it.
     """
-    return urls.join(dedupe_keep_first(results, "url", order), "url")
+    wanted = small_side(urls.select("url").distinct())
+    first = dedupe_keep_first(results.join(wanted, "url", "left_semi"), "url", order)
+    return urls.join(first if prepare is None else prepare(first), "url")
 
 
 def failed_split(results: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -49,16 +49,17 @@ def harvest_chunks(
     hits = search.first_nonempty_provider(results, k)
     chosen = search.top_k_urls(web.robots_join(hits, status, rules, agent), k)
     fetched = web.page_result_join(
-        chosen.select("query", "rank", "url"), pages.select("page_id", "url", "html"), "page_id"
-    )
-    return web.chunk_rows(
-        web.with_text(fetched), chunk(F.col("text")), ["query", "rank", "page_id", "url"]
+        chosen.select("query", "rank", "url"),
+        pages.select("page_id", "url", "html"),
+        "page_id",
+        web.with_text,
     )
+    return web.chunk_rows(fetched, chunk(F.col("text")), ["query", "rank", "page_id", "url"])
 
 
 def harvest_records(
     chunks: DataFrame,
-    patterns: Mapping[str, str],
+    patterns: Mapping[str, str | extraction.LabelPattern],
     features: Sequence[tables.Feature],
     key: Sequence[str],
 ) -> DataFrame:

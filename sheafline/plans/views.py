@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheafline.functions import urls as U
 from sheafline.operators import web
+from sheafline.operators.extraction import LabelPattern
 from sheafline.operators.tables import Feature
 from sheafline.sources.tables import scan_pages, spread
 
@@ -418,9 +419,9 @@ def feature_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 # Patterns whose matches occur in the documents.
 LABEL_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    "email": LabelPattern(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", needs="@"),
     "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
-    "phone": r"\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b",
+    "phone": LabelPattern(r"\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b", needs="-"),
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
 }
 
