@@ -8,17 +8,22 @@ MAX_ROWS = 500_000
 MAX_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes (as JSON), by an aggregation of one row per task."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
+
+
+def fits(size: tuple[int, int]) -> bool:
+    return size[0] <= MAX_ROWS and size[1] <= MAX_BYTES
+
+
+def small_side(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it was measured to be small.
 
     Catalyst guesses the size of a derived side from its inputs and often far
-    too high, which would shuffle the large side. This counts its rows and
-    bytes, an aggregation that sends one row per task. A larger side is
+    too high, which would shuffle the large side. A side that is larger is
     returned as it is, for a shuffled join that AQE can split where skewed.
     """
-    size = F.octet_length(F.to_json(F.struct("*")))
-    measured = df.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")
-    ).first()
-    small = measured["n"] <= max_rows and measured["b"] <= max_bytes
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if fits(measure(df)) else df

@@ -10,7 +10,7 @@ from sheafline.functions import html as H
 from sheafline.functions import urls as U
 from sheafline.operators.ranking import dedupe_keep_first, first_n
 from sheafline.operators.rows import explode_rows
-from sheafline.operators.sides import small_side
+from sheafline.operators.sides import fits, measure, small_side
 
 # An origin's first rules travel as an array; those behind are met by a join.
 RULE_ARRAY_LIMIT = 400
@@ -73,9 +73,9 @@ def robots_join(
     match allows. An origin's first ``array_limit`` rules travel to its urls
     as one sorted array, so a url stays one row, and a match among them is
     final. Only urls that found none, at an origin that has more rules, go on
-    to an equi-join on the prefixes that can occur, which has no limit.
-    The joins carry no hints: Catalyst broadcasts a side only when its size is
-    known to be small, and AQE splits an origin that holds many urls.
+    to an equi-join on the prefixes that can occur, which has no limit; that
+    part is left out when the rules show no such origin. AQE splits an origin
+    that holds many urls, as the other side has one row for it.
     """
     addressed = _addressed_rules(rules, agent)
     heads = _rule_heads(addressed, array_limit)
@@ -94,20 +94,32 @@ def robots_join(
         "_tail", U.percent_decode(U.url_tail(F.col("url")))
     )
     first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_tail"), r["path"])), F.lit(0))
-    joined = placed.join(policy, "_o", "left").select(
-        *urls.columns,
-        "_o",
-        "_tail",
-        F.coalesce("_verdict", first["allow"]).alias("allowed"),
-        F.coalesce("_more", F.lit(False)).alias("_more"),
-    )
+
+    def judged(some: DataFrame) -> DataFrame:
+        return some.join(policy, "_o", "left").select(
+            *urls.columns,
+            "_o",
+            "_tail",
+            F.coalesce("_verdict", first["allow"]).alias("allowed"),
+            F.coalesce("_more", F.lit(False)).alias("_more"),
+        )
+
     open_question = F.col("allowed").isNull() & F.col("_more")
-    settled = joined.filter(~open_question).select(
+    settled = judged(placed).filter(~open_question).select(
         *urls.columns, F.coalesce("allowed", F.lit(True)).alias("allowed")
     )
 
-    asked = joined.filter(open_question).select(*urls.columns, "_o", "_tail")
     crowded = heads.filter("more").select("origin", "grp")
+    size = measure(crowded)
+    if size[0] == 0:
+        return settled
+    at = crowded.select(F.col("origin").alias("_o"))
+    at = F.broadcast(at) if fits(size) else at
+    asked = (
+        judged(placed.join(at, "_o", "left_semi"))
+        .filter(open_question)
+        .select(*urls.columns, "_o", "_tail")
+    )
     rest = (
         addressed.join(crowded, ["origin", "grp"])
         .groupBy(F.col("origin").alias("_o"), "path")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sheafline.functions import urls as U
 from sheafline.functions.chunks import chunk_regex
 from sheafline.operators import extraction, search, tables, web
+from sheafline.session import cut
 
 
 def text_per_host(
@@ -45,11 +46,16 @@ def harvest_chunks(
 ) -> DataFrame:
     """Hits to chunks: the first provider with hits, robots, top k, stored
     pages, main text, chunks. A url asked for by several queries is cut once
-    per query, as each of them harvests it."""
+    per query, as each of them harvests it. The chosen urls, at most ``k`` per
+    query, are fixed before pages are read."""
     hits = search.first_nonempty_provider(results, k)
-    chosen = search.top_k_urls(web.robots_join(hits, status, rules, agent), k)
+    chosen = cut(
+        search.top_k_urls(web.robots_join(hits, status, rules, agent), k).select(
+            "query", "rank", "url"
+        )
+    )
     fetched = web.page_result_join(
-        chosen.select("query", "rank", "url"),
+        chosen,
         pages.select("page_id", "url", "html"),
         "page_id",
         web.with_text,
