@@ -6,6 +6,7 @@ name: an ``article`` nested in an ``article`` is cut there.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -57,7 +58,7 @@ def without_scripts(html: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references to characters, ``&amp;`` after all others."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folds to a literal
 
     def decode(ref: Column) -> Column:
         code = F.when(
