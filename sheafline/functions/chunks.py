@@ -88,11 +88,119 @@ def chunk_sentences(text: Column, lang: Column | None = None) -> Column:
     return F.transform(found, lambda s: F.array_join(s, " "))
 
 
+def _square(sorted_words: Column) -> Column:
+    """Sum of squared word counts of a sorted word array: the nth of equal
+    words adds 2n - 1."""
+    start = F.struct(
+        F.lit("").alias("word"), F.lit(0).alias("nth"), F.lit(0).cast("bigint").alias("total")
+    )
+
+    def step(seen: Column, w: Column) -> Column:
+        nth = F.when(w == seen["word"], seen["nth"] + 1).otherwise(F.lit(1))
+        return F.struct(
+            w.alias("word"), nth.alias("nth"), (seen["total"] + 2 * nth - 1).alias("total")
+        )
+
+    return F.aggregate(sorted_words, start, step, lambda s: s["total"])
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Product of the word counts of two word arrays."""
+
+    def count(words: Column, w: Column) -> Column:
+        return F.size(words) - F.size(F.array_remove(words, w))
+
+    return F.aggregate(
+        F.array_intersect(a, b),
+        F.lit(0).cast("bigint"),
+        lambda n, w: n + count(a, w) * count(b, w),
+    )
+
+
+def _cuts(sentences: Column, block: int) -> Column:
+    """Sentence positions where a new segment starts, without the first."""
+
+    def blocks_of(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(block)),
+            lambda i: F.sort_array(
+                words(F.lower(F.array_join(F.slice(s, i + 1, F.lit(block)), " ")))
+            ),
+        )
+
+    def gaps_of(blocks: Column) -> Column:
+        weighed = F.transform(
+            blocks, lambda b: F.struct(b.alias("w"), _square(b).alias("norm"))
+        )
+
+        def between(b: Column) -> Column:
+            gaps = F.transform(
+                F.slice(b, 1, F.size(b) - 1),
+                lambda left, i: let(
+                    F.get(b, i + 1),
+                    lambda right: F.struct(
+                        i.alias("gap"),
+                        F.when(
+                            (left["norm"] > 0) & (right["norm"] > 0),
+                            _common(left["w"], right["w"])
+                            / F.sqrt(left["norm"] * right["norm"]),
+                        ).alias("cos"),
+                    ),
+                ),
+            )
+            return F.filter(gaps, lambda g: g["cos"].isNotNull())
+
+        return F.when(F.size(blocks) > 1, let(weighed, between))
+
+    def lows(g: Column) -> Column:
+        low = F.filter(
+            g,
+            lambda x, i: (x["cos"] < F.get(g, i - 1)["cos"]) & (x["cos"] < F.get(g, i + 1)["cos"]),
+        )
+        return F.transform(low, lambda x: (x["gap"] + 1) * block)
+
+    found = let(let(blocks_of(sentences), gaps_of), lows)
+    return F.coalesce(found, F.array().cast("array<int>"))
+
+
+def topic_segments(text: Column, block: int = 3) -> Column:
+    """Runs of sentences about one topic, as {sentences, chunk} (Hearst 1997).
+
+    Blocks of ``block`` sentences are compared with the next block by the
+    cosine of their word counts; a gap less similar than both its neighbours
+    starts a new segment. Only neighbouring blocks of one text are compared,
+    so all of it happens inside the text's row and nothing is shuffled.
+    """
+
+    def segments(s: Column) -> Column:
+        def bounded(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda start, i: let(
+                    F.coalesce(F.get(starts, i + 1), F.size(s)) - start,
+                    lambda n: F.struct(
+                        n.alias("sentences"),
+                        F.array_join(F.slice(s, start + 1, n), " ").alias("chunk"),
+                    ),
+                ),
+            )
+
+        return let(F.concat(F.array(F.lit(0)), _cuts(s, block)), bounded)
+
+    return let(chunk_regex(text), segments)
+
+
+def chunk_topics(text: Column, block: int = 3) -> Column:
+    """The texts of ``topic_segments``."""
+    return F.transform(topic_segments(text, block), lambda c: c["chunk"])
+
+
 CHUNKERS = {
     "sliding": chunk_sliding,
     "fixed": chunk_fixed,
     "regex": chunk_regex,
     "nlp_sentence": chunk_sentences,
+    "topic_segmentation": chunk_topics,
     "overlapping_window": chunk_overlap,
     "token_window": chunk_token_window,
 }

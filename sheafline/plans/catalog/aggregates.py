@@ -140,18 +140,20 @@ def quality_scores(spark, sf):
 @query(
     "metric_by_period",
     f"""WITH {Q.PRICE_FACTS}
-        SELECT strftime(ts, '%Y-%m-%d') AS day, area, round(avg(price), 4) AS mean_price,
-               CAST(count(*) AS BIGINT) AS n FROM price_facts
+        SELECT strftime(ts, '%Y-%m-%d') AS day, area,
+               avg(CAST(round(price * 100) AS BIGINT)) AS mean_cents, CAST(count(*) AS BIGINT) AS n FROM price_facts
         WHERE ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1, 2""",
 )
 def metric_by_period(spark, sf):
-    """The request of the kind 'mean price per day in an area and time span'."""
+    """The request of the kind 'mean price per day in an area and time span'.
+    Whole cents keep the sum exact in any order."""
     kept = R.requirement_filter(V.price_facts(spark, sf), V.price_requests(spark, sf))
-    means = quality.metric_by_period(kept, "price")
+    cents = kept.withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
+    means = quality.metric_by_period(cents, "cents")
     return means.select(
         F.date_format("period", "yyyy-MM-dd").alias("day"),
         "area",
-        F.round("mean_value", 4).alias("mean_price"),
+        F.col("mean_value").alias("mean_cents"),
         "n",
     )
 

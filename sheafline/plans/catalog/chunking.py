@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.functions import chunks as C
-from sheafline.operators import topics, web
+from sheafline.operators import web
+from sheafline.operators.rows import explode_rows
 from sheafline.plans import fragments as Q
 from sheafline.plans import views as V
 from sheafline.plans.registry import query
@@ -107,7 +108,12 @@ def chunk_sentences(spark, sf):
            string_agg(sentence, ' ' ORDER BY pos) AS chunk FROM seg GROUP BY doc_id, segment""",
 )
 def chunk_topics(spark, sf):
-    rows = topics.chunk_topics(V.texts(spark, sf), "doc_id")
-    return rows.withColumns(
-        {c: F.col(c).cast("bigint") for c in ("segment", "sentences")}
+    rows = explode_rows(
+        V.texts(spark, sf), ["doc_id"], C.topic_segments(F.col("text")), "segment", "c"
+    )
+    return rows.select(
+        "doc_id",
+        F.col("segment").cast("bigint").alias("segment"),
+        F.col("c.sentences").cast("bigint").alias("sentences"),
+        F.col("c.chunk").alias("chunk"),
     )

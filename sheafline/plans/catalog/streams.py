@@ -118,7 +118,7 @@ def stream_resume(spark, sf):
 @query(
     "daily_refresh",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n,
-              round(avg(value), 6) AS mean_value
+              avg(CAST(round(value * 100) AS BIGINT)) AS mean_cents
        FROM events
        WHERE date_trunc('day', ts) + INTERVAL 1 DAY
              <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)
@@ -128,9 +128,11 @@ def daily_refresh(spark, sf):
     """Days that the watermark has closed; the last day stays open."""
     sink = scratch_path(spark, "daily")
     stream = _events(spark, sf).select(
-        utc_instant(F.col("ts")).alias("ts"), "event_type", "value"
+        utc_instant(F.col("ts")).alias("ts"),
+        "event_type",
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
-    days = E.daily_refresh(stream, "ts", ["event_type"], "value")
+    days = E.daily_refresh(stream, "ts", ["event_type"], "cents")
     _drain(
         days.writeStream.format("parquet")
         .outputMode("append")
@@ -142,5 +144,5 @@ def daily_refresh(spark, sf):
         F.date_format("day", "yyyy-MM-dd").alias("day"),
         "event_type",
         "n",
-        F.round("mean_value", 6).alias("mean_value"),
+        F.col("mean_value").alias("mean_cents"),
     )

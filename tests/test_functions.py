@@ -2,8 +2,11 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 import urllib.parse
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -216,3 +219,41 @@ def test_chunker_by_name():
         C.chunker("unheard")
     with pytest.raises(ValueError):
         C.chunk_overlap(None, 10, 10)
+
+
+def topics(text, block=3):
+    """The topic rule in plain Python."""
+    sentences = re.split(C.SENTENCE, text)
+    blocks = [
+        Counter(" ".join(sentences[i : i + block]).lower().split())
+        for i in range(0, len(sentences), block)
+    ]
+    gaps = []
+    for i, (a, b) in enumerate(zip(blocks, blocks[1:])):
+        if a and b:
+            norm = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+            gaps.append((sum(n * b[w] for w, n in a.items()) / norm, i))
+    starts = [0] + [
+        (g[1] + 1) * block
+        for before, g, after in zip(gaps, gaps[1:], gaps[2:])
+        if g[0] < before[0] and g[0] < after[0]
+    ]
+    return [" ".join(sentences[s:e]) for s, e in zip(starts, [*starts[1:], len(sentences)])]
+
+
+def test_topics_match_python(spark):
+    rng = random.Random(2)
+    vocabularies = ["cats purr mice mats softly".split(), "rockets burn fuel orbit engines".split()]
+    texts = ["one.", "", "  ", "A. b. c. d."]
+    for _ in range(60):
+        sentences = []
+        for _ in range(rng.randrange(1, 7)):
+            own = rng.choice(vocabularies)
+            for _ in range(rng.randrange(1, 9)):
+                picked = [rng.choice(own) for _ in range(rng.randrange(1, 6))]
+                sentences.append(" ".join(picked).capitalize() + ".")
+        texts.append(" ".join(sentences))
+    want = [topics(t) for t in texts]
+    assert values(spark, texts, C.chunk_topics(F.col("x"))) == want
+    assert max(len(w) for w in want) > 2
+    assert values(spark, texts, C.chunker("topic_segmentation")(F.col("x"))) == want

@@ -9,7 +9,6 @@ from sheafline.operators import audit, extraction as E, graph, quality, ranking,
 from sheafline.operators import requirements as R
 from sheafline.operators import tables as T
 from sheafline.operators.dedupe import dedupe_exact
-from sheafline.operators.topics import chunk_topics
 from sheafline.plans import views as V
 from sheafline.sources import eventlog as L
 from sheafline.sources import tables as S
@@ -415,7 +414,7 @@ def test_fill_column(spark, rows):
             T.fill_column(table, "v", wrong, ["id"]).collect()
 
 
-# ---- dedupe, topics, audit, graph
+# ---- dedupe, audit, graph
 
 
 def test_dedupe_of_a_hot_copy(spark, rows):
@@ -425,17 +424,6 @@ def test_dedupe_of_a_hot_copy(spark, rows):
     assert got == {-1} | {i for i in range(900) if i % 3}
 
 
-def test_topics_keep_all_sentences(spark):
-    first = "Cats purr softly. Cats chase small mice. Cats sleep on mats. " * 3
-    second = "Rockets burn liquid fuel. Rockets reach high orbit. Rockets need engines. " * 3
-    text = (first + second + first).strip()
-    df = spark.createDataFrame([(1, text), (2, "one."), (3, "")], "id int, text string")
-    got = chunk_topics(df, "id").orderBy("id", "segment").collect()
-    assert " ".join(r.chunk for r in got if r.id == 1) == text
-    assert sum(1 for r in got if r.id == 1) > 1
-    assert [(r.chunk, r.segment) for r in got if r.id > 1] == [("one.", 0), ("", 0)]
-
-
 def test_audit(spark):
     schema = "plan_id string, branch_id string, run_id string, node_id string, status string, error string, at int"
     df = spark.createDataFrame(
