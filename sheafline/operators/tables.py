@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from sheafline.operators.extraction import pivot_records
 from sheafline.operators.ranking import first_n
+from sheafline.operators.sides import fits, measure
 
 # Declared dtypes and their Spark types; any other is text.
 DTYPES = {
@@ -214,9 +215,25 @@ def insert_records(
 
 
 def upsert_by_pk(
-    table: DataFrame, rows: DataFrame, pk: Sequence[str], recency: Sequence[Column]
+    table: DataFrame,
+    rows: DataFrame,
+    pk: Sequence[str],
+    recency: Sequence[Column],
+    table_unique: bool = False,
 ) -> DataFrame:
-    """Table and rows together, one row per key: the first by ``recency``."""
+    """Table and rows together, one row per key: the first by ``recency``.
+
+    With ``table_unique`` the table is known to hold each (non-null) key once.
+    Then, if the keys that come in were measured to be few, only table rows
+    with one of them are ranked and all others pass by without a shuffle.
+    """
+    if table_unique:
+        keys = rows.select(*pk).distinct()
+        if fits(measure(keys)):
+            keys = F.broadcast(keys)
+            others = table.join(keys, list(pk), "left_anti").select(*table.columns)
+            met = table.join(keys, list(pk), "left_semi").select(*table.columns)
+            return others.unionByName(first_n(met.unionByName(rows), pk, recency, 1))
     return first_n(table.unionByName(rows), pk, recency, 1)
 
 

@@ -162,9 +162,9 @@ def metric_by_period(spark, sf):
     "answers_patch",
     f"""WITH {Q.REQUIREMENTS}
         SELECT req_id,
-          CASE WHEN req_id % 4 = 2 THEN 'answer ' || c_name ELSE time_start END AS time_start,
+          CASE WHEN req_id % 4 <> 0 THEN 'answer ' || c_name ELSE time_start END AS time_start,
           time_end,
-          CASE WHEN req_id % 4 = 2 THEN 'answer ' || c_name ELSE area_value END AS area_value
+          CASE WHEN req_id % 4 <> 0 THEN 'answer ' || c_name ELSE area_value END AS area_value
         FROM requirements JOIN customer ON req_id = c_custkey""",
 )
 def answers_patch(spark, sf):

@@ -106,27 +106,32 @@ def resume(spark, sf):
 
 
 def _user_offsets(spark, sf):
-    events = V.table(spark, sf, "events")
-    name = F.concat(F.lit("c"), "user_id").alias("consumer")
-    everyone = events.select(name).distinct()
-    stored = (
-        events.filter("user_id % 3 <> 0")
-        .groupBy(name)
-        .agg(F.max("event_id").alias("last_id"))
+    """Everyone; offsets of those whose last event was no error, at that event;
+    updates back to the first event of those who clicked or viewed last, or
+    have no offset."""
+    users = (
+        V.table(spark, sf, "events")
+        .groupBy(F.concat(F.lit("c"), "user_id").alias("consumer"))
+        .agg(
+            F.max_by("event_type", "event_id").alias("kind"),
+            F.max("event_id").alias("hi"),
+            F.min("event_id").alias("lo"),
+        )
     )
-    moved = (
-        events.filter("user_id % 2 = 0").groupBy(name).agg(F.min("event_id").alias("last_id"))
+    stored = users.filter("kind <> 'error'").select("consumer", F.col("hi").alias("last_id"))
+    moved = users.filter("kind in ('click', 'view', 'error')").select(
+        "consumer", F.col("lo").alias("last_id")
     )
-    return everyone, stored, moved
+    return users.select("consumer"), stored, moved
 
 
-_USERS = """u AS (SELECT 'c' || user_id AS consumer, user_id, max(event_id) AS hi,
-                         min(event_id) AS lo FROM events GROUP BY user_id)"""
+_USERS = """u AS (SELECT 'c' || user_id AS consumer, max(event_id) AS hi, min(event_id) AS lo,
+                    arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id)"""
 
 
 @query(
     "ensure_offsets",
-    f"WITH {_USERS} SELECT consumer, CASE WHEN user_id % 3 <> 0 THEN hi ELSE 0 END AS last_id FROM u",
+    f"WITH {_USERS} SELECT consumer, CASE WHEN kind <> 'error' THEN hi ELSE 0 END AS last_id FROM u",
 )
 def ensure_offsets(spark, sf):
     everyone, stored, _ = _user_offsets(spark, sf)
@@ -135,7 +140,7 @@ def ensure_offsets(spark, sf):
 
 @query(
     "get_offsets",
-    f"WITH {_USERS} SELECT consumer, CASE WHEN user_id % 3 <> 0 THEN hi ELSE 0 END AS last_id FROM u",
+    f"WITH {_USERS} SELECT consumer, CASE WHEN kind <> 'error' THEN hi ELSE 0 END AS last_id FROM u",
 )
 def get_offsets(spark, sf):
     everyone, stored, _ = _user_offsets(spark, sf)
@@ -144,8 +149,8 @@ def get_offsets(spark, sf):
 
 @query(
     "set_offsets",
-    f"""WITH {_USERS} SELECT consumer, CASE WHEN user_id % 2 = 0 THEN lo ELSE hi END AS last_id
-        FROM u WHERE user_id % 3 <> 0""",
+    f"""WITH {_USERS} SELECT consumer, CASE WHEN kind IN ('click', 'view') THEN lo ELSE hi END AS last_id
+        FROM u WHERE kind <> 'error'""",
 )
 def set_offsets(spark, sf):
     _, stored, moved = _user_offsets(spark, sf)

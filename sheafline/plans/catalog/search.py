@@ -50,22 +50,15 @@ def page_result_join(spark, sf):
     return web.page_result_join(urls, results, "result_id")
 
 
-_PAGES_HITS = "('x' || (page_id % 40)) AS query"
-
-
 @query(
     "union_providers",
-    """SELECT page_id, url, 'brave' AS provider FROM pages WHERE page_id % 2 = 0
-       UNION ALL SELECT page_id, url, 'searx' FROM pages WHERE page_id % 3 = 0""",
+    """SELECT page_id, url, 'brave' AS provider FROM pages
+       UNION ALL SELECT page_id, url, 'searx' FROM pages""",
 )
 def union_providers(spark, sf):
     hits = V.pages(spark, sf).select("page_id", "url")
-    brave = hits.filter("page_id % 2 = 0").withColumn("provider", F.lit("brave"))
-    searx = (
-        hits.filter("page_id % 3 = 0")
-        .withColumnRenamed("url", "link")
-        .withColumn("provider", F.lit("searx"))
-    )
+    brave = hits.withColumn("provider", F.lit("brave"))
+    searx = hits.withColumnRenamed("url", "link").withColumn("provider", F.lit("searx"))
     return search.union_providers([brave, searx]).select("page_id", "url", "provider")
 
 

@@ -108,8 +108,9 @@ def stream_resume(spark, sf):
     rows = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet").select(
         (F.col("event_id") + 1).alias("id"), F.col("event_type").alias("topic")
     )
-    for part in (0, 1):
-        rows.filter(F.col("id") % 2 == part).write.mode("append").parquet(landing)
+    early = F.col("topic").isin("click", "view")
+    for part in (rows.filter(early), rows.filter(~early)):
+        part.write.mode("append").parquet(landing)
         stream = E.file_stream(spark, landing, "id bigint, topic string")
         _drain(E.deliver(stream, sink, f"{sink}_state"))
     return spark.read.schema("id bigint, topic string").parquet(sink).select("id", "topic")

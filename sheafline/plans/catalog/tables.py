@@ -94,21 +94,21 @@ def pk_violations(spark, sf):
 @query(
     "insert_records",
     f"""WITH {Q.RAW_RECORDS}
-        SELECT {Q.TYPED}, CASE WHEN src_key % 2 = 1 THEN src_key END AS src_key
+        SELECT {Q.TYPED}, CASE WHEN state <> 'F' THEN src_key END AS src_key
         FROM clean_records""",
 )
 def insert_records(spark, sf):
-    """Even orders are the table; odd ones come in with an undeclared column."""
+    """Finished orders are the table; the others come in with an undeclared column."""
     clean = V.clean_records(spark, sf)
-    table = T.cast_records(clean.filter("src_key % 2 = 0"), V.ORDER_FEATURES)
-    return T.insert_records(table, clean.filter("src_key % 2 = 1"), V.ORDER_FEATURES)
+    table = T.cast_records(clean.filter("state = 'F'"), V.ORDER_FEATURES)
+    return T.insert_records(table, clean.filter("state <> 'F'"), V.ORDER_FEATURES)
 
 
 @query(
     "upsert_by_pk",
     f"""WITH {Q.RAW_RECORDS}, a AS (
-          SELECT order_id, cents, 1 AS version, src_key FROM clean_records WHERE src_key % 2 = 0
-          UNION ALL SELECT order_id, '7', 2, src_key FROM clean_records WHERE src_key % 3 = 0)
+          SELECT order_id, cents, 1 AS version, src_key FROM clean_records
+          UNION ALL SELECT order_id, '7', 2, src_key FROM clean_records WHERE state = 'F')
         SELECT order_id, cents, CAST(version AS BIGINT) AS version, src_key FROM (
           SELECT *, row_number() OVER (PARTITION BY order_id
                                        ORDER BY version DESC, src_key DESC) AS rn FROM a)
@@ -117,10 +117,8 @@ def insert_records(spark, sf):
 def upsert_by_pk(spark, sf):
     clean = V.clean_records(spark, sf)
     one, two = F.lit(1).cast("bigint"), F.lit(2).cast("bigint")
-    table = clean.filter("src_key % 2 = 0").select(
-        "order_id", "cents", one.alias("version"), "src_key"
-    )
-    rows = clean.filter("src_key % 3 = 0").select(
+    table = clean.select("order_id", "cents", one.alias("version"), "src_key")
+    rows = clean.filter("state = 'F'").select(
         "order_id", F.lit("7").alias("cents"), two.alias("version"), "src_key"
     )
     return T.upsert_by_pk(
@@ -128,6 +126,38 @@ def upsert_by_pk(spark, sf):
     )
 
 
+@query(
+    "upsert_few_rows",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'X' ELSE o_orderstatus END AS state,
+              CASE WHEN o_totalprice > 450000 THEN 2 ELSE 1 END AS version FROM orders
+       UNION ALL
+       SELECT -1 - o_orderkey, 'N', 2 FROM orders WHERE o_totalprice > 450000""",
+)
+def upsert_few_rows(spark, sf):
+    """A small batch into a table whose key is known to be unique: the dearest
+    orders get a newer version, stale rows lose, new orders are added."""
+    orders = V.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+
+    def versions(some, key, state, version):
+        return some.select(
+            key.alias("o_orderkey"), state.alias("state"), F.lit(version).alias("version")
+        )
+
+    table = versions(orders, key, F.col("o_orderstatus"), 1)
+    dear = orders.filter("o_totalprice > 450000")
+    newer = versions(dear, key, F.lit("X"), 2)
+    stale = versions(orders.filter("o_totalprice < 5000"), key, F.lit("old"), 0)
+    new = versions(dear, -1 - key, F.lit("N"), 2)
+    return T.upsert_by_pk(
+        table,
+        newer.union(stale).union(new),
+        ["o_orderkey"],
+        [F.col("version").desc()],
+        table_unique=True,
+    )
+
+
 @query(
     "fill_column",
     f"""WITH {Q.RAW_RECORDS}

@@ -232,7 +232,7 @@ raw_records AS (
   FROM orders),
 clean_records AS (
   SELECT * FROM raw_records
-  WHERE src_key % 97 <> 0 AND src_key % 89 <> 0 AND src_key % 101 <> 0)"""
+  WHERE order_id IS NOT NULL AND cents <> 'n/a' AND ordered <> 'soon')"""
 
 TYPED = (
     "CAST(order_id AS BIGINT) AS order_id, CAST(cents AS DOUBLE) AS cents, "

@@ -544,3 +544,44 @@ def test_small_scans_are_dealt_out(spark, sf):
     assert S.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     big = spark.range(1 << 25).selectExpr("id", "id as a")
     assert "Repartition" not in S.spread(big)._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ---- measured sides
+
+
+def test_sides_are_measured(spark, monkeypatch):
+    from sheafline.operators import sides
+
+    df = spark.createDataFrame([("é" * 10,)] * 5, "v string")
+    assert sides.measure(df) == (5, 5 * len('{"v":""}') + 100)
+    assert sides.measure(spark.range(0)) == (0, 0)
+    assert "broadcast" in sides.small_side(df)._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(sides, "MAX_ROWS", 4)
+    assert "broadcast" not in sides.small_side(df)._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(sides, "MAX_ROWS", 10)
+    monkeypatch.setattr(sides, "MAX_BYTES", 50)
+    assert not sides.fits(sides.measure(df))
+
+
+@pytest.mark.parametrize("max_rows", [500_000, 3])
+def test_upsert_paths_agree(spark, monkeypatch, max_rows):
+    from sheafline.operators import sides
+
+    monkeypatch.setattr(sides, "MAX_ROWS", max_rows)
+    rng = random.Random(9)
+    table = spark.createDataFrame([(i, rng.randrange(5), "t") for i in range(300)], "k int, t int, v string")
+    rows = spark.createDataFrame(
+        [(rng.choice([7, rng.randrange(400)]), rng.randrange(9), f"r{i}") for i in range(200)], table.schema
+    )
+    order = [F.col("t").desc(), F.col("v")]
+    full = T.upsert_by_pk(table, rows, ["k"], order).collect()
+    fast = T.upsert_by_pk(table, rows, ["k"], order, table_unique=True).collect()
+    assert sorted(map(tuple, full)) == sorted(map(tuple, fast))
+    assert len({r.k for r in full}) == len(full)
+
+
+def test_first_n_with_many_partitions_and_large_n(spark):
+    rows = [("hot", i * 7919 % 9000) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, r int").repartition(70)
+    got = ranking.first_n(df, ["k"], [F.col("r")], 700)
+    assert sorted(r.r for r in got.collect()) == list(range(700))
