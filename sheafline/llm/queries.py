@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheafline.llm import bktree, bpe, dedup, packing
+from sheafline.llm import (
+    bktree,
+    bpe,
+    cascade,
+    crf,
+    dedup,
+    masked_lm,
+    packing,
+    pii,
+    pu,
+    spans,
+)
 from sheafline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,13 +49,53 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(documents(spark, sf_dir))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return masked_lm.score(docs, *masked_lm.train(docs))
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeated(documents(spark, sf_dir)).drop("row_key")
+
+
+def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.rule_report(documents(spark, sf_dir))
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pu.score(docs, pu.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return crf.predict(docs, crf.fit(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", bktree.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pack, op2_exact_dedup, op3_bpe, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_pack,
+        op2_exact_dedup,
+        op3_bpe,
+        op4_masked_lm,
+        op5_sentence_spans,
+        op6_rule_cascade,
+        op7_pu_quality,
+        op8_personal_data,
+        op9_language_crf,
+        op10_simhash,
+    )
 }
 
+#: The other queries are tested against brute force, an exact round trip or held-out labels.
 CHECKS: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
