@@ -36,6 +36,7 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cpus,
+        spark__sheafline__scanTasks=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, words
+from .text import WS, let, words
 
 # Fixed value: the configured sentence pattern. Splits on blanks after . ? !
 # but not after initials (A.B.) or two-letter titles (Mr.).
 SENTENCE = r"(?<![A-Z]\.[A-Z]\.)(?<![A-Z][a-z]\.)(?<=[.?!])\s+"
 
 
+def unicode_blanks(pattern: str) -> str:
+    r"""The pattern with \s and \S over all blanks; the JVM's own know ASCII only."""
+
+    def meant(m: re.Match) -> str:
+        return {r"\s": WS, r"\S": "[^" + WS[1:]}.get(m[0], m[0])
+
+    return re.sub(r"\\.", meant, pattern, flags=re.DOTALL)
+
+
 def chunk_regex(text: Column, patterns: Sequence[str] = (SENTENCE,)) -> Column:
     """Apply each pattern in turn to every piece."""
+    patterns = [unicode_blanks(p) for p in patterns]
 
     def split_each(pieces: Column, pattern: str) -> Column:
         return F.flatten(F.transform(pieces, lambda p: F.split(p, pattern)))
@@ -82,10 +93,34 @@ def chunk_token_window(text: Column, threshold: int = 2000, overlap_rate: float
     return chunk_overlap(text, threshold, math.floor(threshold * overlap_rate))
 
 
+#: Words whose full stop does not end a sentence, by language.
+ABBREVIATIONS = {
+    "en": ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "no"),
+    "de": ("dr", "prof", "nr", "bzw", "usw", "ca", "vgl", "str"),
+    "fr": ("m", "mm", "mme", "dr", "etc", "av"),
+    "es": ("sr", "sra", "dr", "dra", "etc", "av"),
+}
+
+def _sentence_pattern(short: Sequence[str]) -> str:
+    """Blanks behind a sentence end that is not a short word's full stop."""
+    words_ = "".join(rf"(?<!(?i:(?<![\p{{L}}]){w}\.))" for w in short)
+    return rf"(?<=[.!?\u2026\u3002\uFF01\uFF1F][\"'\u201D\u2019\u00BB)\]]{{0,3}}){words_}{WS}+"
+
+
 def chunk_sentences(text: Column, lang: Column | None = None) -> Column:
-    """Language-aware sentences. Punctuation is lost; ``chunk_regex`` keeps it."""
-    found = F.sentences(text, lang) if lang is not None else F.sentences(text)
-    return F.transform(found, lambda s: F.array_join(s, " "))
+    """Sentences with their punctuation, split at the blanks behind . ! ? … and their
+    full-width forms, with closing quotes and brackets.
+
+    A full stop behind one of the language's ``ABBREVIATIONS`` does not count; without a
+    language, or with one that has no list, those of none do.
+    """
+    plain = _sentence_pattern(())
+    if lang is None:
+        return F.split(text, plain)
+    out = F.split(text, plain)
+    for name, short in ABBREVIATIONS.items():
+        out = F.when(lang == name, F.split(text, _sentence_pattern(short))).otherwise(out)
+    return out
 
 
 def _square(sorted_words: Column) -> Column:
@@ -105,17 +140,30 @@ def _square(sorted_words: Column) -> Column:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """Product of the word counts of two word arrays."""
+    """Product of the word counts of two word arrays, summed over the words: one walk
+    over both, sorted together."""
 
-    def count(words: Column, w: Column) -> Column:
-        return F.size(words) - F.size(F.array_remove(words, w))
+    def tagged(words: Column, side: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
 
-    return F.aggregate(
-        F.array_intersect(a, b),
-        F.lit(0).cast("bigint"),
-        lambda n, w: n + count(a, w) * count(b, w),
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(
+        F.lit("").alias("w"), zero.alias("a"), zero.alias("b"), zero.alias("total")
     )
 
+    def step(seen: Column, x: Column) -> Column:
+        same = x["w"] == seen["w"]
+        left = F.when(same, seen["a"]).otherwise(zero) + F.when(x["side"] == 0, 1).otherwise(0)
+        right = F.when(same, seen["b"]).otherwise(zero) + F.when(x["side"] == 1, 1).otherwise(0)
+        # all of a word's left ones come first, so each right one meets every left one
+        met = F.when(x["side"] == 1, F.when(same, seen["a"]).otherwise(zero)).otherwise(zero)
+        return F.struct(
+            x["w"].alias("w"), left.alias("a"), right.alias("b"), (seen["total"] + met).alias("total")
+        )
+
+    both = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    return F.aggregate(both, start, step, lambda s: s["total"])
+
 
 def _cuts(sentences: Column, block: int) -> Column:
     """Sentence positions where a new segment starts, without the first."""
@@ -195,6 +243,7 @@ def chunk_topics(text: Column, block: int = 3) -> Column:
     return F.transform(topic_segments(text, block), lambda c: c["chunk"])
 
 
+# The configured names of the strategies.
 CHUNKERS = {
     "sliding": chunk_sliding,
     "fixed": chunk_fixed,
@@ -209,5 +258,5 @@ CHUNKERS = {
 def chunker(strategy: str = "sliding", **params) -> Callable[[Column], Column]:
     """A chunking strategy by its configured name."""
     if strategy not in CHUNKERS:
-        raise ValueError(f"Invalid chunking strategy: {strategy}. Available: {sorted(CHUNKERS)}")
+        raise ValueError(f"no chunking strategy is called {strategy!r}; there are {sorted(CHUNKERS)}")
     return lambda text: CHUNKERS[strategy](text, **params)

@@ -1,13 +1,16 @@
 """Main-content selection on stored HTML, with built-in expressions only.
 
-There is no parse tree, so an element ends at the first closing tag of its
-name: an ``article`` nested in an ``article`` is cut there.
+Elements are matched by depth: the tags of one kind are listed in page order and
+folded with a counter, so an ``article`` inside an ``article`` does not end it. A tag
+name ends at a blank, a slash or the bracket, so ``nav-item`` is not ``nav``, and a quoted
+attribute may hold ``>``. An element without an end reaches to the end of the page.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -16,38 +19,24 @@ from .text import let
 KEEP = ("article", "main")
 DROP = ("nav", "footer", "form", "aside")
 
-# Named character references of HTML and what they stand for.
-ENTITIES = {
-    "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ",
-    "&iexcl;": "¡", "&cent;": "¢", "&pound;": "£", "&yen;": "¥", "&sect;": "§",
-    "&copy;": "©", "&laquo;": "«", "&raquo;": "»", "&reg;": "®", "&deg;": "°",
-    "&plusmn;": "±", "&micro;": "µ", "&para;": "¶", "&middot;": "·",
-    "&frac12;": "½", "&iquest;": "¿", "&times;": "×", "&divide;": "÷",
-    "&agrave;": "à", "&aacute;": "á", "&acirc;": "â", "&atilde;": "ã", "&auml;": "ä",
-    "&ccedil;": "ç", "&egrave;": "è", "&eacute;": "é", "&ecirc;": "ê", "&euml;": "ë",
-    "&igrave;": "ì", "&iacute;": "í", "&icirc;": "î", "&iuml;": "ï", "&ntilde;": "ñ",
-    "&ograve;": "ò", "&oacute;": "ó", "&ocirc;": "ô", "&otilde;": "õ", "&ouml;": "ö",
-    "&ugrave;": "ù", "&uacute;": "ú", "&ucirc;": "û", "&uuml;": "ü", "&szlig;": "ß",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&bull;": "•", "&hellip;": "…", "&euro;": "€", "&trade;": "™",
-    "&rarr;": "→", "&larr;": "←",
-}
+# Every named reference that ends in a semicolon, from Python's own table.
+ENTITIES = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
 
 # One leading '<' for all alternatives: most characters are passed over at once.
+_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>"  # of a tag, behind its name
+_END = r"(?=[\s/>])"  # a tag name ends here
 _BREAKS = (
-    r"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|pre)\b[^>]*"
-    r"|/(?:h[1-6]|li|td|th)\s*|(?:br|hr|h[4-6])\b[^>]*)>"
+    rf"(?i)<(?:/?(?:p|div|section|article|main|ul|ol|table|tr|blockquote|pre){_END}"
+    rf"|/(?:h[1-6]|li|td|th){_END}|(?:br|hr|h[4-6]){_END}){_REST}"
 )
+_TAG = rf"<(?=[A-Za-z/!?]){_REST}"
 _ATTRIBUTE = r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 
 
 def _opened(tags: Sequence[str]) -> str:
-    """An element of one of the tags, after its '<', up to its end."""
-    return rf"({'|'.join(tags)})\b[^>]*>(.*?)(?:</\1\s*>|\z)"
-
-
-def _element(tags: Sequence[str]) -> str:
-    return "<" + _opened(tags)
+    """An element of one of the tags, after its '<', up to the first end of its name: for
+    elements whose content is not markup."""
+    return rf"({'|'.join(tags)}){_END}{_REST}(.*?)(?:</\1\s*>|\z)"
 
 
 def without_scripts(html: Column) -> Column:
@@ -56,9 +45,52 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, rf"(?is)<(?:!--.*?(?:-->|\z)|{hidden})", "")
 
 
+def _split_by_depth(markup: Column, tags: Sequence[str], inside: bool) -> Column:
+    """What lies inside the outermost elements of ``tags`` (their contents, joined by
+    ``<br>``), or all that lies outside of them.
+
+    The pieces between these tags and the tags themselves are walked once. An end
+    without a start counts for nothing. Any of the tags opens and closes a level: where
+    ``main`` holds ``article``, ``main`` is the outer one.
+    """
+    pattern = rf"(?i)</?(?:{'|'.join(tags)}){_END}{_REST}"
+
+    def walk(found: Column) -> Column:
+        pieces = F.split(markup, pattern, -1)
+        start = F.struct(F.lit(0).alias("depth"), F.array(F.get(pieces, F.lit(0))).alias("out"))
+        if inside:
+            start = F.struct(
+                F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")
+            )
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.get(found, i).startswith("</")
+            depth = acc["depth"]
+            now = F.when(ends, F.greatest(depth - 1, F.lit(0))).otherwise(depth + 1)
+            piece = F.get(pieces, i + 1)
+            # inner tags stay as breaks between what they part
+            kept = F.when(now > 0 if inside else now == 0, piece)
+            lead = F.lit("<br>") if inside else F.lit("")
+            return F.struct(
+                now.alias("depth"),
+                F.when(kept.isNotNull(), F.concat(acc["out"], F.array(F.concat(lead, kept))))
+                .otherwise(acc["out"])
+                .alias("out"),
+            )
+
+        folded = F.aggregate(
+            F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"]
+        )
+        nothing = F.lit("") if inside else markup
+        return F.when(F.size(found) > 0, F.array_join(folded, "")).otherwise(nothing)
+
+    return let(F.regexp_extract_all(markup, F.lit(pattern), F.lit(0)), walk)
+
+
 def unescape(text: Column) -> Column:
-    """Character references to characters, ``&amp;`` after all others."""
+    """Character references to characters, each decoded once where it stands."""
     names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folds to a literal
+    reference = r"&(?:[A-Za-z][A-Za-z0-9]*|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"
 
     def decode(ref: Column) -> Column:
         code = F.when(
@@ -70,25 +102,25 @@ def unescape(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.coalesce(F.when(valid, char), F.try_element_at(names, ref), ref)
 
-    refs = F.array_distinct(
-        F.regexp_extract_all(
-            text, F.lit(r"&(?:[A-Za-z][A-Za-z0-9]*|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"), F.lit(0)
+    def whole(refs: Column) -> Column:
+        pieces = F.split(text, reference, -1)
+        parts = F.transform(
+            pieces, lambda p, i: F.concat(p, F.coalesce(decode(F.get(refs, i)), F.lit("")))
         )
-    )
-    refs = F.filter(refs, lambda r: r != "&amp;")
-    decoded = F.aggregate(refs, text, lambda acc, r: F.replace(acc, r, decode(r)))
-    return F.when(
-        text.contains("&"), F.replace(decoded, F.lit("&amp;"), F.lit("&"))
-    ).otherwise(text)
+        return F.array_join(parts, "")
 
+    decoded = let(F.regexp_extract_all(text, F.lit(reference), F.lit(0)), whole)
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
-def _selected(html: Column, keep: Sequence[str], drop: Sequence[str]) -> Column:
-    inside = F.regexp_extract_all(without_scripts(html), F.lit(rf"(?is){_element(keep)}"), F.lit(2))
-    return F.regexp_replace(F.array_join(inside, "<br>"), rf"(?is){_element(drop)}", "")
+
+def _selected(clean: Column, keep: Sequence[str], drop: Sequence[str]) -> Column:
+    return let(
+        _split_by_depth(clean, keep, True), lambda inside: _split_by_depth(inside, drop, False)
+    )
 
 
 def _mark_heading(markup: Column, level: int) -> Column:
-    opening = rf"(?i)<h{level}\b[^>]*>"
+    opening = rf"(?i)<h{level}{_END}{_REST}"
     marked = "\n" + "#" * level + " "
     return let(
         markup,
@@ -104,30 +136,44 @@ def _to_blocks(markup: Column) -> Column:
     for level in (1, 2, 3):
         text = _mark_heading(text, level)
     text = F.regexp_replace(text, _BREAKS, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.regexp_replace(text, _TAG, "")
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return unescape(F.btrim(text, F.lit(" \n")))
 
 
 def _to_flat(markup: Column) -> Column:
-    text = F.regexp_replace(markup, rf"{_BREAKS}|(?i:<h[1-3]\b[^>]*>)", " ")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.regexp_replace(markup, rf"{_BREAKS}|(?i:<h[1-3]{_END}{_REST})", " ")
+    text = F.regexp_replace(text, _TAG, "")
     return unescape(F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " ")))
 
 
+_RENDER = {}
+
+
 def main_content(
     html: Column, form: str = "blocks", keep: Sequence[str] = KEEP, drop: Sequence[str] = DROP
 ) -> Column:
     """Text of the kept elements: a line per paragraph with ``#`` headings
     (``blocks``), or one line (``flat``). '' when nothing is kept."""
-    render = {"blocks": _to_blocks, "flat": _to_flat}[form]
-    return render(_selected(html, keep, drop))
+    return let(without_scripts(html), lambda clean: _main(clean, form, keep, drop))
+
+
+def _main(
+    clean: Column, form: str, keep: Sequence[str] = KEEP, drop: Sequence[str] = DROP
+) -> Column:
+    return _RENDER[form](_selected(clean, keep, drop))
 
 
 def raw_content(html: Column, form: str = "blocks") -> Column:
     """Text of the whole page body, nothing but scripts and head removed."""
-    render = {"blocks": _to_blocks, "flat": _to_flat}[form]
-    return render(F.regexp_replace(without_scripts(html), rf"(?is){_element(('head',))}", ""))
+    return let(without_scripts(html), lambda clean: _raw(clean, form))
+
+
+def _raw(clean: Column, form: str) -> Column:
+    return _RENDER[form](_split_by_depth(clean, ("head",), False))
+
+
+_RENDER.update(blocks=_to_blocks, flat=_to_flat)
 
 
 def best_text(fit: Column, raw: Column) -> Column:
@@ -137,23 +183,44 @@ def best_text(fit: Column, raw: Column) -> Column:
 
 def page_text(html: Column, form: str = "blocks") -> Column:
     """``best_text`` of a page, stripping the whole page only where needed."""
+    return let(without_scripts(html), lambda clean: _text(clean, form))
+
+
+def _text(clean: Column, form: str) -> Column:
     return let(
-        main_content(html, form), lambda fit: F.when(fit != "", fit).otherwise(raw_content(html, form))
+        _main(clean, form), lambda fit: F.when(fit != "", fit).otherwise(_raw(clean, form))
     )
 
 
 def link_text(html: Column) -> Column:
     """Text inside the page's anchors, joined by single blanks."""
+    return let(without_scripts(html), _links)
+
+
+def _links(clean: Column) -> Column:
     inside = F.regexp_extract_all(
-        without_scripts(html), F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)
+        clean, F.lit(rf"(?is)<a{_END}{_REST}(.*?)</a\s*>"), F.lit(1)
     )
     return _to_flat(F.array_join(inside, " "))
 
 
+def page_parts(html: Column) -> Column:
+    """{text, raw, links}: ``page_text``, the flat ``raw_content`` and ``link_text`` of a page,
+    whose scripts are taken out once."""
+    return let(
+        without_scripts(html),
+        lambda clean: F.struct(
+            _text(clean, "blocks").alias("text"),
+            _raw(clean, "flat").alias("raw"),
+            _links(clean).alias("links"),
+        ),
+    )
+
+
 def _values(html: Column, tag: str, attribute: str) -> Column:
     found = F.regexp_extract_all(
         without_scripts(html),
-        F.lit(rf"(?is)<{tag}\b(?:[^>]*?\s)?{attribute}{_ATTRIBUTE}"),
+        F.lit(rf"(?is)<{tag}{_END}(?:[^>]*?\s)?{attribute}{_ATTRIBUTE}"),
         F.lit(1),
     )
     return F.transform(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from sheafline.functions.times import utc_instant
-from sheafline.operators.sides import small_side
 
+# The statuses a node can have.
 STATUSES = ("queued", "running", "succeeded", "failed", "unknown")
 
 
@@ -16,13 +16,17 @@ def known_status(status: Column) -> Column:
 
 
 def audit_rows(df: DataFrame) -> DataFrame:
-    """Rows of the audit table: columns in order, statuses in the known set."""
+    """Rows of the audit table: columns in order, statuses in the known set.
+    A ``result`` belongs to a success and an error to a failure; others have neither."""
+    status = known_status(F.col("status"))
+    result = F.col("result") if "result" in df.columns else F.lit(None).cast("string")
     return df.select(
         "plan_id",
         F.coalesce("branch_id", F.lit("")).alias("branch_id"),
         F.coalesce("run_id", F.lit("")).alias("run_id"),
         "node_id",
-        known_status(F.col("status")).alias("status"),
+        status.alias("status"),
+        F.when(status == "succeeded", result).alias("result"),
         "error",
         "at",
     )
@@ -45,19 +49,24 @@ def _ticks(df: DataFrame, name: str) -> Column:
 
 
 def run_status_counts(audit: DataFrame) -> DataFrame:
-    """Nodes per status and run, a column per status."""
-    status = known_status(F.col("status"))
-    return audit.groupBy("run_id").agg(*[F.count_if(status == s).alias(s) for s in STATUSES])
+    """Nodes per last status and run, a column per status. A node counts once,
+    however many rows it has."""
+    last = latest_status(audit)
+    return last.groupBy("run_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+
+
+# Of two statuses at one time the later one here counts: a status that is not
+# known never wins against one that is.
+_TIES = ("unknown", "queued", "running", "succeeded", "failed")
 
 
 def latest_status(audit: DataFrame) -> DataFrame:
     """Last status of each node of a run, and when it first started.
 
     Time and status are packed into one number, so the fold is a plain hash
-    aggregation that starts on the map side. Of two statuses at the same time
-    the one later in ``STATUSES`` counts.
+    aggregation that starts on the map side.
     """
-    names = F.array(*[F.lit(s) for s in STATUSES])
+    names = F.array(*[F.lit(s) for s in _TIES])
     status = known_status(F.col("status"))
     packed = _ticks(audit, "at") * 8 + F.array_position(names, status)
     return (
@@ -77,10 +86,20 @@ def latest_status(audit: DataFrame) -> DataFrame:
     )
 
 
+def start_order(audit: DataFrame) -> DataFrame:
+    """The nodes of each run that started, numbered from 1 in the order of their
+    first start, by name where two started together. A run is one plan's nodes."""
+    started = latest_status(audit).filter(F.col("started_at").isNotNull())
+    order = W.partitionBy("run_id").orderBy("started_at", "node_id")
+    return started.select(
+        "run_id", "node_id", "started_at", F.row_number().over(order).cast("bigint").alias("seq")
+    )
+
+
 def unknown_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
     """Steps whose tool is not registered."""
     names = tools.select(F.col("name").alias("tool_name")).distinct()
-    return steps.join(small_side(names), "tool_name", "left_anti")
+    return steps.join(names, "tool_name", "left_anti")
 
 
 def known_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
@@ -88,7 +107,7 @@ def known_refs(steps: DataFrame, tools: DataFrame) -> DataFrame:
     summary = tools.select(
         F.col("name").alias("tool_name"), F.col("description").alias("tool_description")
     )
-    return steps.join(small_side(summary), "tool_name")
+    return steps.join(summary, "tool_name")
 
 
 def edge_table(steps: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -9,9 +10,12 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sheafline.functions.text import words
+from sheafline.functions.text import let, words
 from sheafline.operators.rows import explode_rows
-from sheafline.operators.sides import small_side
+
+
+# Punctuation and symbols at the ends of a word.
+TERM_EDGES = r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
 
 
 def to_extraction_struct(pairs: Column) -> Column:
@@ -33,10 +37,33 @@ class LabelPattern:
     needs: str | None = None
 
 
-def _matches(text: Column, pattern: str | LabelPattern) -> Column:
+def _found(text: Column, pattern: str | LabelPattern) -> Column:
+    """{start, value} of every match, in order. Starts are the lengths of the
+    pieces between matches and of the matches before, so they are the matches' own."""
     if isinstance(pattern, str):
         pattern = LabelPattern(pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
+    pieces = F.split(text, pattern.regex, -1)
+
+    def placed(v: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(pieces, i))
+            value = F.get(v, i)
+            return F.struct(
+                (start + F.length(value)).alias("at"),
+                F.concat(
+                    acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))
+                ).alias("out"),
+            )
+
+        begin = F.struct(
+            F.lit(0).alias("at"),
+            F.array().cast("array<struct<start:int,value:string>>").alias("out"),
+        )
+        indices = F.sequence(F.lit(0), F.size(v) - 1)
+        return F.when(F.size(v) > 0, F.aggregate(indices, begin, step, lambda acc: acc["out"]))
+
+    found = let(values, placed)
     return found if pattern.needs is None else F.when(text.contains(pattern.needs), found)
 
 
@@ -47,7 +74,7 @@ def extract_labels(
     text: str = "text",
 ) -> DataFrame:
     """Every match of each label's pattern: one row per match, with ``nth``
-    counting a label's matches inside its text.
+    counting a label's matches inside its text and ``start`` (0-based) its place.
 
     Patterns are configuration, so they enter the plan as literals and each is
     compiled once; only matching texts produce rows.
@@ -56,62 +83,94 @@ def extract_labels(
         *[
             F.struct(
                 F.lit(label).alias("extraction_class"),
-                _matches(F.col(text), pattern).alias("found"),
+                _found(F.col(text), pattern).alias("found"),
             )
             for label, pattern in patterns.items()
         ]
     )
     labelled = chunks.select(*keep, text, F.explode(per_label).alias("e"))
-    return explode_rows(
+    rows = explode_rows(
         labelled,
         [*keep, text, F.col("e.extraction_class").alias("extraction_class")],
         F.col("e.found"),
         "nth",
-        "extraction_text",
+        "_e",
+    )
+    return rows.withColumns(
+        {"extraction_text": F.col("_e.value"), "start": F.col("_e.start")}
+    ).drop("_e")
+
+
+def term_words(text: Column) -> Column:
+    """Lower-cased words without the punctuation around them."""
+    bare = F.transform(
+        words(F.lower(text)), lambda w: F.regexp_replace(w, TERM_EDGES, "")
+    )
+    return F.array_remove(bare, "")
+
+
+def example_terms(examples: DataFrame) -> DataFrame:
+    """The ``label``, ``value`` list that example rows (``extractions``) spell out, for
+    ``extract_terms``: extraction steered by examples."""
+    pair = F.explode("extractions").alias("e")
+    rows = examples.select(pair).select(
+        F.col("e.label").alias("label"), F.col("e.value").alias("value")
     )
+    return rows.filter(F.size(term_words(F.col("value"))) > 0).distinct()
 
 
 def extract_terms(
-    chunks: DataFrame,
-    terms: DataFrame,
-    keep: Sequence[str],
-    max_words: int = 1,
-    text: str = "text",
+    chunks: DataFrame, terms: DataFrame, keep: Sequence[str], text: str = "text"
 ) -> DataFrame:
     """Word sequences of the text listed in ``terms`` (``label``, ``value``).
 
-    The value list can be of any size: it is met by an equi-join on the lower
-    cased word sequence, after repeats inside a text are folded, and is sent
-    to the texts only when it was measured to be small.
+    Sequences are as long as the list's own, which its values tell while the
+    query runs, so no listed term is too long. Case and the punctuation around words do not
+    count. The list can be of any size: it is met by an equi-join, after
+    repeats inside a text are folded.
     """
-    tokens = chunks.select(*keep, words(F.lower(text)).alias("w"))
+    listed = terms.select(
+        F.col("label").alias("extraction_class"), term_words(F.col("value")).alias("w")
+    ).filter(F.size("w") > 0)
+    sizes = listed.agg(F.sort_array(F.collect_set(F.size("w"))).alias("n"))  # few lengths
+    tokens = chunks.select(
+        *keep, term_words(F.col(text)).alias("w"), sizes.scalar().alias("_sizes")
+    )
 
-    def grams(n: int) -> Column:
-        if n == 1:
-            return F.col("w")
+    def grams(w: Column, n: Column) -> Column:
         return F.when(
-            F.size("w") >= n,
+            F.size(w) >= n,
             F.transform(
-                F.sequence(F.lit(0), F.size("w") - n),
-                lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)]),
+                F.sequence(F.lit(0), F.size(w) - n),
+                lambda i: F.array_join(F.slice(w, i + 1, n), " "),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    seen = F.array_distinct(F.concat(*[grams(n) for n in range(1, max_words + 1)]))
-    listed = terms.select(
-        F.col("label").alias("extraction_class"), F.lower("value").alias("extraction_text")
+    seen = F.array_distinct(
+        F.flatten(F.transform("_sizes", lambda n: grams(F.col("w"), n)))
+    )
+    values = listed.select(
+        "extraction_class", F.array_join("w", " ").alias("extraction_text")
     ).distinct()
     return (
         explode_rows(tokens, keep, seen, "_pos", "extraction_text")
         .drop("_pos")
-        .join(small_side(listed), "extraction_text")
+        .join(values, "extraction_text")
     )
 
 
 def ground_spans(extractions: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``start`` (0-based) and ``end``; null where the text lacks the value."""
-    start = F.nullif(F.instr(F.col(text), F.col("extraction_text")), F.lit(0)) - 1
-    return extractions.withColumn("start", start).withColumn(
+    """Add ``start`` (0-based) and ``end``; null where the text lacks the value.
+
+    A ``start`` from the extraction counts if the value stands there, so each
+    of several equal values keeps its own place; else the first place counts.
+    """
+    value = F.col("extraction_text")
+    found = F.nullif(F.instr(F.col(text), value), F.lit(0)) - 1
+    if "start" in extractions.columns:
+        own = F.col("start")
+        found = F.when(F.substring(text, own + 1, F.length(value)) == value, own).otherwise(found)
+    return extractions.withColumn("start", found).withColumn(
         "end", F.col("start") + F.length("extraction_text")
     )
 
@@ -168,7 +227,8 @@ class Extractor:
     """A user's own extraction function.
 
     ``fn(batch, state)`` maps a pandas batch to a pandas batch of ``schema``;
-    ``setup()`` builds ``state`` once per task, before its first batch.
+    ``setup()`` builds ``state`` once per worker process, before its first batch,
+    and the process keeps it for later tasks of the same extractor.
     ``pre`` and ``post`` are column expressions applied around it, and a plain
     pair of hooks without ``fn`` is allowed.
     """
@@ -203,10 +263,16 @@ def apply_extractor(df: DataFrame, extractor: Extractor | str) -> DataFrame:
     if extractor.pre:
         df = df.withColumns(dict(extractor.pre))
     if extractor.fn is not None:
-        fn, setup = extractor.fn, extractor.setup
+        fn, setup, token = extractor.fn, extractor.setup, uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state = setup() if setup else None
+            import builtins  # the one module that every task of a process shares
+
+            states = builtins.__dict__.setdefault("_extractor_states", {})
+            if setup and token not in states:
+                states.clear()  # a process keeps the state of one extractor
+                states[token] = setup()
+            state = states.get(token)
             for batch in batches:
                 yield fn(batch, state)
 

@@ -2,50 +2,50 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from sheafline.session import cut
 
+#: Levels that are kept as a union before they are stored as one table.
+FOLD = 16
+
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, level): 0 without inputs, else one more than the highest input.
 
-    Works a level at a time. A round joins only the last level with the edges
-    and adds to the count of inputs seen per node, so a round's work follows
-    the frontier, and each round is cut from the one before in reliable
-    storage. Nodes that never see all their inputs lie on or behind a cycle,
-    which is an error.
+    Works a level at a time: the edges out of the last level go, and a node
+    none of whose inputs is left is in the next one. Edges that are used are not
+    looked at again. A round is one stored table, of the edges that are left
+    and the nodes found, and one look whether any was. Edges left when none is
+    found lie on or behind a cycle, which is an error.
     """
-    pairs = edges.select("src", "dst").distinct()
-    needs = pairs.groupBy("dst").agg(F.count("*").alias("need"))
-    edges = cut(pairs.join(needs, "dst"))
-    known = edges.select(F.col("src").alias("id"), F.lit(0).cast("bigint").alias("need"))
-    known = known.union(edges.select(F.col("dst"), "need"))
+    left = cut(edges.select("src", "dst").distinct())
+    everyone = left.select(F.col("src").alias("id")).union(left.select("dst"))
     if nodes is not None:
-        known = known.union(nodes.select("id", F.lit(0).cast("bigint")))
-    everyone = cut(known.groupBy("id").agg(F.max("need").alias("need")))
-
-    total = everyone.count()
-    levels = [cut(everyone.filter("need = 0").select("id", F.lit(0).alias("level")))]
-    placed = levels[0].count()
-    waiting = None
-    while placed < total:
-        level = len(levels)
-        seen = (
-            edges.join(levels[-1].select(F.col("id").alias("src")), "src")
-            .groupBy(F.col("dst").alias("id"), "need")
-            .agg(F.count("*").alias("seen"))
+        everyone = everyone.union(nodes.select("id"))
+    found = everyone.distinct().join(left.select(F.col("dst").alias("id")), "id", "left_anti")
+    found = cut(found)
+    placed = found.withColumn("level", F.lit(0))
+    level = 0
+    while True:
+        level += 1
+        used = left.join(
+            found.select(F.col("id").alias("src"), F.lit(True).alias("_used")), "src", "left"
+        )
+        # true for a node when none of its edges is left
+        ready = used.groupBy("dst").agg(F.bool_and(F.coalesce("_used", F.lit(False))).alias("_ok"))
+        state = cut(
+            used.filter("_used is null").select("src", "dst").unionByName(
+                ready.filter("_ok").select(F.lit(None).cast(left.schema["src"].dataType).alias("src"), "dst")
+            )
         )
-        if waiting is not None:
-            seen = waiting.unionByName(seen).groupBy("id", "need").agg(F.sum("seen").alias("seen"))
-        state = cut(seen)
-        ready = state.filter("seen = need").select("id", F.lit(level).alias("level"))
-        found = ready.count()
-        if found == 0:
-            raise ValueError("The built graph is not a DAG.")
-        levels.append(ready)
-        waiting = state.filter("seen < need")
-        placed += found
-    return reduce(DataFrame.unionByName, levels)
+        found = state.filter("src is null").select(F.col("dst").alias("id"))
+        left = state.filter("src is not null")
+        if found.isEmpty():
+            break
+        placed = placed.unionByName(found.withColumn("level", F.lit(level)))
+        if level % FOLD == 0:
+            placed = cut(placed)
+    if not left.isEmpty():
+        raise ValueError("the edges hold a cycle")
+    return placed

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sheafline.functions import html as H
 from sheafline.functions.chunks import chunk_regex
 from sheafline.functions.compare import COMPARATORS, compare
-from sheafline.functions.text import normalize_text, words
+from sheafline.functions.text import normalize_text, strip, words
+from sheafline.operators.rows import explode_rows
 
 
 def metric_join(
@@ -87,6 +88,25 @@ def duplicate_names(specs: DataFrame, name: str = "name") -> DataFrame:
     return specs.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def goal_prompt_check(prompts: DataFrame) -> DataFrame:
+    """Add ``problems`` to goal prompts (``description``, ``success_metrics``, ``priority``).
+
+    A description has at least 15 characters once trimmed, there is at least
+    one metric and no name twice, and a priority, where given, is 1 to 10.
+    """
+    names = F.transform("success_metrics", lambda m: m["name"])
+    many = F.coalesce(F.size("success_metrics"), F.lit(0))
+    checks = [
+        (F.coalesce(F.length(strip(F.col("description"))), F.lit(0)) < 15, "short description"),
+        (many < 1, "no metric"),
+        ((many > 0) & (F.size(F.array_distinct(names)) < many), "repeated metric"),
+        (~F.col("priority").between(1, 10), "priority"),
+    ]
+    return prompts.withColumn(
+        "problems", F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))
+    )
+
+
 def coverage_rate(
     got: DataFrame, expected: DataFrame, key: str, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -119,11 +139,12 @@ def quality_scores(
     Everything is known from the page's own row, so nothing is shuffled.
     """
     html = F.col("html")
-    texts = pages.select(
+    parts = H.page_parts(html)
+    texts = explode_rows(pages, [key], F.array(parts), "_pos", "p").select(
         key,
-        H.page_text(html).alias("text"),
-        F.length(H.raw_content(html, "flat")).alias("raw_chars"),
-        F.length(H.link_text(html)).alias("link_chars"),
+        F.col("p.text").alias("text"),
+        F.length("p.raw").alias("raw_chars"),
+        F.length("p.links").alias("link_chars"),
     )
     counted = texts.select(
         key,

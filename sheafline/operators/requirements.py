@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.functions.text import strip
-from sheafline.operators.sides import small_side
 
+# The fields of a request, and the scopes it can have.
 FIELDS = (
     "time_start", "time_end", "area_value", "entity_type", "scope", "additional_details", "topic",
 )
@@ -48,11 +48,19 @@ def requirement_gaps(req: DataFrame) -> DataFrame:
 def requirement_check(req: DataFrame) -> DataFrame:
     """Fill defaults (scope ``local``, topic ``natural``) and add ``violation``.
 
-    A ``scope`` outside the allowed set is a violation; so is any name in
-    ``unknown_keys``, where the row has that column.
+    A ``scope`` outside the allowed set is a violation, and so are a time that
+    cannot be read and any name in ``unknown_keys``, where the row has that column.
     """
     reasons = [
-        F.when(~F.col("scope").isin(*SCOPES), F.concat(F.lit("scope:"), F.col("scope")))
+        F.when(~F.col("scope").isin(*SCOPES), F.concat(F.lit("scope:"), F.col("scope"))),
+        *(
+            F.when(
+                ~_blank(F.col(f)) & period_bounds(F.col(f))["start"].isNull(),
+                F.concat(F.lit(f"{f}:"), F.col(f)),
+            )
+            for f in ("time_start", "time_end")
+            if f in req.columns
+        ),
     ]
     if "unknown_keys" in req.columns:
         reasons.append(
@@ -98,16 +106,62 @@ def answers_patch(req: DataFrame, answers: DataFrame, key: str = "req_id") -> Da
     )
 
 
+def _blank(text: Column) -> Column:
+    return text.isNull() | (strip(text) == "")
+
+
+def period_bounds(text: Column) -> Column:
+    """{start, end} of the period that a time names: a year, a month, a day, or
+    with a clock time that instant. ``end`` is the start of what follows."""
+    t = strip(text)
+    day = F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01"))).when(
+        t.rlike(r"^\d{4}-\d{1,2}$"), F.concat(t, F.lit("-01"))
+    ).otherwise(t)
+    start = day.try_cast("timestamp_ntz")
+    end = (
+        F.when(t.rlike(r"^\d{4}$"), start + F.expr("interval 1 year"))
+        .when(t.rlike(r"^\d{4}-\d{1,2}$"), start + F.expr("interval 1 month"))
+        .when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), start + F.expr("interval 1 day"))
+        .otherwise(start + F.expr("interval 1 microsecond"))
+    )
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
 def requirement_filter(facts: DataFrame, req: DataFrame) -> DataFrame:
-    """Facts inside the area and the time span (both ends) of a request."""
-    spans = req.select(
+    """Facts (``area``, ``ts``) inside the area and the time span of each request.
+
+    Both bounds count in full: a span up to a year holds all of that year. A
+    null or blank bound is open; one that cannot be read selects nothing, as
+    ``requirement_check`` reports it. Scope ``global`` has no area test; any other does, and
+    a blank area then selects nothing.
+
+    Local requests meet their facts by area. Global ones do so by year: their
+    open ends are cut to the years of the facts, which one aggregate over ``ts`` gives.
+    """
+    scope = F.coalesce("scope", F.lit("local")) if "scope" in req.columns else F.lit("local")
+    readable = lambda f: _blank(F.col(f)) | period_bounds(F.col(f))["start"].isNotNull()
+    spans = req.filter(readable("time_start") & readable("time_end")).select(
         "req_id",
         F.col("area_value").alias("area"),
-        F.col("time_start").cast("timestamp_ntz").alias("_from"),
-        F.col("time_end").cast("timestamp_ntz").alias("_to"),
+        F.when(~_blank(F.col("time_start")), period_bounds(F.col("time_start"))["start"]).alias("_from"),
+        F.when(~_blank(F.col("time_end")), period_bounds(F.col("time_end"))["end"]).alias("_to"),
+        scope.alias("_scope"),
     )
-    return (
-        facts.join(small_side(spans), "area")
-        .filter(F.col("ts").between(F.col("_from"), F.col("_to")))
-        .drop("_from", "_to")
+    inside = F.coalesce(F.col("ts") >= F.col("_from"), F.lit(True)) & F.coalesce(
+        F.col("ts") < F.col("_to"), F.lit(True)
+    )
+    local = facts.join(spans.filter("_scope <> 'global'").drop("_scope"), "area").filter(inside)
+    years = facts.agg(F.struct(F.min(F.year("ts")).alias("lo"), F.max(F.year("ts")).alias("hi")))
+    wide = spans.filter("_scope = 'global'").select(
+        "req_id",
+        "_from",
+        "_to",
+        F.greatest(F.year("_from"), years.scalar()["lo"]).alias("_lo"),
+        F.least(F.year("_to"), years.scalar()["hi"]).alias("_hi"),
+    )
+    each = wide.filter("_lo <= _hi").select(
+        "req_id", "_from", "_to", F.explode(F.sequence("_lo", "_hi")).alias("_year")
     )
+    anywhere = facts.withColumn("_year", F.year("ts")).join(each, "_year").filter(inside)
+    columns = [*facts.columns, "req_id"]
+    return local.select(columns).unionByName(anywhere.select(columns))

@@ -17,3 +17,33 @@ def explode_rows(
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
     return rows.filter(F.col(pos).isNotNull())
+
+
+#: Bits of the filter in ``maybe_among``: at most 512 broadcast rows of 4 KB.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, keys: Sequence[str], members: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` may be among those of ``members``.
+
+    None that is among them is lost; some others pass. The filter is a bitmap
+    of fixed size however many members there are, so it can be broadcast at
+    any scale, and rows without a match go before anything is shuffled.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bitmap = (
+        members.select(bit.alias("_bit"))
+        .groupBy(F.expr("bitmap_bucket_number(_bit)").alias("_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_bit))").alias("_bits"))
+    )
+    place = F.expr("bitmap_bit_position(_bit)")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    is_set = F.expr("shiftright(_byte, cast(bitmap_bit_position(_bit) % 8 as int)) % 2 = 1")
+    return (
+        df.withColumn("_bit", bit)
+        .withColumn("_bucket", F.expr("bitmap_bucket_number(_bit)"))
+        .join(F.broadcast(bitmap), "_bucket")
+        .withColumn("_byte", byte.cast("int"))
+        .filter(is_set)
+        .select(*df.columns)
+    )

@@ -19,7 +19,7 @@ def provider_order(names: str | Sequence[str]) -> list[str]:
     wanted = split_names(names) if isinstance(names, str) else list(names)
     for name in wanted:
         if name not in PROVIDERS:
-            raise ValueError(f"Unknown provider '{name}'. Allowed: {list(PROVIDERS)}")
+            raise ValueError(f"no search provider is called {name!r}; there are {sorted(PROVIDERS)}")
     return wanted
 
 

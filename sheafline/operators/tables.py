@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sheafline.operators.extraction import pivot_records
 from sheafline.operators.ranking import first_n
-from sheafline.operators.sides import fits, measure
 
 # Declared dtypes and their Spark types; any other is text.
 DTYPES = {
@@ -18,6 +18,7 @@ DTYPES = {
     "int": T.LongType(),
     "date": T.TimestampNTZType(),
 }
+# Fields that every table needs.
 CORE_FIELDS = ("time_range", "location")
 
 
@@ -223,18 +224,22 @@ def upsert_by_pk(
 ) -> DataFrame:
     """Table and rows together, one row per key: the first by ``recency``.
 
-    With ``table_unique`` the table is known to hold each (non-null) key once.
-    Then, if the keys that come in were measured to be few, only table rows
-    with one of them are ranked and all others pass by without a shuffle.
+    As in SQL a key with a null equals no other, so rows with one all stay.
+    ``table_unique`` promises that the table holds each full key once, which
+    ``require_unique`` can check. Then only table rows whose key comes in are
+    ranked, and all others pass by without that shuffle; the rows that come
+    in may repeat a key, and the answer is the same either way.
     """
-    if table_unique:
-        keys = rows.select(*pk).distinct()
-        if fits(measure(keys)):
-            keys = F.broadcast(keys)
-            others = table.join(keys, list(pk), "left_anti").select(*table.columns)
-            met = table.join(keys, list(pk), "left_semi").select(*table.columns)
-            return others.unionByName(first_n(met.unionByName(rows), pk, recency, 1))
-    return first_n(table.unionByName(rows), pk, recency, 1)
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
+    loose = table.filter(~full).unionByName(rows.filter(~full))
+    new = rows.filter(full)
+    if not table_unique:
+        return first_n(table.filter(full).unionByName(new), pk, recency, 1).unionByName(loose)
+    keys = new.select(*pk).distinct()
+    held = table.filter(full)
+    others = held.join(keys, list(pk), "left_anti").select(*table.columns)
+    met = held.join(keys, list(pk), "left_semi").select(*table.columns)
+    return others.unionByName(first_n(met.unionByName(new), pk, recency, 1)).unionByName(loose)
 
 
 def fill_column(
@@ -242,20 +247,36 @@ def fill_column(
 ) -> DataFrame:
     """Set a column from ``values`` (key, value), matched by row key.
 
-    An unknown column is refused at once. Rows without a value, or values
-    without a row, fail the job while it runs, so no extra counting pass.
+    An unknown column is refused at once. Rows without a value, values without
+    a row, and a key with several values fail the job while it runs, whichever
+    columns are read from the result.
     """
     if name not in table.columns:
-        raise ValueError(f"Column '{name}' does not exist in the DataFrame.")
+        raise ValueError(f"cannot fill {name!r}: the table has no such column")
     left = table.withColumn("_t", F.lit(True))
-    right = values.select(*key, F.col(value).alias("_v"), F.lit(True).alias("_s"))
+    right = values.groupBy(*key).agg(
+        F.first(value).alias("_v"), F.count(F.lit(1)).alias("_n")
+    )
     joined = left.join(right, list(key), "full")
-    paired = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-    dtype = table.schema[name].dataType
-    filled = F.when(paired, F.col("_v").cast(dtype)).otherwise(
-        F.raise_error(F.lit("Length of values does not match number of rows.")).cast(dtype)
+    paired = F.col("_t").isNotNull() & (F.col("_n") == 1)
+    checked = joined.filter(
+        F.when(paired, F.lit(True)).otherwise(
+            F.raise_error(F.lit("each row needs exactly one value, and each value a row")).cast("boolean")
+        )
     )
-    return joined.select(*[filled.alias(c) if c == name else F.col(c) for c in table.columns])
+    filled = F.col("_v").cast(table.schema[name].dataType)
+    return checked.select(*[filled.alias(c) if c == name else F.col(c) for c in table.columns])
+
+
+def target_records(
+    extractions: DataFrame,
+    features: Sequence[Feature],
+    key: Sequence[str],
+    position: Sequence[str],
+) -> DataFrame:
+    """Extractions as untyped records, a column per feature."""
+    labels = [f.name for f in features if f.name not in key]
+    return pivot_records(extractions, labels, list(key), position)
 
 
 def target_assembly(
@@ -264,11 +285,24 @@ def target_assembly(
     key: Sequence[str],
     position: Sequence[str],
     recency: Sequence[Column],
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Extractions to the final table: pivot, drop rejects, type, one row per
-    key. ``recency`` orders the rows of one key, best first."""
-    labels = [f.name for f in features if f.name not in key]
-    records = pivot_records(extractions, labels, list(key), position)
-    typed = accepted_rows(records, features)
+    key. ``recency`` orders the rows of one key, best first. With a ``table`` of
+    the same columns the records are upserted into it."""
+    typed = accepted_rows(target_records(extractions, features, key, position), features)
     pk = primary_key(features)
-    return first_n(typed, pk, recency, 1) if pk else typed
+    if not pk:
+        return typed if table is None else table.unionByName(typed)
+    base = typed.limit(0) if table is None else table
+    return upsert_by_pk(base, typed, pk, recency)
+
+
+def target_rejects(
+    extractions: DataFrame,
+    features: Sequence[Feature],
+    key: Sequence[str],
+    position: Sequence[str],
+) -> DataFrame:
+    """The records that ``target_assembly`` leaves out, with their ``reasons``."""
+    return reject_rows(target_records(extractions, features, key, position), features)

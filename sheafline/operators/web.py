@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sheafline.functions import html as H
 from sheafline.functions import urls as U
 from sheafline.operators.ranking import dedupe_keep_first, first_n
-from sheafline.operators.rows import explode_rows
-from sheafline.operators.sides import fits, measure, small_side
+from sheafline.operators.rows import explode_rows, maybe_among
 
 # An origin's first rules travel as an array; those behind are met by a join.
 RULE_ARRAY_LIMIT = 400
 
 
 def _status_verdict(status: Column) -> Column:
-    """Verdict the robots.txt response alone gives; null: look at the rules."""
+    """Verdict the robots.txt response alone gives; null: look at the rules.
+
+    So does an origin whose response is not known but whose rules are; one
+    without either is allowed."""
     return (
         F.when(status.isin(401, 403), F.lit(False))
         .when(status.between(400, 499), F.lit(True))
         .when(status >= 500, F.lit(False))
-        .when(status.isNull(), F.lit(True))
     )
 
 
@@ -73,8 +74,9 @@ def robots_join(
     match allows. An origin's first ``array_limit`` rules travel to its urls
     as one sorted array, so a url stays one row, and a match among them is
     final. Only urls that found none, at an origin that has more rules, go on
-    to an equi-join on the prefixes that can occur, which has no limit; that
-    part is left out when the rules show no such origin. AQE splits an origin
+    to an equi-join on the prefixes that can occur, which has no limit. Both
+    parts are always planned, so the answer is the same whatever the rules
+    are when it runs; without such an origin the second one is empty. AQE splits an origin
     that holds many urls, as the other side has one row for it.
     """
     addressed = _addressed_rules(rules, agent)
@@ -82,7 +84,7 @@ def robots_join(
     policy = (
         status.groupBy("origin")
         .agg(F.max("status").alias("status"))
-        .join(heads.drop("grp"), "origin", "left")
+        .join(heads.drop("grp"), "origin", "full")
         .select(
             F.col("origin").alias("_o"),
             _status_verdict(F.col("status")).alias("_verdict"),
@@ -110,11 +112,7 @@ def robots_join(
     )
 
     crowded = heads.filter("more").select("origin", "grp")
-    size = measure(crowded)
-    if size[0] == 0:
-        return settled
     at = crowded.select(F.col("origin").alias("_o"))
-    at = F.broadcast(at) if fits(size) else at
     asked = (
         judged(placed.join(at, "_o", "left_semi"))
         .filter(open_question)
@@ -161,12 +159,20 @@ def page_result_join(
     """Pair each requested url with its fetch result, by url.
 
     A url fetched more than once counts with its first result in ``order``,
-    so a repeated request never multiplies with repeated results. Results that
-    nobody asked for go first, before wide rows move; ``prepare`` then works
-    on each remaining result once, however many requests share it.
+    so a repeated request never multiplies with repeated results. That result
+    is found on (url, ``order``) alone. Wide rows then pass a bitmap of fixed
+    size over the chosen ones before they move, so a result nobody asked for
+    is left where it is scanned; ``prepare`` works on each remaining result
+    once, however many requests share it.
     """
-    wanted = small_side(urls.select("url").distinct())
-    first = dedupe_keep_first(results.join(wanted, "url", "left_semi"), "url", order)
+    wanted = urls.select("url").distinct()
+    chosen = (
+        results.select("url", order).join(wanted, "url", "left_semi")
+        .groupBy("url").agg(F.min(order).alias(order))
+    )
+    likely = maybe_among(results, ["url", order], chosen)
+    met = likely.join(chosen, ["url", order], "left_semi")
+    first = dedupe_keep_first(met, "url", order)
     return urls.join(first if prepare is None else prepare(first), "url")
 
 

@@ -142,12 +142,13 @@ def quality_scores(spark, sf):
     f"""WITH {Q.PRICE_FACTS}
         SELECT strftime(ts, '%Y-%m-%d') AS day, area,
                avg(CAST(round(price * 100) AS BIGINT)) AS mean_cents, CAST(count(*) AS BIGINT) AS n FROM price_facts
-        WHERE ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1, 2""",
+        WHERE ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1997-01-01' GROUP BY 1, 2""",
 )
 def metric_by_period(spark, sf):
     """The request of the kind 'mean price per day in an area and time span'.
     Whole cents keep the sum exact in any order."""
-    kept = R.requirement_filter(V.price_facts(spark, sf), V.price_requests(spark, sf))
+    years = V.price_requests(spark, sf).filter("req_id % 8 = 1")
+    kept = R.requirement_filter(V.price_facts(spark, sf), years)
     cents = kept.withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
     means = quality.metric_by_period(cents, "cents")
     return means.select(
@@ -177,7 +178,9 @@ def answers_patch(spark, sf):
     "run_status_counts",
     f"""WITH {Q.RUN_AUDIT}
         SELECT run_id, {', '.join(f"CAST(count(*) FILTER (status = '{s}') AS BIGINT) AS {s}" for s in audit.STATUSES)}
-        FROM run_audit GROUP BY run_id""",
+        FROM (SELECT run_id, node_id, arg_max(status, ("at", CASE status WHEN 'unknown' THEN 0
+                WHEN 'queued' THEN 1 WHEN 'running' THEN 2 WHEN 'succeeded' THEN 3 ELSE 4 END)) AS status
+              FROM run_audit GROUP BY ALL) GROUP BY run_id""",
 )
 def run_status_counts(spark, sf):
     return audit.run_status_counts(V.run_audit(spark, sf))
@@ -186,7 +189,9 @@ def run_status_counts(spark, sf):
 @query(
     "latest_status",
     f"""WITH {Q.RUN_AUDIT}
-        SELECT run_id, node_id, arg_max(status, "at") AS status, max("at") AS "at",
+        SELECT run_id, node_id, arg_max(status, ("at", CASE status WHEN 'unknown' THEN 0
+                 WHEN 'queued' THEN 1 WHEN 'running' THEN 2 WHEN 'succeeded' THEN 3 ELSE 4 END)) AS status,
+               max("at") AS "at",
                min("at") FILTER (status = 'running') AS started_at
         FROM run_audit GROUP BY run_id, node_id""",
 )
@@ -194,6 +199,41 @@ def latest_status(spark, sf):
     return audit.latest_status(V.run_audit(spark, sf))
 
 
+@query(
+    "start_order",
+    f"""WITH {Q.RUN_AUDIT}, s AS (
+          SELECT run_id, node_id, min("at") AS started_at FROM run_audit
+          WHERE status = 'running' GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at, node_id) AS seq FROM s""",
+)
+def start_order(spark, sf):
+    return audit.start_order(V.run_audit(spark, sf))
+
+
+@query(
+    "goal_prompt_check",
+    """WITH p AS (SELECT c_custkey AS goal_id, 'goal ' || c_mktsegment AS d, c_custkey % 5 AS k FROM customer)
+       SELECT goal_id, concat_ws('|', CASE WHEN length(d) < 15 THEN 'short description' END,
+         CASE WHEN k IN (0, 1) THEN 'no metric' END, CASE WHEN k = 2 THEN 'repeated metric' END,
+         CASE WHEN goal_id % 12 IN (0, 11) THEN 'priority' END) AS problems FROM p""",
+)
+def goal_prompt_check(spark, sf):
+    """Goals of the market segments; metrics are absent, none, repeated or different by turn."""
+    kind = F.col("c_custkey") % 5
+    metrics = lambda *names: F.array(*[F.struct(F.lit(n).alias("name")) for n in names])
+    prompts = V.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("goal_id"),
+        F.concat(F.lit("  goal "), "c_mktsegment", F.lit(" ")).alias("description"),
+        F.when(kind == 1, F.filter(metrics("x"), lambda m: F.lit(False)))
+        .when(kind == 2, metrics("coverage", "coverage"))
+        .when(kind > 2, metrics("coverage", "errors")).alias("success_metrics"),
+        (F.col("c_custkey") % 12).alias("priority"),
+    )
+    return quality.goal_prompt_check(prompts).select(
+        "goal_id", F.array_join("problems", "|").alias("problems")
+    )
+
+
 @query(
     "unknown_refs",
     f"""WITH {Q.STEPS}

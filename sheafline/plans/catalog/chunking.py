@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.functions import chunks as C
+from sheafline.functions.text import words
 from sheafline.operators import web
 from sheafline.operators.rows import explode_rows
 from sheafline.plans import fragments as Q
@@ -79,9 +80,26 @@ def chunk_token_window(spark, sf):
     return _chunks(spark, sf, C.chunk_token_window(F.col("text")))
 
 
-@query("chunk_sentences")
+_SHORT = " OR ".join(
+    f"(lang = '{lang}' AND regexp_matches(w[i], '(?i)(^|[^\\pL])({'|'.join(short)})\\.$'))"
+    for lang, short in C.ABBREVIATIONS.items()
+)
+
+
+@query(
+    "chunk_sentences",
+    f"""WITH w AS (SELECT doc_id, lang, {Q.word_list('text')} AS w FROM documents),
+        e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w)
+                OR (regexp_matches(w[i], '[.!?…][")\\]»”’'']*$') AND NOT coalesce({_SHORT}, false))) AS e
+              FROM w)
+        SELECT doc_id, unnest(range(len(e))) AS chunk_idx,
+               unnest(list_transform(range(1, len(e) + 1), lambda k: array_to_string(
+                 w[CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END : e[k]], ' '))) AS text FROM e""",
+)
 def chunk_sentences(spark, sf):
-    return _chunks(spark, sf, C.chunk_sentences(F.col("text"), F.col("lang")))
+    """Sentences, with their blanks squeezed for the comparison."""
+    rows = _chunks(spark, sf, C.chunk_sentences(F.col("text"), F.col("lang")))
+    return rows.withColumn("text", F.array_join(words(F.col("text")), " "))
 
 
 @query(

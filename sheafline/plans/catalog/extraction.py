@@ -26,10 +26,10 @@ def extract_labels(spark, sf):
 
 @query(
     "extract_terms",
-    f"""WITH w AS (SELECT doc_id, {Q.word_list('lower(text)')} AS w FROM documents),
+    f"""WITH w AS (SELECT doc_id, {Q.bare_words('text')} AS w FROM documents),
         g AS (SELECT DISTINCT doc_id, unnest(w || list_transform(range(1, len(w)),
                 lambda i: w[i] || ' ' || w[i + 1])) AS extraction_text FROM w),
-        b AS (SELECT {Q.word_list('lower(text)')} AS w FROM benchmark),
+        b AS (SELECT {Q.bare_words('text')} AS w FROM benchmark),
         t AS (SELECT DISTINCT 'opening' AS extraction_class, w[1] || ' ' || w[2] AS extraction_text
               FROM b WHERE len(w) > 1
               UNION SELECT 'closing', w[-1] FROM b)
@@ -37,16 +37,35 @@ def extract_labels(spark, sf):
 )
 def extract_terms(spark, sf):
     """Value list: first two words and last word of each benchmark text."""
-    from sheafline.functions.text import words
-
-    b = V.table(spark, sf, "benchmark").select(words(F.lower("text")).alias("w"))
+    b = V.table(spark, sf, "benchmark").select(E.term_words(F.col("text")).alias("w"))
     opening = b.filter(F.size("w") > 1).select(
         F.lit("opening").alias("label"), F.array_join(F.slice("w", 1, 2), " ").alias("value")
     )
     closing = b.select(F.lit("closing").alias("label"), F.element_at("w", -1).alias("value"))
-    return E.extract_terms(
-        V.texts(spark, sf), opening.union(closing), ["doc_id"], max_words=2
-    ).select("doc_id", "extraction_class", "extraction_text")
+    return E.extract_terms(V.texts(spark, sf), opening.union(closing), ["doc_id"]).select(
+        "doc_id", "extraction_class", "extraction_text"
+    )
+
+
+@query(
+    "extract_terms_long",
+    f"""WITH b AS (SELECT DISTINCT array_to_string({Q.bare_words('text')}[3:7], ' ') AS extraction_text
+                   FROM benchmark),
+        d AS (SELECT doc_id, ' ' || array_to_string({Q.bare_words('text')}, ' ') || ' ' AS t FROM documents)
+        SELECT doc_id, 'five' AS extraction_class, extraction_text
+        FROM d JOIN b ON contains(t, ' ' || extraction_text || ' ')""",
+)
+def extract_terms_long(spark, sf):
+    """Five words of each benchmark text, listed as example rows with other case and marks."""
+    b = V.table(spark, sf, "benchmark").select(
+        F.slice(E.term_words(F.col("text")), 3, 5).alias("w")
+    )
+    marked = F.concat(F.lit("("), F.upper(F.array_join("w", ", ")), F.lit(")."))
+    examples = b.select(
+        F.array(F.struct(F.lit("five").alias("label"), marked.alias("value"))).alias("extractions")
+    )
+    found = E.extract_terms(V.texts(spark, sf), E.example_terms(examples), ["doc_id"])
+    return found.select("doc_id", "extraction_class", "extraction_text")
 
 
 @query(
@@ -54,9 +73,10 @@ def extract_terms(spark, sf):
     f"""WITH {Q.extractions()}, v AS (
           SELECT *, CASE WHEN doc_id % 4 = 0 THEN upper(extraction_text) || '!' ELSE extraction_text END
                     AS value FROM found)
+        , placed AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN nullif(instr(text, value), 0) - 1
+                                  ELSE place END AS p FROM v)
         SELECT doc_id, extraction_class, nth, value AS extraction_text,
-               CAST(nullif(instr(text, value), 0) - 1 AS BIGINT) AS start,
-               CAST(nullif(instr(text, value), 0) - 1 + length(value) AS BIGINT) AS "end" FROM v""",
+               CAST(p AS BIGINT) AS start, CAST(p + length(value) AS BIGINT) AS "end" FROM placed""",
 )
 def ground_spans(spark, sf):
     """Every fourth document's values are altered, so that they do not stand in the text."""

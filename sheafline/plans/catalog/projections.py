@@ -10,7 +10,7 @@ from sheafline.functions import urls as U
 from sheafline.functions.chunks import chunk_regex
 from sheafline.operators import requirements as R
 from sheafline.operators import web
-from sheafline.operators.dedupe import content_groups
+from sheafline.operators.dedupe import content_groups, dedupe_exact
 from sheafline.operators.extraction import to_extraction_struct
 from sheafline.operators.rows import explode_rows
 from sheafline.plans import fragments as Q
@@ -211,15 +211,27 @@ def requirement_parse(spark, sf):
 @query(
     "requirement_filter",
     f"""WITH {Q.PRICE_FACTS}
-        SELECT CAST(n_nationkey AS BIGINT) AS req_id, area, CAST(count(*) AS BIGINT) AS facts,
-               CAST(round(sum(price), 2) AS DOUBLE) AS total
-        FROM price_facts
-        WHERE ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY ALL""",
+        , asked AS (
+          SELECT n_nationkey * 8 + kind AS req_id, area, price, kind, ts FROM price_facts,
+            (VALUES (0), (1), (2)) AS v(kind)
+          UNION ALL
+          SELECT n.n_nationkey * 8 + 3 + k.k, f.area, price, 3 + k.k, ts
+          FROM price_facts f, nation n, (VALUES (0), (1)) AS k(k) WHERE n.n_nationkey < 2)
+        SELECT CAST(req_id AS BIGINT) AS req_id, area, CAST(count(*) AS BIGINT) AS facts,
+               CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents
+        FROM asked
+        WHERE CASE kind WHEN 2 THEN ts < TIMESTAMP '1995-07-01'
+                        WHEN 3 THEN true
+                        WHEN 4 THEN ts >= TIMESTAMP '1997-03-05' AND ts < TIMESTAMP '1997-04-01'
+                        ELSE ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1997-01-01' END
+        GROUP BY ALL""",
 )
 def requirement_filter(spark, sf):
+    """Bounds by day, year and month, open, blank and unreadable ones, and both scopes."""
     kept = R.requirement_filter(V.price_facts(spark, sf), V.price_requests(spark, sf))
     return kept.groupBy("req_id", "area").agg(
-        F.count("*").alias("facts"), F.round(F.sum("price"), 2).alias("total")
+        F.count("*").alias("facts"),
+        F.sum(F.round(F.col("price") * 100).cast("bigint")).alias("cents"),
     )
 
 
@@ -288,10 +300,19 @@ def content_sha256(spark, sf):
 
 @query(
     "dedupe_exact",
+    f"""SELECT doc_id, lang, source, n_chars FROM documents
+        QUALIFY row_number() OVER (PARTITION BY {Q.norm('text')} ORDER BY doc_id) = 1""",
+)
+def dedupe_exact_rows(spark, sf):
+    return dedupe_exact(V.texts(spark, sf), "text", "doc_id").drop("text")
+
+
+@query(
+    "content_groups",
     f"""SELECT sha256({Q.norm('text')}) AS content_hash, min(doc_id) AS doc_id,
                CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1""",
 )
-def dedupe_exact(spark, sf):
+def copies_of_texts(spark, sf):
     return content_groups(V.texts(spark, sf), "text", "doc_id")
 
 

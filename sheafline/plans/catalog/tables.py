@@ -126,6 +126,25 @@ def upsert_by_pk(spark, sf):
     )
 
 
+@query(
+    "upsert_null_keys",
+    f"""WITH {Q.RAW_RECORDS}, a AS (
+          SELECT order_id, 1 AS version, src_key FROM raw_records
+          UNION ALL SELECT order_id, 2, src_key FROM raw_records WHERE state = 'F')
+        SELECT order_id, version, src_key FROM a
+        QUALIFY order_id IS NULL OR row_number() OVER
+          (PARTITION BY order_id ORDER BY version DESC, src_key DESC) = 1""",
+)
+def upsert_null_keys(spark, sf):
+    """Raw records, some without a key and some with a repeated one."""
+    raw = V.raw_records(spark, sf)
+    table = raw.select("order_id", F.lit(1).alias("version"), "src_key")
+    rows = raw.filter("state = 'F'").select("order_id", F.lit(2).alias("version"), "src_key")
+    return T.upsert_by_pk(
+        table, rows, ["order_id"], [F.col("version").desc(), F.col("src_key").desc()]
+    )
+
+
 @query(
     "upsert_few_rows",
     """SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'X' ELSE o_orderstatus END AS state,
@@ -205,6 +224,35 @@ def target_assembly(spark, sf):
     )
 
 
+@query(
+    "target_rejects",
+    f"""WITH docs AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN
+              regexp_replace(text, '([0-9]{{4}})([0-9]{{4}})([0-9]{{4}})([0-9]{{4}})', '\\1-\\2-\\3-\\4', 'g')
+              ELSE text END AS text FROM documents), {Q.extractions('docs')},
+        p AS (SELECT doc_id, arg_min(extraction_text, nth) FILTER (extraction_class = 'card') AS card
+              FROM found GROUP BY doc_id)
+        SELECT source, doc_id, card, concat_ws('|',
+            CASE WHEN source IS NULL THEN 'null_pk:source' END,
+            CASE WHEN TRY_CAST(card AS BIGINT) IS NULL AND card IS NOT NULL THEN 'cast:card' END) AS reasons
+        FROM p JOIN documents USING (doc_id)
+        WHERE source IS NULL OR (card IS NOT NULL AND TRY_CAST(card AS BIGINT) IS NULL)""",
+)
+def target_rejects(spark, sf):
+    """Every third document's card numbers are written in groups, which is no integer."""
+    from sheafline.operators.extraction import extract_labels
+
+    grouped = F.regexp_replace(
+        "text", "([0-9]{4})([0-9]{4})([0-9]{4})([0-9]{4})", "$1-$2-$3-$4"
+    )
+    docs = V.texts(spark, sf).select(
+        "source", "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, grouped).otherwise(F.col("text")).alias("text"),
+    )
+    found = extract_labels(docs, V.LABEL_PATTERNS, ["source", "doc_id"])
+    rejects = T.target_rejects(found, _TARGET, ["source", "doc_id"], ["nth"])
+    return rejects.select("source", "doc_id", "card", F.array_join("reasons", "|").alias("reasons"))
+
+
 @query(
     "text_per_host",
     f"""WITH t AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,

@@ -16,6 +16,12 @@ def word_list(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
 
 
+def bare_words(x: str) -> str:
+    """Lower-cased words without marks at their ends."""
+    bare = f"list_transform({word_list(f'lower({x})')}, lambda w: regexp_replace(w, '^[\\pP\\pS]+|[\\pP\\pS]+$', '', 'g'))"
+    return f"list_filter({bare}, lambda w: w <> '')"
+
+
 def sentence_list(x: str) -> str:
     """RE2 has no look-behind: mark every candidate, unmark the exceptions."""
     marked = f"regexp_replace({x}, '([.?!])(\\s+)', '\\1' || chr(2) || '\\2', 'g')"
@@ -259,11 +265,15 @@ LABELS_SQL = {
 
 
 def extractions(source: str = "documents") -> str:
-    """CTE ``found``: (doc_id, text, extraction_class, nth, extraction_text)."""
+    """CTE ``found``: (doc_id, text, extraction_class, nth, extraction_text, place)."""
     each = " UNION ALL ".join(
         f"""SELECT doc_id, text, '{label}' AS extraction_class,
-        unnest(range(len(m))) AS nth, unnest(m) AS extraction_text
-        FROM (SELECT doc_id, text, regexp_extract_all(text, '{rx}') AS m FROM {source})"""
+        unnest(range(len(m))) AS nth, unnest(m) AS extraction_text,
+        unnest(list_transform(range(1, len(m) + 1), lambda k:
+          list_sum(list_transform(s[1 : k], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0))) AS place
+        FROM (SELECT doc_id, text, regexp_extract_all(text, '{rx}') AS m,
+                     regexp_split_to_array(text, '{rx}') AS s FROM {source})"""
         for label, rx in LABELS_SQL.items()
     )
     return f"found AS ({each})"

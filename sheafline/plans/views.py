@@ -22,13 +22,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int | None:
+    """Tasks that a table in one small file is dealt out to, if the session says so."""
+    found = spark.conf.get("spark.sheafline.scanTasks", None)
+    return int(found) if found else None
+
+
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     """A table whose rows each take long to work on."""
-    return spread(table(spark, sf, name))
+    return spread(table(spark, sf, name), tasks(spark))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(scan_pages(spark, f"{sf}/pages.parquet"))
+    return spread(scan_pages(spark, f"{sf}/pages.parquet"), tasks(spark))
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,12 +341,31 @@ def price_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A request per area: the span 1995-1996."""
-    return table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("req_id"),
+    """Requests for each area: a span by days, the same by years, one that is
+    open at its start; two without an area test for the first areas, of which one is
+    open on both sides; and one whose end cannot be read."""
+    kinds = [
+        (0, "local", "1995-01-01", "1996-12-31"),
+        (1, None, "1995", "1996"),
+        (2, "local", None, "1995-06"),
+        (3, "global", " ", ""),
+        (4, "global", "1997-03-05 00:00:00", "1997-03"),
+        (5, "local", "1995", "soon"),
+    ]
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("kind"), F.lit(scope).cast("string").alias("scope"),
+                F.lit(start).cast("string").alias("time_start"), F.lit(end).alias("time_end"),
+            )
+            for k, scope, start, end in kinds
+        ]
+    )
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name", F.explode(each).alias("k"))
+    return rows.filter("k.kind not in (3, 4) or n_nationkey < 2").select(
+        (F.col("n_nationkey") * 8 + F.col("k.kind")).cast("bigint").alias("req_id"),
         F.col("n_name").alias("area_value"),
-        F.lit("1995-01-01").alias("time_start"),
-        F.lit("1996-12-31").alias("time_end"),
+        "k.scope", "k.time_start", "k.time_end",
     )
 
 

@@ -33,6 +33,7 @@ def build_session(app: str = "sheafline", master: str | None = None, **conf) ->
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +54,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other call returns."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever file system it names."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under ``scratch_path``; for the end of a job,
+    when no result that reads it is needed any more."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    for path in _SCRATCH.pop(context.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from sheafline.operators.sides import small_side
 from sheafline.session import cut
 
 LOG_SCHEMA = "id bigint, payload string, created_at timestamp, topic string"
@@ -102,8 +101,11 @@ def resume_join(log: DataFrame, readers: DataFrame, offsets: DataFrame) -> DataF
     due = readers.join(offsets, "consumer", "left").select(
         "consumer", "topic", F.coalesce("last_id", F.lit(0)).alias("last_id")
     )
+    # the least offset reaches the scan; a join condition would not
+    least = due.agg(F.min("last_id")).scalar()
     return (
-        log.join(small_side(due), "topic").filter(F.col("id") > F.col("last_id")).drop("last_id")
+        log.filter(F.col("id") > least)
+        .join(due, "topic").filter(F.col("id") > F.col("last_id")).drop("last_id")
     )
 
 

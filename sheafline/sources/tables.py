@@ -9,24 +9,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
-SPREAD_LIMIT = 128 << 20
+# The kinds of source a description can name.
 SOURCE_TYPES = ("website", "api", "database", "local_file")
 _MODES = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
-# Formats found by the file facets, by extension.
+# Formats by extension.
 _FORMATS = {".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv", ".orc": "orc"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small scan dealt out to all cores.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt out to ``partitions`` tasks; None leaves the scan's own.
 
     A file of one row group is read by one task, however long the work on each
-    text takes. Only a scan that fits one input partition (by default 128 MB)
-    is dealt out, so the exchange is bounded; anything larger has row groups
-    enough and is left alone.
+    text takes. How many tasks a small table is worth is for the caller to
+    say: nothing here looks at sizes, and a large scan has row groups enough.
     """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df if size > SPREAD_LIMIT else df.repartition(spark.sparkContext.defaultParallelism)
+    return df if partitions is None else df.repartition(partitions)
+
+
+# Globs of landed files: the extension in any case, compressed or not.
+_LANDED = {
+    "csv": "*.{" + ",".join(f"[cC][sS][vV]{z}" for z in ("", ".gz", ".bz2", ".zst")) + "}",
+    "json": "*.{"
+    + ",".join(
+        f"[jJ][sS][oO][nN]{x}{z}" for x in ("", "[lL]") for z in ("", ".gz", ".bz2", ".zst")
+    )
+    + "}",
+}
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -73,11 +81,18 @@ def scan_source(
 
 
 def landed_files_scan(
-    spark: SparkSession, path: str, fmt: str, schema: str | T.StructType
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: str | T.StructType,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Raw csv or json files below ``path``, each row with its file name.
 
-    Rows that do not parse keep their text in ``_corrupt_record``.
+    Extensions count in any case, compressed (``.gz``, ``.bz2``, ``.zst``) or not, and
+    ``.jsonl`` is json. ``unmatched_files`` lists what else lies there. Rows that do
+    not parse keep their text in ``_corrupt_record``. With ``multi_line`` a quoted csv field may
+    hold line breaks and a json record may span lines; such a file is read by one task.
     """
     if fmt not in ("csv", "json"):
         raise ValueError(f"landed files are csv or json, not {fmt!r}")
@@ -88,13 +103,24 @@ def landed_files_scan(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{fmt}")
+        .option("pathGlobFilter", _LANDED[fmt])
+        .option("multiLine", str(multi_line).lower())
     )
     if fmt == "csv":
         reader = reader.option("header", "true").option("escape", '"')
     return reader.format(fmt).load(path).withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def unmatched_files(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """``path`` and ``length`` of the files below ``path`` that ``landed_files_scan`` passes over."""
+    every = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        .select("path", "length")  # the contents are not read
+    )
+    suffix = {"csv": "csv", "json": "jsonl?"}[fmt]
+    return every.filter(~F.col("path").rlike(rf"(?i)\.{suffix}(\.(gz|bz2|zst))?$"))
+
+
 def table_write(
     df: DataFrame,
     name: str,

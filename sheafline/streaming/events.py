@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sheafline.functions.text import parse_json
 from sheafline.functions.times import utc_naive
+from sheafline.session import path_exists
 from sheafline.sources.eventlog import assign_ids, event_summary, to_events
 
 STREAM_SCHEMA = (
@@ -36,9 +37,11 @@ def event_pipe(
 ) -> StreamingQuery:
     """Drain a stream into a log.
 
-    Each micro-batch goes to its own ``batch_id`` folder by overwrite, so a
-    batch that is run again after a failure replaces itself and keeps its ids:
-    they follow the head written by the batch before. ``transform`` maps the
+    Each micro-batch goes to its own ``batch_id`` folder, which counts once Spark
+    has marked it as complete. A batch that is run again after a failure finds
+    the mark and leaves the files alone, so a reader who has seen them sees
+    them once; without the mark it overwrites what is there. Ids follow the head
+    written by the batch before, so they are the same either way. ``transform`` maps the
     batch before it turns to JSON; ``on_chunk`` sees the batch as a side
     effect, at least once.
     """
@@ -46,6 +49,8 @@ def event_pipe(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if path_exists(spark, f"{heads}/batch_id={batch_id}/_SUCCESS"):
+            return
         if transform is not None:
             batch = transform(batch)
         last = 0
@@ -59,7 +64,9 @@ def event_pipe(
             on_chunk(events, batch_id)
         rows = events.select("id", "topic", "payload", created.alias("created_at"))
         even = rows if topic is not None else rows.hint("rebalance", "topic")
-        even.write.mode("overwrite").partitionBy("topic").parquet(f"{log}/batch_id={batch_id}")
+        target = f"{log.rstrip('/')}/batch_id={batch_id}"
+        if not path_exists(spark, f"{target}/_SUCCESS"):
+            even.write.mode("overwrite").partitionBy("topic").parquet(target)
         head = event_summary(rows).unionByName(
             spark.range(1).select(  # carries the last id over an empty batch
                 F.lit(None).cast("string").alias("topic"),
@@ -112,11 +119,13 @@ def deliver(
 ) -> StreamingQuery:
     """Hand a stream to a folder, sorted inside each micro-batch.
 
-    A batch that is run again overwrites its own folder, so readers of the
-    sink see each event once. There is no order across batches.
+    A batch that is run again finds its folder complete and leaves it, so
+    readers of the sink see each event once. There is no order across batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if path_exists(batch.sparkSession, f"{sink}/batch_id={batch_id}/_SUCCESS"):
+            return
         rows = batch.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
         rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 

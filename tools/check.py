@@ -81,6 +81,7 @@ def main(argv: list[str]) -> int:
         master="local[8]",
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
+        spark__sheafline__scanTasks="8",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
     )
