@@ -215,7 +215,7 @@ def test_chunk_regex_matches_python(spark):
 
 
 def test_chunker_by_name():
-    with pytest.raises(ValueError, match="Invalid chunking strategy"):
+    with pytest.raises(ValueError, match="no chunking strategy"):
         C.chunker("unheard")
     with pytest.raises(ValueError):
         C.chunk_overlap(None, 10, 10)
@@ -257,3 +257,34 @@ def test_topics_match_python(spark):
     assert values(spark, texts, C.chunk_topics(F.col("x"))) == want
     assert max(len(w) for w in want) > 2
     assert values(spark, texts, C.chunker("topic_segmentation")(F.col("x"))) == want
+
+
+PAGES = [
+    # (page, text by hand)
+    ("<article><p>one</p><nav-item>x</nav-item><p>two</p></article>", "one\nx\ntwo"),
+    ("<main-menu>menu</main-menu><article>body</article>after", "body"),
+    ("<article>a<article>comment</article>tail</article>end", "a\ncomment\ntail"),
+    ("<article><p title='1 > 0'>kept</p><nav>no <nav>no</nav> no</nav> end</article>", "kept\nend"),
+    ("<article>&#38;lt; and &lt; &ccaron; &Eacute; &amp;amp; &none; &#x41;</article>", "&lt; and < č É &amp; &none; A"),
+    ("<p>nothing kept</p>", "nothing kept"),
+]
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_main_content_by_depth(spark, page, text):
+    from sheafline.functions import html as H
+
+    row = spark.createDataFrame([(page,)], "html string").select(H.page_text(F.col("html")).alias("t"))
+    assert row.first().t == text
+
+
+def test_blanks_beyond_ascii_split_chunks(spark):
+    from sheafline.functions import chunks as C
+
+    df = spark.createDataFrame([("One. Two.　Three. Four.", "en")], "t string, l string")
+    assert df.select(C.chunk_regex(F.col("t")).alias("c")).first().c == ["One.", "Two.", "Three.", "Four."]
+    text = 'Mr. Hu said "Go!" Then etc. followed… End'
+    df = spark.createDataFrame([(text, "en"), (text, "xx")], "t string, l string")
+    got = [r.c for r in df.select(C.chunk_sentences(F.col("t"), F.col("l")).alias("c")).collect()]
+    assert got[0] == ['Mr. Hu said "Go!"', "Then etc. followed…", "End"]
+    assert got[1] == ["Mr.", 'Hu said "Go!"', "Then etc.", "followed…", "End"]

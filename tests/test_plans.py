@@ -11,7 +11,10 @@ EAGER = {
     "dependency_levels",
 }
 # one row per partition, or one row in all, may meet in a single task
-SINGLE = {"assign_ids", "query_expand", "resume"}
+SINGLE = {
+    "assign_ids", "query_expand", "resume", "extract_terms", "extract_terms_long",
+    "requirement_filter", "metric_by_period", "resume_join",
+}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])

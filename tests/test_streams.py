@@ -110,3 +110,32 @@ def test_days_close_with_the_watermark(spark, paths):
     )
     got = [(str(r.day)[:10], r.kind, r.n, r.mean_value) for r in spark.read.parquet(paths["sink"]).collect()]
     assert got == [("2024-01-01", "x", 2, 2.0)]
+
+
+def test_a_reader_between_write_and_commit_sees_events_once(spark, paths, monkeypatch):
+    """A batch fails between its events and its head; a reader has seen the events by then."""
+    land(spark, paths["in"], 0, 20, 1)
+    real, fails = E.event_summary, [True]
+
+    def summary(rows):
+        if fails:
+            fails.pop()
+            raise RuntimeError("lost")
+        return real(rows)
+
+    monkeypatch.setattr(E, "event_summary", summary)
+
+    def pipe():
+        return E.event_pipe(E.file_stream(spark, paths["in"], SCHEMA), paths["log"], paths["state"], ["n"], topic="a")
+
+    def read():
+        events = E.event_stream(spark, paths["log"], "a", "n bigint")
+        drain(E.deliver(events.select("id", "payload.n"), paths["sink"], paths["sink_state"]))
+
+    with pytest.raises(Exception, match="lost"):
+        pipe().awaitTermination(120)
+    read()
+    drain(pipe())
+    read()
+    assert sorted(r.id for r in spark.read.parquet(paths["sink"]).collect()) == list(range(1, 21))
+    assert {r.topic: r.inserted for r in E.pipe_summary(spark, paths["log"]).collect()} == {"a": 20}
