@@ -19,18 +19,16 @@ def explode_rows(
     return rows.filter(F.col(pos).isNotNull())
 
 
-#: Bits of the filter in ``maybe_among``: at most 512 broadcast rows of 4 KB.
-FILTER_BITS = 1 << 24
-
-
-def maybe_among(df: DataFrame, keys: Sequence[str], members: DataFrame) -> DataFrame:
+def maybe_among(
+    df: DataFrame, keys: Sequence[str], members: DataFrame, bits: int = 1 << 24
+) -> DataFrame:
     """Rows of ``df`` whose ``keys`` may be among those of ``members``.
 
     None that is among them is lost; some others pass. The filter is a bitmap
-    of fixed size however many members there are, so it can be broadcast at
-    any scale, and rows without a match go before anything is shuffled.
+    of ``bits`` bits however many members there are, in rows of 4 KB, so it can
+    be broadcast at any scale, and rows without a match go before anything is shuffled.
     """
-    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
     bitmap = (
         members.select(bit.alias("_bit"))
         .groupBy(F.expr("bitmap_bucket_number(_bit)").alias("_bucket"))
