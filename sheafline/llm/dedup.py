@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.llm.common import cut, keyed_texts
+from sheafline.operators.rows import maybe_among
 
 CHUNK_BYTES = 1 << 16
 #: Two primes below 2**31 and a base below both.
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
-#: Bits of the filter that keeps single texts out of the comparison: 2 MB at most.
-FILTER_BITS = 1 << 24
 
 
 def normal_text(text: Column) -> Column:
@@ -112,31 +111,6 @@ def fingerprints(texts: DataFrame, primes=PRIMES, chunk_bytes: int = CHUNK_BYTES
     )
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
-
-def _maybe_in(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among the one column of ``members``: a bitmap of
-    ``FILTER_BITS`` bits, so at most 512 broadcast rows of 4 KB however many members."""
-    bit = _bit(F.col(members.columns[0]))
-    bitmap = (
-        members.select(bit.alias("b"))
-        .groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket_"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits_"))
-    )
-    rows = df.withColumn("b_", _bit(key))
-    rows = rows.withColumn("bucket_", F.expr("bitmap_bucket_number(b_)"))
-    rows = rows.join(F.broadcast(bitmap), "bucket_")
-    at = F.expr("bitmap_bit_position(b_)")
-    byte = F.conv(F.hex(F.substring(F.col("bits_"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    inside = F.expr("shiftright(byte_, cast(bitmap_bit_position(b_) % 8 as int)) % 2 = 1")
-    return (
-        rows.withColumn("byte_", byte.cast("int")).filter(inside)
-        .drop("b_", "bucket_", "bits_", "byte_")
-    )
-
-
 def _unequal(members: DataFrame, chunk_bytes: int) -> DataFrame:
     """Keys of the rows of ``row_key, class, body`` that differ from their class's first row."""
     rows = members.select(
@@ -166,7 +140,7 @@ def exact_groups(
     while True:
         many = todo.groupBy("class").count().filter("count > 1").select("class")
         pairs = todo.join(many, "class", "left_semi").select("row_key", "class")
-        bodies = _maybe_in(texts.select("row_key", "body"), F.col("row_key"), pairs.select("row_key"))
+        bodies = maybe_among(texts.select("row_key", "body"), ["row_key"], pairs)
         unequal = cut(_unequal(bodies.join(pairs, "row_key"), chunk_bytes))
         if unequal.isEmpty():
             break

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.llm.common import cut, keyed_texts, slices
+from sheafline.operators.rows import maybe_among
 
 UNIT_WORDS = 20
 MIN_UNITS = 2
@@ -125,20 +126,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         .agg(F.min(_order()).alias("lead"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("h1", "h2", "lead")
     )
-    bit = F.pmod(F.col("h1"), F.lit(FILTER_BITS))
-    bitmap = (
-        groups.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    )
-    at = F.expr("bitmap_bit_position(b)")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    likely = (
-        spans.withColumn("b", bit).withColumn("bucket", F.expr("bitmap_bucket_number(b)"))
-        .join(F.broadcast(bitmap), "bucket")  # at most 4096 rows of 4 KB
-        .withColumn("byte", byte.cast("int"))
-        .filter(F.expr("shiftright(byte, cast(bitmap_bit_position(b) % 8 as int)) % 2 = 1"))
-        .select("row_key", "doc_id", "first", "last", "h1", "h2")
-    )
+    likely = maybe_among(spans, ["h1", "h2"], groups, FILTER_BITS)  # 4096 rows of 4 KB at most
     return (
         likely.join(groups, ["h1", "h2"])
         .filter(_order() != F.col("lead"))
