@@ -53,12 +53,11 @@ class Memo:
             self.old = old = young
             self.young = young = {}
         missing = []
-        for w in set(words):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing.append(w)
+        for w in set(words).difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                missing.append(w)
         if missing:
             young.update(zip(missing, make(missing)))
         return young

@@ -23,6 +23,7 @@ each on its own. No documents give no pieces.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sheafline.llm.bpe import Memo, tokenizer_path
+from sheafline.llm.bpe import Memo, byte_symbols, tokenizer_path
 from sheafline.llm.common import cut, keyed_texts, map_texts, scratch_path
 
 WINDOW = 2048
@@ -42,7 +43,9 @@ class LibraryEncoder:
     """Ids as the tokenizers library gives them, each different chunk asked for once.
 
     Word-level tokenizers never merge across U+0020, so a text is cut there and
-    unknown chunks go to the library together.
+    unknown chunks go to the library together. A chunk of Latin letters, with a full stop or comma
+    behind it or not, is one word that normalising only lowers, so the library's model is
+    asked for it directly.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -52,9 +55,22 @@ class LibraryEncoder:
         self.library, self.dtype = Tokenizer.from_file(path), dtype
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.symbols = dict(enumerate(byte_symbols()))
         self.memo, self.stems = Memo(), Memo()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single lower-case words of letters."""
+        out, ask, code = [], self.model.tokenize, self.code
+        for w in words:
+            if not w.isascii():
+                w = w.encode("utf-8").decode("latin-1").translate(self.symbols)
+            out.append(array(code, [t.id for t in ask(w)]).tobytes())
+        return out
+
     def _ask(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks, normalised and split by the library."""
         found = self.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, dtype=self.dtype)
         word = np.array(found.word_ids, dtype=np.int64)
@@ -63,20 +79,21 @@ class LibraryEncoder:
         return [raw[a * width : b * width] for a, b in zip([0, *ends], ends)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """A plain ASCII word with its full stop or comma is the word's ids and the mark's."""
         plain, stems, rest = [], [], []
         for i, c in enumerate(chunks):
             stem = c[:-1] if c[-1:] in (".", ",") else c
-            if stem.isascii() and stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or max(stem) < "ƀ" and "İ" not in stem):
                 plain.append(i)
                 stems.append(stem.lower())
             else:
                 rest.append(i)
         out: list[bytes] = [b""] * len(chunks)
-        known = self.stems.fill([*stems, ".", ","], self._ask)
+        known = self.stems.fill([*stems, ".", ","], self._words)
+        stop, comma = known["."], known[","]
         for i, stem in zip(plain, stems):
-            c = chunks[i]
-            out[i] = known[stem] + known[c[-1]] if c[-1] in ".," else known[stem]
+            last = chunks[i][-1]
+            ids = known[stem]
+            out[i] = ids + stop if last == "." else ids + comma if last == "," else ids
         if rest:
             for i, ids in zip(rest, self._ask([chunks[i] for i in rest])):
                 out[i] = ids
@@ -214,7 +231,6 @@ class Layout:
         counts = np.array([histogram[r] for r in lengths.tolist()], dtype=np.int64)
         combos = combinations(lengths, window, depth) if len(lengths) else np.empty((0, depth), int)
         used = np.zeros(len(lengths), dtype=np.int64)
-        starts: list[np.ndarray] = []
         made = repeats(combos, solve(combos, counts), counts) if len(combos) else np.empty(0, int)
         keep = np.flatnonzero(made)
         combos, made = combos[keep], made[keep]
@@ -244,7 +260,6 @@ class Layout:
         self.lengths, self.group, self.used = lengths, group, used
         self.rest_start = longest_first
         self.rest_windows = int(-(-size.sum() // window))
-        del starts
 
     def place(self, at: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window and offset of the documents with ``r`` ids at the places ``at``; an
