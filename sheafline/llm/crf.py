@@ -1,6 +1,6 @@
 """Language of code-switched text by a linear-chain conditional random field.
 
-Every word of a text gets a label, one of the languages learned. A word's score for
+Every word of a text gets a label, one of the languages that may be learned from, however many. A word's score for
 a label is the sum of the weights of its features: prefixes and suffixes, character
 n-grams with the word's ends marked, the word itself if it is in the lexicon,
 and its shape. Neighbouring labels have learned transition weights. Forward-backward
@@ -32,12 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sheafline.llm.common import held_out, keyed_texts, map_texts
+from sheafline.llm.common import cut, held_out, keyed_texts, map_texts
 
 #: Training documents of each language, at most.
 SAMPLE = 120
-#: Languages learned, most frequent first; the rest are never predicted.
-LANGUAGES = 64
 LEXICON = 4000
 BUCKETS = 1 << 15
 PIECE = 12  # words of a document that stand together in a training sequence
@@ -48,6 +46,8 @@ L2 = 1e-5
 #: Words of the texts that run through forward-backward together.
 BATCH_WORDS = 400_000
 MEMO_WORDS = 150_000
+#: Scores (words by labels) held at a time: with many labels batches get fewer words.
+CELLS = 25_000_000
 
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
 
@@ -119,7 +119,7 @@ class Chain:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of the words, each different one computed once as long as it is known."""
-        if len(self.known) > MEMO_WORDS:
+        if len(self.known) > min(MEMO_WORDS, CELLS // len(self.labels)):
             self.known, self.table = {}, self.table[:0]
         known = self.known
         new = [w for w in set(words) if w not in known]
@@ -158,7 +158,7 @@ class Chain:
                 held.append(i)
                 words += own
                 sizes.append(len(own))
-                if len(words) >= BATCH_WORDS:
+                if len(words) >= min(BATCH_WORDS, CELLS // len(self.labels)):
                     flush()
         flush()
         return langs, scores
@@ -302,22 +302,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Chain | None:
         ~held_out(F.col("doc_id"))
     )
     texts = keyed_texts(known, F.col("lang").cast("string").alias("lang"))
-    sizes = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    labels = sorted(r["lang"] for r in sizes)
+    # a row per language: every one is a label, only its documents are sampled
+    sizes = cut(texts.groupBy("lang").count())
+    labels = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not labels:
         return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
+    share = F.least(F.lit(1.0), F.lit(sample) / F.col("count"))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)
-    chosen = texts.filter(pick).select("lang", "text").limit(2 * sample * len(labels)).collect()
+    chosen = (
+        texts.join(F.broadcast(sizes), "lang").filter(pick)
+        .select("lang", "text").limit(2 * sample * len(labels)).collect()
+    )
     words = (
-        _word_counts(texts.select("lang", "text"))
-        .filter(F.col("lang").isin(labels)).groupBy("word").agg(F.sum("n").alias("n"))
+        _word_counts(texts.select("lang", "text")).groupBy("word").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word").limit(LEXICON).collect()
     )
     lexicon = frozenset(r["word"] for r in words)
-    rows = sorted((r["text"], labels.index(r["lang"])) for r in chosen)
+    number = {lang: i for i, lang in enumerate(labels)}
+    rows = sorted((r["text"], number[r["lang"]]) for r in chosen)
     return train(rows, labels, lexicon)
 
 
