@@ -1,7 +1,9 @@
 """Repeated passages, found as sliding spans of sentences.
 
-A text is cut into sentences, at sentence ends and line breaks; a sentence of more
-than ``UNIT_WORDS`` words counts as several. From every sentence on, the shortest run of at
+A text is cut into sentences, at sentence ends and line breaks, and each of these again behind
+pairs of words whose hash meets a condition, or after ``UNIT_WORDS`` words; the parts count as
+sentences. Such cuts depend on the words there only, so a passage is cut alike wherever it
+stands in a sentence. Letters of scripts without blanks are words of their own. From every sentence on, the shortest run of at
 least ``MIN_UNITS`` sentences and ``MIN_WORDS`` words is a span; its 128-bit hash ignores
 how blanks are written. Equal spans are joined over the whole corpus. All but the first
 in the order (doc_id, place) are repeated, and sentences that any of these covers are
@@ -18,6 +20,7 @@ ids are ordered as they are stored. No documents give no rows. Extra columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +38,27 @@ MIN_WORDS = 30
 #: Bits of the filter for repeated hashes: 16 MB at most.
 FILTER_BITS = 1 << 27
 _SENTENCE = re.compile(r"[^\n]+")
-_STOP = re.compile(r"[.!?。！？]+[\"')\]]*(?=\s|\Z)")
-_WORD = re.compile(r"\S+")
+#: Behind one in so many pairs of words a sentence is cut.
+CUT = 4
+MEMO_WORDS = 200_000
+_STOP = re.compile(r"[.!?。！？]+[\"')\]]*(?=\s|\Z)|[。！？]+[\"')\]」』”’）]*")
+#: Scripts that are written without blanks.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
+_KNOWN: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    code = _KNOWN.get(word)
+    if code is None:
+        if len(_KNOWN) > MEMO_WORDS:
+            _KNOWN.clear()
+        code = _KNOWN[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return code
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence or part of a long one; between them there
-    are only blanks."""
+    """(start, end, words) of each part of a sentence; between them there are only blanks."""
     out = []
     for line in _SENTENCE.finditer(text):
         at, stop = line.start(), line.end()
@@ -49,18 +66,21 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         if not ends or ends[-1] < stop:
             ends.append(stop)
         for end in ends:
-            sentence = text[at:end]
-            words = sentence.split()
-            if len(words) <= UNIT_WORDS:
-                if words:
-                    lead = len(sentence) - len(sentence.lstrip())
-                    out.append((at + lead, at + len(sentence.rstrip()), words))
-            else:
-                found = [(m.start(), m.end()) for m in _WORD.finditer(sentence)]
-                for i in range(0, len(found), UNIT_WORDS):
-                    part = found[i : i + UNIT_WORDS]
-                    own = [sentence[a:b] for a, b in part]
-                    out.append((at + part[0][0], at + part[-1][1], own))
+            part: list[str] = []
+            before = start = stop_ = 0
+            for m in _WORD.finditer(text, at, end):
+                if not part:
+                    start = m.start()
+                part.append(m[0])
+                stop_ = m.end()
+                code = _code(m[0])
+                # the high bits of a product, which depend on both words
+                if len(part) == UNIT_WORDS or ((before * 31 + code) * 2654435761 >> 20 & 0xFFF) % CUT == 0:
+                    out.append((start, stop_, part))
+                    part = []
+                before = code
+            if part:
+                out.append((start, stop_, part))
             at = end
     return out
 
