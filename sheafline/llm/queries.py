@@ -18,7 +18,7 @@ from sheafline.llm import (
     pu,
     spans,
 )
-from sheafline.llm.common import documents
+from sheafline.llm.common import cut, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return masked_lm.score(docs, *masked_lm.train(docs))
+    counts = cut(masked_lm.word_counts(docs))
+    return masked_lm.score_words(docs, *masked_lm.train(docs, counts=counts), counts)
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
