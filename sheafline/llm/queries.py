@@ -18,6 +18,7 @@ from sheafline.llm import (
     pii,
     pu,
     spans,
+    trie,
 )
 from sheafline.llm.common import cut, documents
 
@@ -124,6 +125,62 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP13_SQL = """
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), v AS (
+  -- the reduction is CRC-32 of the decimal id: -1 stands for one shift
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           string_split(conv_id::VARCHAR, ''), x -> [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           (a, x) -> CASE WHEN x >= 0 THEN xor(a, x)
+                          WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT)
+                          ELSE a >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM c)
+), r AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d
+  FROM (
+    SELECT v.conv_id, b.i, b.role, b.text FROM v JOIN c b ON b.conv_id = v.base AND b.i <= v.h
+    UNION ALL
+    SELECT v.conv_id, v.h + o.i, o.role, o.text FROM v JOIN c o ON o.conv_id = v.conv_id AND o.i > v.h
+  )
+), p AS (
+  SELECT conv_id, d, strlen(text) AS bytes,
+         sha256(string_agg(sha256(role) || sha256(text), '')
+                OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS id
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM v
+), n AS (
+  SELECT d, id, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY d, id
+), up AS (
+  SELECT n.d, n.id, a.d AS up_d, a.id AS up_id, n.n_convs, n.bytes
+  FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d
+), k AS (
+  SELECT up_d AS d, up_id AS id, count(*) AS n_children FROM up WHERE d = up_d + 1 GROUP BY ALL
+), s AS (
+  SELECT up.up_d AS d, up.up_id AS id, count(*) FILTER (k.id IS NULL) AS n_leaves,
+         sum((up.n_convs - 1) * up.bytes)::BIGINT AS saved_tokens
+  FROM up LEFT JOIN k ON k.d = up.d AND k.id = up.id GROUP BY ALL
+), e AS (
+  SELECT d, id, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, max(d) AS d, arg_max(id, d) AS id FROM p GROUP BY conv_id) GROUP BY d, id
+)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens,
+       coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s USING (d, id) LEFT JOIN k USING (d, id) LEFT JOIN e USING (d, id)
+LEFT JOIN up ON up.d = n.d AND up.id = n.id AND up.up_d = n.d - 1
+LEFT JOIN n m ON m.d = up.up_d AND m.id = up.up_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -138,8 +195,9 @@ QUERIES: dict[str, Query] = {
         op9_language_crf,
         op10_simhash,
         op11_maxscore,
+        op13_prefix_trie,
     )
 }
 
 #: The other queries are tested against brute force, an exact round trip or held-out labels.
-CHECKS: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_maxscore": OP11_SQL}
+CHECKS: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_maxscore": OP11_SQL, "op13_prefix_trie": OP13_SQL}
