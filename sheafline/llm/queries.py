@@ -19,6 +19,7 @@ from sheafline.llm import (
     pu,
     spans,
     trie,
+    weak,
 )
 from sheafline.llm.common import cut, documents
 
@@ -125,6 +126,11 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
 """
 
 
+def op12_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return weak.score(docs, weak.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -195,6 +201,7 @@ QUERIES: dict[str, Query] = {
         op9_language_crf,
         op10_simhash,
         op11_maxscore,
+        op12_weak_toxicity,
         op13_prefix_trie,
     )
 }
