@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .text import WS, let, words
+from .tokens import fold
 
 # Fixed value: the configured sentence pattern. Splits on blanks after . ? !
 # but not after initials (A.B.) or two-letter titles (Mr.).
@@ -107,22 +108,57 @@ def _sentence_pattern(short: Sequence[str]) -> str:
     return rf"(?<=[.!?\u2026\u3002\uFF01\uFF1F][\"'\u201D\u2019\u00BB)\]]{{0,3}}){words_}{WS}+"
 
 
-def chunk_sentences(text: Column, lang: Column | None = None) -> Column:
+def chunk_sentences(
+    text: Column, lang: Column | None = None, short: Column | None = None
+) -> Column:
     """Sentences with their punctuation, split at the blanks behind . ! ? … and their
     full-width forms, with closing quotes and brackets.
 
-    A full stop behind one of the language's ``ABBREVIATIONS`` does not count; without a
-    language, or with one that has no list, those of none do.
+    A full stop behind one of the words ``short`` (folded, without their stop) does not count; see
+    ``operators.sentences`` for those of a corpus. Without them those of the language's
+    ``ABBREVIATIONS`` do not; without a language, or with one that has no list, those of none do.
     """
     plain = _sentence_pattern(())
+    if short is not None:
+        return let(short, lambda s: _joined_at(text, plain, s))
     if lang is None:
         return F.split(text, plain)
     out = F.split(text, plain)
-    for name, short in ABBREVIATIONS.items():
-        out = F.when(lang == name, F.split(text, _sentence_pattern(short))).otherwise(out)
+    for name, listed in ABBREVIATIONS.items():
+        out = F.when(lang == name, F.split(text, _sentence_pattern(listed))).otherwise(out)
     return out
 
 
+def _joined_at(text: Column, pattern: str, short: Column) -> Column:
+    """Pieces between the matches of ``pattern``, joined again by the blanks there where a piece
+    ends in one of ``short``."""
+
+    def goes_on(piece: Column) -> Column:
+        last = F.regexp_extract(piece, rf"([^{WS[1:]}+)\.$", 1)
+        last = fold(F.regexp_replace(last, r"^[\p{P}\p{S}]+", ""))
+        return F.array_contains(short, F.regexp_replace(last, r"\.+$", ""))
+
+    def with_blanks(pieces: Column, blanks: Column) -> Column:
+        ends = F.filter(
+            F.sequence(F.lit(1), F.size(pieces)),
+            lambda i: (i == F.size(pieces)) | ~goes_on(F.get(pieces, i - 1)),
+        )
+
+        def sentence(e: Column, end: Column, at: Column) -> Column:
+            first = F.coalesce(F.get(e, at - 1), F.lit(0))
+            some = F.sequence(first, end - 1)
+            parts = F.transform(
+                some,
+                lambda i: F.concat(F.get(pieces, i), F.when(i < end - 1, F.get(blanks, i)).otherwise("")),
+            )
+            return F.array_join(parts, "")
+
+        return let(ends, lambda e: F.transform(e, lambda end, at: sentence(e, end, at)))
+
+    blanks = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.split(text, pattern), lambda p: let(blanks, lambda b: with_blanks(p, b)))
+
+
 def _square(sorted_words: Column) -> Column:
     """Sum of squared word counts of a sorted word array: the nth of equal
     words adds 2n - 1."""

@@ -11,11 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sheafline.functions.text import let, words
-from sheafline.operators.rows import explode_rows
-
-
-# Punctuation and symbols at the ends of a word.
-TERM_EDGES = r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
+from sheafline.functions.tokens import bare_words, fold, placed_words
+from sheafline.operators.rows import explode_rows, maybe_among
 
 
 def to_extraction_struct(pairs: Column) -> Column:
@@ -102,11 +99,8 @@ def extract_labels(
 
 
 def term_words(text: Column) -> Column:
-    """Lower-cased words without the punctuation around them."""
-    bare = F.transform(
-        words(F.lower(text)), lambda w: F.regexp_replace(w, TERM_EDGES, "")
-    )
-    return F.array_remove(bare, "")
+    """Case-folded words without the punctuation around them."""
+    return bare_words(text)
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
@@ -122,40 +116,47 @@ def example_terms(examples: DataFrame) -> DataFrame:
 def extract_terms(
     chunks: DataFrame, terms: DataFrame, keep: Sequence[str], text: str = "text"
 ) -> DataFrame:
-    """Word sequences of the text listed in ``terms`` (``label``, ``value``).
+    """Word sequences of the text listed in ``terms`` (``label``, ``value``), each with its place.
+
+    Gives ``keep``, ``extraction_class``, ``extraction_text`` (the term as it is compared), ``start``
+    and ``end`` (code points, end exclusive), a row for each place. Case and the punctuation around
+    words do not count. Sequences are as long as the list's own, which its values tell while
+    the query runs, so no listed term is too long.
 
-    Sequences are as long as the list's own, which its values tell while the
-    query runs, so no listed term is too long. Case and the punctuation around words do not
-    count. The list can be of any size: it is met by an equi-join, after
-    repeats inside a text are folded.
+    The list can be of any size: a bitmap of its hashes, of fixed size, stops sequences
+    in no list before anything is shuffled; the others meet the list by an equi-join.
     """
     listed = terms.select(
         F.col("label").alias("extraction_class"), term_words(F.col("value")).alias("w")
     ).filter(F.size("w") > 0)
     sizes = listed.agg(F.sort_array(F.collect_set(F.size("w"))).alias("n"))  # few lengths
     tokens = chunks.select(
-        *keep, term_words(F.col(text)).alias("w"), sizes.scalar().alias("_sizes")
+        *keep, placed_words(F.col(text)).alias("_w"), sizes.scalar().alias("_sizes")
     )
 
     def grams(w: Column, n: Column) -> Column:
-        return F.when(
-            F.size(w) >= n,
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - n),
-                lambda i: F.array_join(F.slice(w, i + 1, n), " "),
+        """{value, start, end} of all sequences of n words."""
+        last = F.size(w) - n
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            at,
+            lambda i: F.struct(
+                F.array_join(F.transform(F.slice(w, i + 1, n), lambda t: t["word"]), " ").alias("value"),
+                F.get(w, i)["start"].alias("start"),
+                F.get(w, i + n - 1)["end"].alias("end"),
             ),
-        ).otherwise(F.array().cast("array<string>"))
+        )
 
-    seen = F.array_distinct(
-        F.flatten(F.transform("_sizes", lambda n: grams(F.col("w"), n)))
-    )
+    folded = F.transform("_w", lambda t: t.withField("word", fold(t["word"])))
+    seen = let(folded, lambda w: F.flatten(F.transform("_sizes", lambda n: grams(w, n))))
     values = listed.select(
         "extraction_class", F.array_join("w", " ").alias("extraction_text")
     ).distinct()
-    return (
-        explode_rows(tokens, keep, seen, "_pos", "extraction_text")
-        .drop("_pos")
-        .join(values, "extraction_text")
+    rows = explode_rows(tokens, keep, seen, "_pos", "_g").select(
+        *keep, F.col("_g.value").alias("extraction_text"), "_g.start", "_g.end"
+    )
+    return maybe_among(rows, ["extraction_text"], values).join(values, "extraction_text").select(
+        *keep, "extraction_class", "extraction_text", "start", "end"
     )
 
 

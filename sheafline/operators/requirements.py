@@ -127,41 +127,81 @@ def period_bounds(text: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"))
 
 
+#: Days of the aligned periods that spans are cut into. The largest is short, so that a key holds the
+#: facts of one area in two months at most.
+PERIODS = (64, 8, 1)
+
+
+def aligned_periods(first: Column, last: Column, sizes: tuple[int, ...] = PERIODS) -> Column:
+    """{_size, _at} of the aligned periods that make up the days ``first`` to ``last``, largest first where they
+    fit: period ``_at`` of a size holds the days from _at * _size on. None if the span is empty."""
+    size, rest = sizes[0], sizes[1:]
+    none = F.array().cast("array<struct<_size:int,_at:int>>")
+    low = F.floor((first + size - 1) / size).cast("int")
+    high = F.floor((last + 1) / size).cast("int")
+    own = F.transform(
+        F.sequence(low, high - 1), lambda x: F.struct(F.lit(size).alias("_size"), x.alias("_at"))
+    )
+    fits = low < high
+    made = F.when(fits, own).otherwise(none)
+    if not rest:
+        return made
+    before = aligned_periods(first, F.when(fits, low * size - 1).otherwise(last), rest)
+    after = aligned_periods(F.when(fits, high * size).otherwise(last + 1), last, rest)
+    return F.concat(made, before, after)
+
+
 def requirement_filter(facts: DataFrame, req: DataFrame) -> DataFrame:
     """Facts (``area``, ``ts``) inside the area and the time span of each request.
 
     Both bounds count in full: a span up to a year holds all of that year. A
     null or blank bound is open; one that cannot be read selects nothing, as
     ``requirement_check`` reports it. Scope ``global`` has no area test; any other does, and
-    a blank area then selects nothing.
+    a blank area then selects nothing. A fact without a time is in no span.
 
-    Local requests meet their facts by area. Global ones do so by year: their
-    open ends are cut to the years of the facts, which one aggregate over ``ts`` gives.
+    A request meets its facts by area (all of them, if global) and aligned period: its span, cut to
+    the days of the facts, is parted into few disjoint periods, and a fact lies in one of
+    each size. So facts of one area or year are spread over many keys, and only those of the
+    first and last day are looked at in vain.
     """
     scope = F.coalesce("scope", F.lit("local")) if "scope" in req.columns else F.lit("local")
     readable = lambda f: _blank(F.col(f)) | period_bounds(F.col(f))["start"].isNotNull()
-    spans = req.filter(readable("time_start") & readable("time_end")).select(
-        "req_id",
-        F.col("area_value").alias("area"),
-        F.when(~_blank(F.col("time_start")), period_bounds(F.col("time_start"))["start"]).alias("_from"),
-        F.when(~_blank(F.col("time_end")), period_bounds(F.col("time_end"))["end"]).alias("_to"),
-        scope.alias("_scope"),
+    day = lambda ts: F.unix_date(ts.cast("date"))
+    days = facts.agg(F.struct(F.min(day(F.col("ts"))).alias("lo"), F.max(day(F.col("ts"))).alias("hi")))
+    spans = (
+        req.filter(readable("time_start") & readable("time_end"))
+        .select(
+            "req_id",
+            (scope == "global").alias("_all"),
+            F.when(scope == "global", F.lit("")).otherwise(F.col("area_value")).alias("_area"),
+            F.when(~_blank(F.col("time_start")), period_bounds(F.col("time_start"))["start"]).alias("_from"),
+            F.when(~_blank(F.col("time_end")), period_bounds(F.col("time_end"))["end"]).alias("_to"),
+            days.scalar().alias("_days"),
+        )
+        .withColumns(
+            {
+                "_first": F.greatest(day(F.col("_from")), F.col("_days.lo")),
+                "_last": F.least(day(F.col("_to") - F.expr("interval 1 microsecond")), F.col("_days.hi")),
+            }
+        )
+        .filter("_first <= _last")
     )
-    inside = F.coalesce(F.col("ts") >= F.col("_from"), F.lit(True)) & F.coalesce(
-        F.col("ts") < F.col("_to"), F.lit(True)
+    periods = spans.select(
+        "req_id", "_all", "_area", "_from", "_to", F.inline(aligned_periods(F.col("_first"), F.col("_last")))
     )
-    local = facts.join(spans.filter("_scope <> 'global'").drop("_scope"), "area").filter(inside)
-    years = facts.agg(F.struct(F.min(F.year("ts")).alias("lo"), F.max(F.year("ts")).alias("hi")))
-    wide = spans.filter("_scope = 'global'").select(
-        "req_id",
-        "_from",
-        "_to",
-        F.greatest(F.year("_from"), years.scalar()["lo"]).alias("_lo"),
-        F.least(F.year("_to"), years.scalar()["hi"]).alias("_hi"),
+    # which of these keys a fact needs: few, whatever the requests
+    kinds = periods.agg(F.collect_set(F.struct("_all", "_size")).alias("kinds"))
+    keyed = facts.filter("ts is not null").withColumn("_kind", F.explode(kinds.scalar()))
+    keyed = keyed.withColumns(
+        {
+            "_all": F.col("_kind._all"),
+            "_area": F.when(F.col("_kind._all"), F.lit("")).otherwise(F.col("area")),
+            "_size": F.col("_kind._size"),
+            "_at": F.floor(day(F.col("ts")) / F.col("_kind._size")).cast("int"),
+        }
     )
-    each = wide.filter("_lo <= _hi").select(
-        "req_id", "_from", "_to", F.explode(F.sequence("_lo", "_hi")).alias("_year")
+    inside = F.coalesce(F.col("ts") >= F.col("_from"), F.lit(True)) & F.coalesce(
+        F.col("ts") < F.col("_to"), F.lit(True)
     )
-    anywhere = facts.withColumn("_year", F.year("ts")).join(each, "_year").filter(inside)
-    columns = [*facts.columns, "req_id"]
-    return local.select(columns).unionByName(anywhere.select(columns))
+    met = keyed.join(periods, ["_all", "_area", "_size", "_at"]).filter(inside)
+    return met.select(*facts.columns, "req_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import chunks as C
 from sheafline.functions.text import words
+from sheafline.operators import sentences as S
 from sheafline.operators import web
 from sheafline.operators.rows import explode_rows
 from sheafline.plans import fragments as Q
@@ -102,6 +103,56 @@ def chunk_sentences(spark, sf):
     return rows.withColumn("text", F.array_join(words(F.col("text")), " "))
 
 
+_LEARNED = f"""
+    tok AS (
+      SELECT coalesce(lang, '') AS lang, {Q.fold("regexp_replace(w, '^[\\pP\\pS]+|(?:[^\\PP.]|\\pS)+$', '', 'g')")} AS w
+      FROM (SELECT lang, unnest({Q.word_list('text')}) AS w FROM documents)),
+    types AS (
+      SELECT lang, regexp_replace(w, '\\.+$', '') AS word, count(*) FILTER (ends_with(w, '.')) AS with_stop,
+             count(*) FILTER (NOT ends_with(w, '.')) AS without
+      FROM tok WHERE regexp_matches(regexp_replace(w, '\\.+$', ''), '^[\\pL.]*\\pL$') GROUP BY ALL),
+    whole AS (SELECT lang, sum(with_stop) / sum(with_stop + without) AS share FROM types GROUP BY lang),
+    scored AS (
+      SELECT lang, word, with_stop, without,
+             2 * (with_stop * ln(0.99) + without * ln(1 - 0.99) - with_stop * ln(share) - without * ln(1 - share))
+             * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+             * pow(length(replace(word, '.', ''))::DOUBLE, -without) AS score
+      FROM types JOIN whole USING (lang) WHERE with_stop > 0 AND share < 1),
+    learned AS (SELECT * FROM scored WHERE score >= 0.3)"""
+
+
+@query("learn_abbreviations", f"WITH {_LEARNED} SELECT * FROM learned")
+def learn_abbreviations(spark, sf):
+    return S.learn_abbreviations(V.texts(spark, sf))
+
+
+@query(
+    "chunk_sentences_learned",
+    f"""WITH {_LEARNED},
+        w AS (SELECT doc_id, coalesce(lang, '') AS lang, {Q.word_list('text')} AS w FROM documents),
+        u AS (SELECT doc_id, lang, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x, len(w) AS n FROM w),
+        e AS (SELECT doc_id, list(i ORDER BY i) AS e FROM (
+                SELECT u.doc_id, u.i, u.n, regexp_matches(x, '[.!?…][")\\]»”’'']*$')
+                  AND NOT (ends_with(x, '.') AND l.word IS NOT NULL) AS stops
+                FROM u LEFT JOIN learned l ON l.lang = u.lang AND l.word =
+                  {Q.fold("regexp_replace(regexp_replace(x, '^[\\pP\\pS]+', ''), '\\.+$', '')")})
+              WHERE stops OR i = n GROUP BY doc_id)
+        SELECT doc_id, unnest(range(len(e))) AS chunk_idx,
+               unnest(list_transform(range(1, len(e) + 1), lambda k: array_to_string(
+                 w[CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END : e[k]], ' '))) AS text
+        FROM e JOIN w USING (doc_id)""",
+)
+def chunk_sentences_learned(spark, sf):
+    """Sentences by the abbreviations that the documents themselves show, with their blanks squeezed."""
+    docs = V.texts(spark, sf)
+    learned = S.learn_abbreviations(docs)
+    rows = S.split_sentences(docs, learned)
+    rows = explode_rows(rows, ["doc_id"], F.col("sentences"), "chunk_idx", "text")
+    return rows.select(
+        "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.array_join(words(F.col("text")), " ").alias("text")
+    )
+
+
 @query(
     "chunk_topics",
     f"""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.operators import extraction as E
+from sheafline.operators import induction as I
 from sheafline.plans import fragments as Q
 from sheafline.plans import views as V
 from sheafline.plans.registry import query
+from sheafline.session import cut
 
 
 def _found(spark, sf):
@@ -42,9 +44,8 @@ def extract_terms(spark, sf):
         F.lit("opening").alias("label"), F.array_join(F.slice("w", 1, 2), " ").alias("value")
     )
     closing = b.select(F.lit("closing").alias("label"), F.element_at("w", -1).alias("value"))
-    return E.extract_terms(V.texts(spark, sf), opening.union(closing), ["doc_id"]).select(
-        "doc_id", "extraction_class", "extraction_text"
-    )
+    found = E.extract_terms(V.texts(spark, sf), opening.union(closing), ["doc_id"])
+    return found.select("doc_id", "extraction_class", "extraction_text").distinct()
 
 
 @query(
@@ -65,7 +66,54 @@ def extract_terms_long(spark, sf):
         F.array(F.struct(F.lit("five").alias("label"), marked.alias("value"))).alias("extractions")
     )
     found = E.extract_terms(V.texts(spark, sf), E.example_terms(examples), ["doc_id"])
-    return found.select("doc_id", "extraction_class", "extraction_text")
+    return found.select("doc_id", "extraction_class", "extraction_text").distinct()
+
+
+@query(
+    "extract_terms_places",
+    f"""WITH {Q.placed_words('documents', 'doc_id')},
+        g AS (SELECT *, folded AS one, folded || ' ' || lead(folded) OVER d || ' ' || lead(folded, 2) OVER d AS three,
+                     lead("end", 2) OVER d AS end_of_three
+              FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+        b AS (SELECT {Q.bare_words('text')} AS w FROM benchmark),
+        t AS (SELECT DISTINCT array_to_string(w[2 : 4], ' ') AS three FROM b WHERE len(w) > 3),
+        o AS (SELECT DISTINCT w[-1] AS one FROM b WHERE len(w) > 0)
+        SELECT doc_id, 'three' AS extraction_class, three AS extraction_text, start, end_of_three AS "end"
+        FROM g JOIN t USING (three)
+        UNION ALL SELECT doc_id, 'last', one, start, "end" FROM g JOIN o USING (one)""",
+)
+def extract_terms_places(spark, sf):
+    """Every place of the second to fourth word, and of the last word, of each benchmark text."""
+    w = E.term_words(F.col("text"))
+    b = V.table(spark, sf, "benchmark").select(w.alias("w"))
+    three = b.filter(F.size("w") > 3).select(F.lit("three").alias("label"), F.array_join(F.slice("w", 2, 3), " ").alias("value"))
+    last = b.filter(F.size("w") > 0).select(F.lit("last").alias("label"), F.element_at("w", -1).alias("value"))
+    found = E.extract_terms(V.texts(spark, sf), three.union(last), ["doc_id"])
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
+
+
+@query(
+    "induce_patterns",
+    f"""WITH {Q.INDUCED}
+        SELECT label, kind, "left", shape, "right", n::INTEGER AS n, support, total, precision FROM induced""",
+)
+def induce_patterns(spark, sf):
+    """Patterns of the labels, learned from half of the documents."""
+    return I.induce_patterns(V.labelled_examples(spark, sf))
+
+
+@query(
+    "extract_by_patterns",
+    f"""WITH {Q.INDUCED}
+        SELECT doc_id, label AS extraction_class, value AS extraction_text, start, "end",
+               max(precision) AS precision
+        FROM pats JOIN induced USING (kind, "left", shape, "right", n) GROUP BY ALL""",
+)
+def extract_by_patterns(spark, sf):
+    """What the learned patterns find in all documents."""
+    patterns = cut(I.induce_patterns(V.labelled_examples(spark, sf)))
+    found = I.extract_by_patterns(V.texts(spark, sf), patterns, ["doc_id"])
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
 
 
 @query(

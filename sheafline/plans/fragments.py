@@ -16,10 +16,44 @@ def word_list(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
 
 
+def fold(x: str) -> str:
+    """DuckDB's upper() leaves the sharp s as it is."""
+    return f"lower(upper(replace({x}, 'ß', 'ss')))"
+
+
+def bare(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\pP\\pS]+|[\\pP\\pS]+$', '', 'g')"
+
+
 def bare_words(x: str) -> str:
-    """Lower-cased words without marks at their ends."""
-    bare = f"list_transform({word_list(f'lower({x})')}, lambda w: regexp_replace(w, '^[\\pP\\pS]+|[\\pP\\pS]+$', '', 'g'))"
-    return f"list_filter({bare}, lambda w: w <> '')"
+    """Case-folded words without marks at their ends."""
+    each = f"list_transform({word_list(fold(x))}, lambda w: {bare('w')})"
+    return f"list_filter({each}, lambda w: w <> '')"
+
+
+def placed_words(rows: str, key: str) -> str:
+    """CTE ``placed``: ({key}, k, word, shape, folded, start, "end") of each word of ``text``, without the
+    marks at its ends; k counts from 1."""
+    mark = "'^[\\pP\\pS]+'"
+    return f"""
+raw_words AS (
+  SELECT {key}, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS w, unnest(g[1 : len(w)]) AS g
+  FROM (SELECT {key}, {word_list('text')} AS w, regexp_split_to_array(text, '[^{WS[1:-1]}]+') AS g
+        FROM {rows})),
+raw_places AS (
+  SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY {key} ORDER BY place) - length(w)
+            + length(regexp_extract(w, {mark})) AS start, {bare('w')} AS word
+  FROM raw_words),
+placed AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY place) AS k, word, {shape('word')} AS shape,
+         {fold('word')} AS folded, start::BIGINT AS start, (start + length(word))::BIGINT AS "end"
+  FROM raw_places WHERE word <> '')"""
+
+
+def shape(x: str) -> str:
+    x = f"regexp_replace({x}, '\\p{{N}}+', '9', 'g')"
+    x = f"regexp_replace({x}, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]+', 'a', 'g')"
+    return f"regexp_replace({x}, '\\p{{Lu}}+', 'A', 'g')"
 
 
 def sentence_list(x: str) -> str:
@@ -30,6 +64,12 @@ def sentence_list(x: str) -> str:
     return f"string_split(regexp_replace({unmarked}, chr(2) || '\\s+', chr(3), 'g'), chr(3))"
 
 
+def form(x: str) -> str:
+    x = f"regexp_replace({x}, '\\p{{N}}', '9', 'g')"
+    x = f"regexp_replace({x}, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]', 'a', 'g')"
+    return f"regexp_replace({x}, '\\p{{Lu}}', 'A', 'g')"
+
+
 def _elements(*tags: str) -> str:
     return "|".join(f"<{t}\\b[^>]*>.*?(?:</{t}\\s*>|\\z)" for t in tags)
 
@@ -290,3 +330,47 @@ examples AS (
          w[-1] AS vl,
          CASE WHEN doc_id % 5 = 1 THEN 'Tenth' ELSE 'tenth' END AS l10
   FROM blocks)"""
+
+
+# ``placed`` as sequences of as many words as labelled values have, the patterns that fit each, and
+# the patterns learned from the documents with even ids
+INDUCED = f"""
+{placed_words('documents', 'doc_id')},
+{extractions()},
+pairs AS (
+  SELECT DISTINCT doc_id, label, folded FROM (
+    SELECT doc_id, extraction_class AS label, array_to_string({bare_words('extraction_text')}, ' ') AS folded
+    FROM found WHERE doc_id % 2 = 0) WHERE folded <> ''),
+sizes AS (SELECT DISTINCT len(string_split(folded, ' ')) AS n FROM pairs),
+lists AS (
+  SELECT doc_id, list(word ORDER BY k) AS w, list(folded ORDER BY k) AS f, list(shape ORDER BY k) AS s, list({form('word')} ORDER BY k) AS m,
+         list(start ORDER BY k) AS b, list("end" ORDER BY k) AS e
+  FROM placed GROUP BY doc_id),
+seqs AS (
+  SELECT doc_id, n, b[i] AS start, e[i + n - 1] AS "end", array_to_string(w[i : i + n - 1], ' ') AS value,
+         array_to_string(f[i : i + n - 1], ' ') AS folded, array_to_string(s[i : i + n - 1], ' ') AS shape,
+         array_to_string(m[i : i + n - 1], ' ') AS form,
+         CASE WHEN i > 1 THEN f[i - 1] ELSE '^' END AS l, CASE WHEN i + n <= len(f) THEN f[i + n] ELSE '$' END AS r
+  FROM (SELECT *, unnest(range(1, len(f) - n + 2)) AS i FROM lists, sizes)),
+kinds AS (
+  SELECT * FROM (VALUES ('both', true, true, true), ('left', true, true, false), ('right', false, true, true),
+                        ('slot', true, false, true), ('shape', false, true, false),
+                        ('form', false, true, false)) AS v(kind, ul, us, ur)),
+pats AS (
+  SELECT doc_id, n, start, "end", value, folded, kind, CASE WHEN ul THEN l ELSE '' END AS "left",
+         CASE WHEN kind = 'form' THEN form WHEN us THEN shape ELSE '' END AS shape, CASE WHEN ur THEN r ELSE '' END AS "right"
+  FROM seqs, kinds),
+cand AS (
+  SELECT label, kind, "left", shape, "right", n, count(*) AS support
+  FROM pats JOIN pairs USING (doc_id, folded) GROUP BY ALL HAVING count(*) >= 3),
+totals AS (
+  SELECT kind, "left", shape, "right", n, count(*) AS total FROM pats WHERE doc_id % 2 = 0 GROUP BY ALL),
+good AS (
+  SELECT *, support / total AS precision FROM cand JOIN totals USING (kind, "left", shape, "right", n)
+  WHERE support / total >= 0.9),
+induced AS (
+  SELECT g.* FROM good g WHERE NOT EXISTS (
+    SELECT 1 FROM good w WHERE w.label = g.label AND w.n = g.n
+      AND (g.kind = 'both' AND w.kind NOT IN ('both', 'form') OR g.kind IN ('left', 'right', 'form') AND w.kind = 'shape')
+      AND (w."left" = '' OR w."left" = g."left") AND (w."right" = '' OR w."right" = g."right")
+      AND (w.shape = '' OR w.shape = {shape('g.shape')})))"""

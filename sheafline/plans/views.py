@@ -477,3 +477,18 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.array(first, tenth, last))
         .alias("extractions"),
     )
+
+
+def labelled_examples(spark: SparkSession, sf: str, half: int = 0) -> DataFrame:
+    """Every other document with the values that ``LABEL_PATTERNS`` find in it, as example rows."""
+    from sheafline.operators.extraction import extract_labels
+
+    docs = texts(spark, sf).filter(F.col("doc_id") % 2 == half)
+    found = extract_labels(docs, LABEL_PATTERNS, ["doc_id"]).groupBy("doc_id").agg(
+        F.collect_list(
+            F.struct(F.col("extraction_class").alias("label"), F.col("extraction_text").alias("value"))
+        ).alias("extractions")
+    )
+    none = F.array().cast("array<struct<label:string,value:string>>")
+    rows = docs.select("doc_id", "text").join(found, "doc_id", "left")
+    return rows.withColumn("extractions", F.coalesce("extractions", none))

@@ -12,7 +12,8 @@ EAGER = {
 }
 # one row per partition, or one row in all, may meet in a single task
 SINGLE = {
-    "assign_ids", "query_expand", "resume", "extract_terms", "extract_terms_long",
+    "assign_ids", "query_expand", "resume", "extract_terms", "extract_terms_long", "extract_terms_places",
+    "induce_patterns", "extract_by_patterns",
     "requirement_filter", "metric_by_period", "resume_join",
 }
 
