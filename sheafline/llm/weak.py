@@ -47,6 +47,8 @@ FEATURES = 1500
 #: Rounds of EM, and how many of them take voters to be independent.
 ROUNDS, ALONE = 16, 2
 STEPS = 400
+#: Tasks that sum expected counts over the patterns of votes; patterns are far fewer than texts.
+TASKS = 32
 RATE = 0.05
 L2 = 2e-4
 _MEMO = 300_000
@@ -320,15 +322,11 @@ def fit_label_model(patterns: DataFrame, n: int, share: float = SHARE, rounds: i
                 masks, times = batch.column("mask").to_numpy(), batch.column("times").to_numpy()
                 p = majority(masks, n) if model is None else model.posterior(masks)
                 total += expected(masks, times, p, n)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        # 2 (n + 1)^2 numbers at most
-        rows = patterns.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        total = np.zeros(2 * (n + 1) ** 2)
-        for r in rows:
-            total[r["at"]] = r["x"]
-        return total.reshape(2, n + 1, n + 1)
+        # 2 (n + 1)^2 numbers from each of at most TASKS tasks
+        rows = patterns.mapInArrow(run, "sums binary").collect()
+        return sum((np.frombuffer(r["sums"]).reshape(2, n + 1, n + 1) for r in rows), np.zeros((2, n + 1, n + 1)))
 
     parent = [-1] * n
     stats = step(None)
@@ -432,7 +430,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     n = len(voters.names)
     learn = docs.filter(~held_out(F.col("doc_id")))
     votes = cut(voted(learn, voters))
-    patterns = cut(votes.groupBy("mask").agg(F.count(F.lit(1)).alias("times")))
+    patterns = cut(votes.groupBy("mask").agg(F.count(F.lit(1)).alias("times")).coalesce(TASKS))
     model = fit_label_model(patterns, n, share)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
