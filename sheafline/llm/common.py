@@ -91,8 +91,8 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of at most ``SLICE_CHARS`` bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``most`` bytes of text, or one row."""
     n = batch.num_rows
     if n == 0:
         return
@@ -101,7 +101,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < n:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -49,6 +49,8 @@ TOP = 20
 #: Queries, and bytes of their texts, that are answered in one pass over the index.
 BLOCK_QUERIES = 2000
 BLOCK_BYTES = 16_000_000
+#: Text that one segment of the index holds, unless a single text is longer.
+SEGMENT_BYTES = 4_000_000
 #: Length normalisation: a document of mean length has 100.
 FLAT, SLOPE = 75, 25
 
@@ -111,7 +113,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SEGMENT_BYTES):
                 lengths, terms, starts, doc, times = postings(part.column("text").to_pylist())
                 yield _row(INDEX, {
                     "segment": segment,
