@@ -114,14 +114,18 @@ def example_terms(examples: DataFrame) -> DataFrame:
 
 
 def extract_terms(
-    chunks: DataFrame, terms: DataFrame, keep: Sequence[str], text: str = "text"
+    chunks: DataFrame,
+    terms: DataFrame,
+    keep: Sequence[str],
+    text: str = "text",
+    places: bool = False,
 ) -> DataFrame:
-    """Word sequences of the text listed in ``terms`` (``label``, ``value``), each with its place.
+    """Word sequences of the text listed in ``terms`` (``label``, ``value``).
 
-    Gives ``keep``, ``extraction_class``, ``extraction_text`` (the term as it is compared), ``start``
-    and ``end`` (code points, end exclusive), a row for each place. Case and the punctuation around
-    words do not count. Sequences are as long as the list's own, which its values tell while
-    the query runs, so no listed term is too long.
+    Gives ``keep``, ``extraction_class`` and ``extraction_text`` (the term as it is compared), once for
+    each text; with ``places`` a row for each place, with its ``start`` and ``end`` (code points, end
+    exclusive). Case and the punctuation around words do not count. Sequences are as long as the
+    list's own, which its values tell while the query runs, so no listed term is too long.
 
     The list can be of any size: a bitmap of its hashes, of fixed size, stops sequences
     in no list before anything is shuffled; the others meet the list by an equi-join.
@@ -130,33 +134,41 @@ def extract_terms(
         F.col("label").alias("extraction_class"), term_words(F.col("value")).alias("w")
     ).filter(F.size("w") > 0)
     sizes = listed.agg(F.sort_array(F.collect_set(F.size("w"))).alias("n"))  # few lengths
-    tokens = chunks.select(
-        *keep, placed_words(F.col(text)).alias("_w"), sizes.scalar().alias("_sizes")
-    )
+    split = placed_words(F.col(text)) if places else term_words(F.col(text))
+    tokens = chunks.select(*keep, split.alias("_w"), sizes.scalar().alias("_sizes"))
 
     def grams(w: Column, n: Column) -> Column:
-        """{value, start, end} of all sequences of n words."""
+        """{value, and its start and end} of all sequences of n words."""
         last = F.size(w) - n
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                F.array_join(F.transform(F.slice(w, i + 1, n), lambda t: t["word"]), " ").alias("value"),
+
+        def one(i: Column) -> Column:
+            part = F.slice(w, i + 1, n)
+            if not places:
+                return F.struct(F.array_join(part, " ").alias("value"))
+            return F.struct(
+                F.array_join(F.transform(part, lambda t: t["word"]), " ").alias("value"),
                 F.get(w, i)["start"].alias("start"),
                 F.get(w, i + n - 1)["end"].alias("end"),
-            ),
-        )
+            )
+
+        return F.transform(at, one)
 
-    folded = F.transform("_w", lambda t: t.withField("word", fold(t["word"])))
-    seen = let(folded, lambda w: F.flatten(F.transform("_sizes", lambda n: grams(w, n))))
+    if places:
+        folded = F.transform("_w", lambda t: t.withField("word", fold(t["word"])))
+        seen = let(folded, lambda w: F.flatten(F.transform("_sizes", lambda n: grams(w, n))))
+    else:
+        # repeats inside a text are folded
+        seen = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: grams(F.col("_w"), n))))
     values = listed.select(
         "extraction_class", F.array_join("w", " ").alias("extraction_text")
     ).distinct()
+    place = ["start", "end"] if places else []
     rows = explode_rows(tokens, keep, seen, "_pos", "_g").select(
-        *keep, F.col("_g.value").alias("extraction_text"), "_g.start", "_g.end"
+        *keep, F.col("_g.value").alias("extraction_text"), *[f"_g.{c}" for c in place]
     )
     return maybe_among(rows, ["extraction_text"], values).join(values, "extraction_text").select(
-        *keep, "extraction_class", "extraction_text", "start", "end"
+        *keep, "extraction_class", "extraction_text", *place
     )
 
 

@@ -181,3 +181,19 @@ def metric_by_period(
         facts.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("period"), *by)
         .agg(F.avg(measure).alias("mean_value"), F.count(measure).alias("n"))
     )
+
+
+def metric_partials(
+    facts: DataFrame, measure: str, by: Sequence[str] = ("area",), unit: str = "day"
+) -> DataFrame:
+    """``period``, ``by``, ``total`` and ``n`` of the measure: what ``metric_by_period`` needs of some facts,
+    and can be added to that of others. Whole-number measures stay exact."""
+    return facts.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("period"), *by).agg(
+        F.sum(measure).alias("total"), F.count(measure).alias("n")
+    )
+
+
+def means_of_partials(partials: DataFrame) -> DataFrame:
+    """The rows of ``metric_by_period`` from added-up partials."""
+    rest = [c for c in partials.columns if c not in ("total", "n")]
+    return partials.select(*rest, (F.col("total") / F.col("n")).alias("mean_value"), "n")

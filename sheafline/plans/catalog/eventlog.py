@@ -9,6 +9,7 @@ from sheafline.plans import views as V
 from sheafline.plans.registry import query
 from sheafline.session import scratch_path
 from sheafline.sources import eventlog as L
+from sheafline.sources import sharedlog
 
 
 @query(
@@ -155,3 +156,48 @@ def get_offsets(spark, sf):
 def set_offsets(spark, sf):
     _, stored, moved = _user_offsets(spark, sf)
     return L.set_offsets(stored, moved)
+
+
+def _shared_log(spark, sf):
+    """Odd events, then a claim that is given up, then even ones by topic, compacted half way."""
+    log = scratch_path(spark, "shared")
+    events = V.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    odd = events.filter("event_id % 2 = 1").select("event_id", "user_id")
+    sharedlog.append(odd, log, "odd", ["event_id"])
+    number, _ = sharedlog._claim(spark, log, 100)
+    sharedlog.give_up(spark, log, number)
+    sharedlog.compact(spark, log)
+    even = events.filter("event_id % 2 = 0").withColumn("topic", F.col("event_type"))
+    sharedlog.append(even.select("topic", "event_id"), log, None, ["event_id"])
+    return log
+
+
+_SHARED_SQL = """
+    rows AS (
+      SELECT row_number() OVER (ORDER BY event_id) AS id, 'odd' AS topic,
+             CAST(json_object('event_id', event_id, 'user_id', user_id) AS VARCHAR) AS payload
+      FROM events WHERE event_id % 2 = 1
+      UNION ALL
+      SELECT row_number() OVER (ORDER BY event_id) + 100
+               + (SELECT count(*) FROM events WHERE event_id % 2 = 1), event_type,
+             CAST(json_object('event_id', event_id) AS VARCHAR)
+      FROM events WHERE event_id % 2 = 0)"""
+
+
+@query("shared_append", f"WITH {_SHARED_SQL} SELECT CAST(id AS BIGINT) AS id, topic, payload FROM rows")
+def shared_append(spark, sf):
+    """The log of ``_shared_log``, all of it."""
+    return sharedlog.read(spark, _shared_log(spark, sf)).select("id", "topic", "payload")
+
+
+@query(
+    "shared_read_since",
+    f"""WITH {_SHARED_SQL}
+        SELECT CAST(id AS BIGINT) AS id, payload FROM rows
+        WHERE topic = 'view' AND id > (SELECT max(id) - 500 FROM rows)""",
+)
+def shared_read_since(spark, sf):
+    """A late reader of one topic: the last 500 ids, from the files that hold them."""
+    log = _shared_log(spark, sf)
+    last = sharedlog.read(spark, log).agg(F.max("id")).first()[0]
+    return sharedlog.read(spark, log, "view", last - 500).select("id", "payload")

@@ -44,8 +44,7 @@ def extract_terms(spark, sf):
         F.lit("opening").alias("label"), F.array_join(F.slice("w", 1, 2), " ").alias("value")
     )
     closing = b.select(F.lit("closing").alias("label"), F.element_at("w", -1).alias("value"))
-    found = E.extract_terms(V.texts(spark, sf), opening.union(closing), ["doc_id"])
-    return found.select("doc_id", "extraction_class", "extraction_text").distinct()
+    return E.extract_terms(V.texts(spark, sf), opening.union(closing), ["doc_id"])
 
 
 @query(
@@ -65,8 +64,7 @@ def extract_terms_long(spark, sf):
     examples = b.select(
         F.array(F.struct(F.lit("five").alias("label"), marked.alias("value"))).alias("extractions")
     )
-    found = E.extract_terms(V.texts(spark, sf), E.example_terms(examples), ["doc_id"])
-    return found.select("doc_id", "extraction_class", "extraction_text").distinct()
+    return E.extract_terms(V.texts(spark, sf), E.example_terms(examples), ["doc_id"])
 
 
 @query(
@@ -88,7 +86,7 @@ def extract_terms_places(spark, sf):
     b = V.table(spark, sf, "benchmark").select(w.alias("w"))
     three = b.filter(F.size("w") > 3).select(F.lit("three").alias("label"), F.array_join(F.slice("w", 2, 3), " ").alias("value"))
     last = b.filter(F.size("w") > 0).select(F.lit("last").alias("label"), F.element_at("w", -1).alias("value"))
-    found = E.extract_terms(V.texts(spark, sf), three.union(last), ["doc_id"])
+    found = E.extract_terms(V.texts(spark, sf), three.union(last), ["doc_id"], places=True)
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
 
 

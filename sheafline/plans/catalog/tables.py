@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.functions.chunks import chunk_fixed
+from sheafline.operators import quality
 from sheafline.operators import tables as T
 from sheafline.operators import web
 from sheafline.operators.requirements import feature_names
@@ -12,6 +13,8 @@ from sheafline.plans import fragments as Q
 from sheafline.plans import harvest
 from sheafline.plans import views as V
 from sheafline.plans.registry import query
+from sheafline.session import scratch_path
+from sheafline.sources import keyedtable
 
 
 @query("schema_from_features", f"WITH {Q.RAW_RECORDS} SELECT {Q.TYPED} FROM clean_records")
@@ -336,3 +339,55 @@ def harvest_records(spark, sf):
         V.texts(spark, sf), chunk_fixed(F.col("text")), ["doc_id"]
     )
     return harvest.harvest_records(chunks, V.LABEL_PATTERNS, _RECORD, ["doc_id"])
+
+
+@query(
+    "stored_upsert",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' WHEN o_orderkey % 3 = 0 THEN 'late'
+                ELSE o_orderstatus END AS state,
+              CASE WHEN o_totalprice > 300000 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version
+       FROM orders
+       UNION ALL SELECT -1 - o_orderkey, 'N', 3 FROM orders WHERE o_totalprice > 300000""",
+)
+def stored_upsert(spark, sf):
+    """Three batches into one stored table: all orders but some, those with stale rows of others, and the
+    dearest with new orders."""
+    path = scratch_path(spark, "orders")
+    orders = V.table(spark, sf, "orders")
+    newest = [F.col("version").desc()]
+
+    def batch(some, key, state, version):
+        rows = some.select(key.alias("o_orderkey"), state.alias("state"), F.lit(version).alias("version"))
+        return keyedtable.upsert(rows, path, ["o_orderkey"], newest, buckets=16)
+
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    batch(orders.filter("o_orderkey % 3 <> 0"), key, state, 1)
+    batch(orders.filter("o_orderkey % 3 = 0"), key, F.lit("late"), 2)
+    batch(orders.filter("o_orderkey % 5 = 0"), key, F.lit("stale"), 0)
+    dear = orders.filter("o_totalprice > 300000")
+    both = dear.select(key.alias("k"), F.lit("X").alias("s")).union(dear.select(-1 - key, F.lit("N")))
+    batch(both, F.col("k"), F.col("s"), 3)
+    return keyedtable.read(spark, path)
+
+
+@query(
+    "metric_kept",
+    f"""WITH {Q.PRICE_FACTS}
+        SELECT strftime(ts, '%Y-%m-%d') AS day, area,
+               avg(CAST(round(price * 100) AS BIGINT)) AS mean_cents, CAST(count(*) AS BIGINT) AS n
+        FROM price_facts GROUP BY 1, 2""",
+)
+def metric_kept(spark, sf):
+    """Daily means kept as sums by batch: facts up to a day, those after it, then late ones; the
+    second batch is given twice."""
+    path = scratch_path(spark, "means")
+    cents = V.price_facts(spark, sf).withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
+    late = F.col("cents") % 7 == 0
+    early = F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")
+    for number, some in ((0, ~late & early), (1, ~late & ~early), (1, ~late & ~early), (2, late)):
+        partials = quality.metric_partials(cents.filter(some), "cents")
+        keyedtable.add_up(partials, path, ["period", "area"], ["total", "n"], buckets=16, batch=("facts", number))
+    means = quality.means_of_partials(keyedtable.read(spark, path))
+    return means.select(
+        F.date_format("period", "yyyy-MM-dd").alias("day"), "area", F.col("mean_value").alias("mean_cents"), "n"
+    )

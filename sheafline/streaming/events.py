@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sheafline.functions.text import parse_json
 from sheafline.functions.times import utc_naive
+from sheafline.operators.quality import metric_partials
 from sheafline.session import path_exists
+from sheafline.sources import keyedtable
 from sheafline.sources.eventlog import assign_ids, event_summary, to_events
 
 STREAM_SCHEMA = (
@@ -144,3 +146,27 @@ def daily_refresh(
         .agg(F.count("*").alias("n"), F.avg(measure).alias("mean_value"))
         .select(utc_naive(F.col("w.start")).alias("day"), *by, "n", "mean_value")
     )
+
+
+def keep_metric(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    measure: str,
+    by: Sequence[str] = ("area",),
+    unit: str = "day",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the partial sums of a metric per period in the stored table ``path``.
+
+    Each micro-batch adds its own sums to the periods it touches, late facts as well, however late; no
+    watermark drops any. A batch that is run again is passed over.
+    """
+    columns = ["period", *by]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partials = metric_partials(batch, measure, by, unit)
+        keyedtable.add_up(partials, path, columns, ["total", "n"], batch=(checkpoint, batch_id))
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -30,7 +30,7 @@ def test_terms_have_places_and_fold_case(spark):
     docs = [(1, "Die Straße, die STRASSE; und die (strasse)."), (2, "nothing here"), (3, None)]
     terms = spark.createDataFrame([("way", "STRAßE"), ("two", "die strasse")], "label string, value string")
     table = spark.createDataFrame(docs, "doc_id int, text string")
-    found = E.extract_terms(table, terms, ["doc_id"]).collect()
+    found = E.extract_terms(table, terms, ["doc_id"], places=True).collect()
     got = sorted((r.extraction_class, docs[0][1][r.start : r.end]) for r in found)
     assert got == [("two", "Die Straße"), ("two", "die (strasse"), ("two", "die STRASSE"),
                    ("way", "STRASSE"), ("way", "Straße"), ("way", "strasse")]

@@ -511,6 +511,41 @@ def test_levels_of_a_random_graph_with_a_hot_node(spark):
     assert {r.id: r.level for r in got.collect()} == want
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    stored = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or stored(df))
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    # and a way around the first half
+    edges = edges.union(spark.range(1).select(F.lit(0).alias("src"), F.lit(n // 2).alias("dst")))
+    levels = graph.dependency_levels(edges)
+    assert levels.filter("id <> level").isEmpty() and levels.count() == n + 1
+    assert len(rounds) < 40
+
+
+def test_an_error_names_the_cycle(spark):
+    edges = [(1, 2), (2, 3), (20, 21), (21, 22), (22, 20), (3, 21), (22, 30), (30, 31), (40, 41), (41, 40)]
+    with pytest.raises(ValueError, match="cycle: 20, 21, 22; 40, 41$"):
+        graph.dependency_levels(spark.createDataFrame(edges, "src int, dst int"))
+    many = [(i, (i + 1) % 50) for i in range(50)]
+    with pytest.raises(ValueError, match="cycle: 0, 1, 2, 3, 4, 5, 6, 7, 8, 9 and more$"):
+        graph.dependency_levels(spark.createDataFrame(many, "src int, dst int"))
+
+
+def test_hot_area_is_spread(spark):
+    """Facts of one area meet a wide request under many keys."""
+    facts = spark.range(20_000).select(
+        F.lit("a").alias("area"),
+        F.timestamp_micros(F.col("id") * 3_600_000_000).cast("timestamp_ntz").alias("ts"),
+    )
+    req = spark.createDataFrame([(1, "a", None, None), (2, "a", "1970-02", "1971")], "req_id int, area_value string, time_start string, time_end string")
+    got = R.requirement_filter(facts, req)
+    assert {r.req_id: r["count"] for r in got.groupBy("req_id").count().collect()} == {1: 20_000, 2: 700 * 24 - 12 * 24 + 11 * 24}
+    keys = R.aligned_periods(F.lit(0), F.lit(20_000 // 24))
+    assert facts.limit(1).select(F.size(keys).alias("n")).first().n > 13
+
+
 # ---- event log and sources
 
 

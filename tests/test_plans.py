@@ -8,7 +8,7 @@ from sheafline.plans.catalog import QUERIES
 EAGER = {
     "event_append", "event_pipe", "stream_transform", "stream_tee", "pipe_summary", "event_stream",
     "stream_resume", "daily_refresh", "table_write", "audit_sink", "landed_files_scan",
-    "dependency_levels",
+    "dependency_levels", "shared_append", "shared_read_since", "stored_upsert", "metric_kept",
 }
 # one row per partition, or one row in all, may meet in a single task
 SINGLE = {
