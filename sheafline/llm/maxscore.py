@@ -51,6 +51,7 @@ BLOCK_QUERIES = 2000
 BLOCK_BYTES = 16_000_000
 #: Text that one segment of the index holds, unless a single text is longer.
 SEGMENT_BYTES = 4_000_000
+ROW_GROUP = 16 << 20
 #: Length normalisation: a document of mean length has 100.
 FLAT, SLOPE = 75, 25
 
@@ -132,7 +133,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # a row holds megabytes: small row groups, so that neither side holds many at once
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
