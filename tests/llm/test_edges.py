@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sheafline.llm import bktree, bpe, cascade, crf, dedup, masked_lm, packing, pii, pu, spans
+from sheafline.llm import bktree, bpe, cascade, crf, dedup, masked_lm, near, packing, pii, pu, spans
 
 CLASHES = "row_key row_ row_key_ fp class body chunk i n h1 h2 s1 s2 round count kept score ids at r pid shard".split()
 
@@ -18,11 +18,17 @@ def good(docs):
     return pu.keep_good(docs, pu.fit(docs, labels))
 
 
+def scored_words(docs):
+    counts = masked_lm.word_counts(docs)
+    return masked_lm.score_words(docs, *masked_lm.train(docs, rounds=1, counts=counts), counts)
+
+
 PER_ROW = {
     "encode_decode": bpe.encode_decode,
     "encode_digest": bpe.encode_digest,
     "exact_groups": dedup.exact_groups,
     "masked_lm": lambda d: masked_lm.score(d, *masked_lm.train(d, rounds=1)),
+    "score_words": scored_words,
     "drop_repeated": spans.drop_repeated,
     "apply_rules": cascade.apply_rules,
     "rule_report": cascade.rule_report,
@@ -36,6 +42,7 @@ OTHER = {
     "pack": packing.pack,
     "drop_copies": dedup.drop_copies,
     "drop_near_copies": bktree.drop_near_copies,
+    "near_copies": near.drop_near_copies,
     "good": good,
 }
 
@@ -48,7 +55,7 @@ def test_edges(stored, edge_rows, name):
     got = (PER_ROW | OTHER)[name](table).collect()
     if name in PER_ROW:
         assert len(got) == len(edge_rows)
-    if name in ("mask", "drop_copies", "drop_near_copies", "good"):
+    if name in ("mask", "drop_copies", "drop_near_copies", "near_copies", "good"):
         assert set(table.columns) == set(got[0].asDict())
 
 
