@@ -1,7 +1,7 @@
 """Main-content selection on stored HTML, with built-in expressions only.
 
-Elements are matched by depth: the tags of one kind are listed in page order and
-folded with a counter, so an ``article`` inside an ``article`` does not end it. A tag
+The main content is found by a fold over tags with a stack of open elements (``_selected``), which
+mends unclosed and crossing ones; other elements are matched by depth. A tag
 name ends at a blank, a slash or the bracket, so ``nav-item`` is not ``nav``, and a quoted
 attribute may hold ``>``. An element without an end reaches to the end of the page.
 """
@@ -18,6 +18,8 @@ from .text import let
 
 KEEP = ("article", "main")
 DROP = ("nav", "footer", "form", "aside")
+#: Elements whose end also ends kept and dropped elements that were left open in them.
+CONTAINERS = ("html", "body", "div", "section", "table", "ul", "ol")
 
 # Every named reference that ends in a semicolon, from Python's own table.
 ENTITIES = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
@@ -45,46 +47,34 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, rf"(?is)<(?:!--.*?(?:-->|\z)|{hidden})", "")
 
 
-def _split_by_depth(markup: Column, tags: Sequence[str], inside: bool) -> Column:
-    """What lies inside the outermost elements of ``tags`` (their contents, joined by
-    ``<br>``), or all that lies outside of them.
+def _outside(markup: Column, tags: Sequence[str]) -> Column:
+    """All that lies outside of elements of ``tags``.
 
     The pieces between these tags and the tags themselves are walked once. An end
-    without a start counts for nothing. Any of the tags opens and closes a level: where
-    ``main`` holds ``article``, ``main`` is the outer one.
+    without a start counts for nothing. Any of the tags opens and closes a level.
     """
     pattern = rf"(?i)</?(?:{'|'.join(tags)}){_END}{_REST}"
 
-    def walk(found: Column) -> Column:
-        pieces = F.split(markup, pattern, -1)
+    def walk(found: Column, pieces: Column) -> Column:
         start = F.struct(F.lit(0).alias("depth"), F.array(F.get(pieces, F.lit(0))).alias("out"))
-        if inside:
-            start = F.struct(
-                F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")
-            )
 
         def step(acc: Column, i: Column) -> Column:
-            ends = F.get(found, i).startswith("</")
             depth = acc["depth"]
+            ends = F.get(found, i).startswith("</")
             now = F.when(ends, F.greatest(depth - 1, F.lit(0))).otherwise(depth + 1)
-            piece = F.get(pieces, i + 1)
-            # inner tags stay as breaks between what they part
-            kept = F.when(now > 0 if inside else now == 0, piece)
-            lead = F.lit("<br>") if inside else F.lit("")
+            piece = F.array(F.get(pieces, i + 1))
             return F.struct(
                 now.alias("depth"),
-                F.when(kept.isNotNull(), F.concat(acc["out"], F.array(F.concat(lead, kept))))
-                .otherwise(acc["out"])
-                .alias("out"),
+                F.when(now == 0, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
             )
 
         folded = F.aggregate(
             F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"]
         )
-        nothing = F.lit("") if inside else markup
-        return F.when(F.size(found) > 0, F.array_join(folded, "")).otherwise(nothing)
+        return F.when(F.size(found) > 0, F.array_join(folded, "")).otherwise(markup)
 
-    return let(F.regexp_extract_all(markup, F.lit(pattern), F.lit(0)), walk)
+    found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+    return let(found, lambda f: let(F.split(markup, pattern, -1), lambda pieces: walk(f, pieces)))
 
 
 def unescape(text: Column) -> Column:
@@ -114,9 +104,67 @@ def unescape(text: Column) -> Column:
 
 
 def _selected(clean: Column, keep: Sequence[str], drop: Sequence[str]) -> Column:
-    return let(
-        _split_by_depth(clean, keep, True), lambda inside: _split_by_depth(inside, drop, False)
-    )
+    """What lies inside the outermost ``keep`` elements, but not in a ``drop`` element inside of these.
+
+    One fold over the tags of these and of ``CONTAINERS``, with the stack of open elements. An end tag
+    closes the nearest open element of its name and all that were opened since, so elements left
+    open end with what holds them, and crossing ones with the first end; without such an element it
+    counts for nothing. Tags of kept elements stay as breaks, those of containers as they are.
+    """
+    names = [*keep, *drop, *(c for c in CONTAINERS if c not in (*keep, *drop))]
+    pattern = rf"(?i)</?(?:{'|'.join(names)}){_END}{_REST}"
+
+    def is_in(name: Column, names: Sequence[str]) -> Column:
+        return name.isin(*names) if names else F.lit(False)
+
+    def walk(found: Column, pieces: Column) -> Column:
+        none = F.array().cast("array<string>")
+        start = F.struct(
+            none.alias("open"), F.lit(0).alias("kept"), F.lit(0).alias("dropped"), none.alias("out")
+        )
+
+        def step(acc: Column, i: Column) -> Column:
+            tag = F.get(found, i)
+            name = F.lower(F.regexp_extract(tag, r"^</?([A-Za-z0-9]+)", 1))
+            return let(name, lambda name: moved(acc, i, tag, name))
+
+        def moved(acc: Column, i: Column, tag: Column, name: Column) -> Column:
+            # levels count from 1; kept and dropped are those of the elements that began it, or 0
+            depth = F.size(acc["open"])
+            nearest = F.array_position(F.reverse(acc["open"]), name).cast("int")
+            level = F.when(nearest > 0, depth - nearest + 1)
+            closed = F.struct(
+                F.slice(acc["open"], 1, level - 1).alias("open"),
+                F.when(acc["kept"] >= level, 0).otherwise(acc["kept"]).alias("kept"),
+                F.when(acc["dropped"] >= level, 0).otherwise(acc["dropped"]).alias("dropped"),
+            )
+            begins = is_in(name, keep) & (acc["kept"] == 0)
+            hides = is_in(name, drop) & (acc["kept"] > 0) & (acc["dropped"] == 0)
+            opened = F.struct(
+                F.concat(acc["open"], F.array(name)).alias("open"),
+                F.when(begins, depth + 1).otherwise(acc["kept"]).alias("kept"),
+                F.when(hides, depth + 1).otherwise(acc["dropped"]).alias("dropped"),
+            )
+            same = F.struct(acc["open"].alias("open"), acc["kept"].alias("kept"), acc["dropped"].alias("dropped"))
+            ends = tag.startswith("</")
+            now = F.when(~ends, opened).when(level.isNotNull(), closed).otherwise(same)
+            lead = F.when(is_in(name, keep), "<br>").when(is_in(name, drop), "").otherwise(tag)
+            return let(now, lambda now: kept(acc, now, F.concat(lead, F.get(pieces, i + 1))))
+
+        def kept(acc: Column, now: Column, piece: Column) -> Column:
+            shown = (now["kept"] > 0) & (now["dropped"] == 0)
+            out = F.when(shown, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+            return F.struct(
+                now["open"].alias("open"), now["kept"].alias("kept"), now["dropped"].alias("dropped"), out.alias("out")
+            )
+
+        folded = F.aggregate(
+            F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"]
+        )
+        return F.when(F.size(found) > 0, F.array_join(folded, "")).otherwise("")
+
+    found = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
+    return let(found, lambda f: let(F.split(clean, pattern, -1), lambda pieces: walk(f, pieces)))
 
 
 def _mark_heading(markup: Column, level: int) -> Column:
@@ -170,7 +218,7 @@ def raw_content(html: Column, form: str = "blocks") -> Column:
 
 
 def _raw(clean: Column, form: str) -> Column:
-    return _RENDER[form](_split_by_depth(clean, ("head",), False))
+    return _RENDER[form](_outside(clean, ("head",)))
 
 
 _RENDER.update(blocks=_to_blocks, flat=_to_flat)
