@@ -96,6 +96,30 @@ def content_sha256(*cols: str) -> Column:
     return F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256)
 
 
+def _by_key(col: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        ordered = F.struct(*[_by_key(col[f.name], f.dataType).alias(f.name) for f in fields])
+        return F.when(col.isNotNull(), ordered)
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(
+            F.array_sort(F.map_keys(col)), lambda k: F.struct(k, _by_key(F.element_at(col, k), kind.valueType))
+        )
+        return F.map_from_entries(pairs)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _by_key(x, kind.elementType))
+    return col
+
+
+def row_sha256(df: DataFrame, *cols: str) -> Column:
+    """SHA-256 of columns of ``df`` as JSON whose keys are sorted at every depth, so that neither the
+    order of columns or struct fields nor that of map entries counts."""
+    names = sorted(cols or df.columns)
+    whole = F.struct(*[_by_key(F.col(n), df.schema[n].dataType).alias(n) for n in names])
+    return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
+
+
 def repair_quotes(col: Column) -> Column:
     """Single quotes to double quotes, the repair applied to near-JSON."""
     return F.translate(col, "'", '"')

@@ -284,6 +284,22 @@ def failed_split(spark, sf):
     )
 
 
+@query(
+    "row_sha256",
+    """SELECT doc_id, sha256('{"about":{"lang":"' || lang || '","source":"' || source || '"},"counts":{"chars":'
+              || n_chars || ',"id":' || doc_id || '}}') AS row_hash FROM documents""",
+)
+def row_sha256(spark, sf):
+    """Struct fields and map entries that stand in another order than their keys'."""
+    docs = V.texts(spark, sf)
+    nested = docs.select(
+        "doc_id",
+        F.create_map(F.lit("id"), F.col("doc_id"), F.lit("chars"), F.col("n_chars")).alias("counts"),
+        F.struct("source", "lang").alias("about"),
+    )
+    return nested.select("doc_id", X.row_sha256(nested, "counts", "about").alias("row_hash"))
+
+
 @query(
     "content_sha256",
     """SELECT doc_id, sha256(text) AS text_hash,

@@ -288,3 +288,23 @@ def test_blanks_beyond_ascii_split_chunks(spark):
     got = [r.c for r in df.select(C.chunk_sentences(F.col("t"), F.col("l")).alias("c")).collect()]
     assert got[0] == ['Mr. Hu said "Go!"', "Then etc. followed…", "End"]
     assert got[1] == ["Mr.", 'Hu said "Go!"', "Then etc.", "followed…", "End"]
+
+
+def test_row_hash_sorts_keys_at_every_depth(spark):
+    schema = "b string, a struct<z: int, m: map<string, struct<y: int, x: string>>>, l array<struct<d: int, c: int>>"
+    rows = [
+        ("é", (1, {"k2": (1, "p"), "k1": (2, None)}), [(1, 2), None]),
+        (None, None, []),
+        ("x", (None, None), None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = [r[0] for r in df.select(X.row_sha256(df)).collect()]
+    plain = [
+        {"b": "é", "a": {"z": 1, "m": {"k2": {"y": 1, "x": "p"}, "k1": {"y": 2, "x": None}}}, "l": [{"d": 1, "c": 2}, None]},
+        {"b": None, "a": None, "l": []},
+        {"b": "x", "a": {"z": None, "m": None}, "l": None},
+    ]
+    dumped = [json.dumps(p, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for p in plain]
+    assert got == [hashlib.sha256(d.encode()).hexdigest() for d in dumped]
+    other = spark.createDataFrame(rows[:1], schema).select("l", "a", "b")
+    assert other.select(X.row_sha256(other)).first()[0] == got[0]
