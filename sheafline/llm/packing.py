@@ -26,6 +26,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,10 @@ END_ID = 1
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, each different chunk asked for once.
 
-    Word-level tokenizers never merge across U+0020, so a text is cut there and
-    unknown chunks go to the library together. A chunk of Latin letters, with a full stop or comma
-    behind it or not, is one word that normalising only lowers, so the library's model is
-    asked for it directly.
+    Word-level tokenizers never merge across U+0020, which this one makes of line feeds too, so a
+    text is cut there and unknown chunks go to the library together. A chunk of Latin letters with marks
+    behind them or none is a word that normalising only lowers, and a run of marks: the library's
+    model is asked for the word directly, and the marks are known after a while.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -58,7 +59,7 @@ class LibraryEncoder:
         self.model = self.library.model
         self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.memo, self.stems = Memo(), Memo()
+        self.memo, self.stems, self.tails = Memo(), Memo(), Memo()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of single lower-case words of letters."""
@@ -79,28 +80,27 @@ class LibraryEncoder:
         return [raw[a * width : b * width] for a, b in zip([0, *ends], ends)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        plain, stems, rest = [], [], []
+        plain, stems, tails, rest = [], [], [], []
         for i, c in enumerate(chunks):
-            stem = c[:-1] if c[-1:] in (".", ",") else c
+            stem = c.rstrip(punctuation)
             if stem.isalpha() and (stem.isascii() or max(stem) < "ƀ" and "İ" not in stem):
                 plain.append(i)
                 stems.append(stem.lower())
+                tails.append(c[len(stem) :])
             else:
                 rest.append(i)
         out: list[bytes] = [b""] * len(chunks)
-        known = self.stems.fill([*stems, ".", ","], self._words)
-        stop, comma = known["."], known[","]
-        for i, stem in zip(plain, stems):
-            last = chunks[i][-1]
-            ids = known[stem]
-            out[i] = ids + stop if last == "." else ids + comma if last == "," else ids
+        known = self.stems.fill(stems, self._words)
+        behind = self.tails.fill(tails, self._ask)
+        for i, stem, tail in zip(plain, stems, tails):
+            out[i] = known[stem] + behind[tail]
         if rest:
             for i, ids in zip(rest, self._ask([chunks[i] for i in rest])):
                 out[i] = ids
         return out
 
     def encode(self, text: str) -> bytes:
-        chunks = text.split(" ")
+        chunks = text.replace("\n", " ").split(" ")  # normalising makes one of the other
         known = self.memo.fill(chunks, self._chunks)
         return b"".join(map(known.__getitem__, chunks))
 
