@@ -70,9 +70,12 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         if single.isEmpty():
             ended = False
             break
-        single, ended = _jump(single, many)
-        if not ended:
-            break
+        single, whole = _jump(single, many)
+        if not whole:  # those that hang on a cycle keep their edges
+            single = cut(single.join(single.select(F.col("id").alias("up")), "up", "left_anti"))
+            if single.isEmpty():
+                ended = False
+                break
         tied = single if tied is None else tied.unionByName(single)
         rounds += 1
         if rounds % FOLD == 0:
