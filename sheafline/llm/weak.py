@@ -15,7 +15,8 @@
 
 Beginnings are induced from at most ``SAMPLE`` documents of each label, and the classifier is trained on
 at most ``SAMPLE`` documents whose posterior is 0.5 or more and as many others, weighted to their true
-shares; both are taken by a hash of the id. Held-out documents take no part in anything but
+shares; the former are taken by a hash of the id, the latter by one of the row key, so repeated ids do not
+add up. Held-out documents take no part in anything but
 scoring, and a document's labels, lang, source and id are never inputs of its score.
 
 Null and empty texts score what the intercept says. Without labels no beginnings are induced and
@@ -156,10 +157,10 @@ def features(text: str) -> set[str]:
     return {*times, *(b + TWICE for b, n in times.items() if n > 1)}
 
 
-def _share(n: int, of: int) -> Column:
-    """True for about n of ``of`` documents, by a hash of their ids."""
+def _share(n: int, of: int, key: str = "doc_id") -> Column:
+    """True for about n of ``of`` rows, by a hash of a key that no two of them share."""
     part = min(1 << 20, int((1 << 20) * n / max(1, of)) + 1)
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(part)
+    return F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(part)
 
 
 def _counted(df: DataFrame, column: str) -> DataFrame:
@@ -436,14 +437,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = model.posterior(batch.column("mask").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["mask", "times", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["x", "p"])
 
-    rated = cut(patterns.mapInArrow(label, "mask long, times long, p double"))
     high = F.col("p") >= 0.5
+    rated = patterns.select(F.col("times").alias("x"), "mask").mapInArrow(label, "x long, p double")
     some, rest = rated.agg(
-        F.coalesce(F.sum(F.when(high, F.col("times"))), F.lit(0)), F.coalesce(F.sum(F.when(~high, F.col("times"))), F.lit(0))
+        F.coalesce(F.sum(F.when(high, F.col("x"))), F.lit(0)), F.coalesce(F.sum(F.when(~high, F.col("x"))), F.lit(0))
     ).first()
-    chosen = votes.join(rated, "mask").filter((high & _share(sample, some)) | (~high & _share(sample, rest)))
+    own = votes.select("row_key", "mask").mapInArrow(label, "x long, p double").withColumnRenamed("x", "row_key")
+    chosen = own.filter((high & _share(sample, some, "row_key")) | (~high & _share(sample, rest, "row_key")))
     weight = F.when(high, F.lit(max(1.0, some / sample))).otherwise(F.lit(max(1.0, rest / sample)))
     # about twice ``sample`` rows of three numbers
     chosen = cut(chosen.select("row_key", "p", weight.alias("weight")))
