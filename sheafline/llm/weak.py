@@ -14,7 +14,7 @@
    not on labels; its score needs no voter to fire.
 
 Beginnings are induced from at most ``SAMPLE`` documents of each label, and the classifier is trained on
-at most ``SAMPLE`` documents whose posterior is 0.5 or more and as many others, weighted to their true
+at most ``SAMPLE`` documents whose posterior is 0.5 or more and as many others, both weighted to their true
 shares; the former are taken by a hash of the id, the latter by one of the row key, so repeated ids do not
 add up. Held-out documents take no part in anything but
 scoring, and a document's labels, lang, source and id are never inputs of its score.
@@ -210,12 +210,17 @@ def induce(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[li
     bad = F.col("toxic") == 1
     some = known.filter((bad & _share(sample, toxic)) | (~bad & _share(sample, seen - toxic)))
     # a bounded number of ids
-    rows = keyed_texts(docs).join(F.broadcast(some), "doc_id").withColumn("weight", F.lit(1.0))
+    # each label stands for all of its documents, however many of them were taken
+    toxic_weight, clean_weight = max(1.0, toxic / sample), max(1.0, (seen - toxic) / sample)
+    weight = F.when(bad, F.lit(toxic_weight)).otherwise(F.lit(clean_weight))
+    rows = keyed_texts(docs).join(F.broadcast(some), "doc_id").withColumn("weight", weight)
     found = _counted(rows.withColumn("toxic", bad.cast("int")), "toxic")
-    # share of toxic ones, less than seen by what few documents leave open
-    sure = (F.col("pos") - F.sqrt("n")) / F.col("n")
-    rated = found.filter(F.length("feature") >= 4).filter(F.col("pos") >= LEAST_DOCS).withColumn("sure", sure)
-    rated = rated.filter("sure > 0.45").orderBy(F.desc(F.col("sure") * F.log1p("pos")), "feature").limit(40 * STEMS)
+    # share of toxic ones, less than seen by what few documents leave open and by what the clean ones
+    # that were not taken may hold
+    sure = F.col("pos") / (F.col("all") + clean_weight - 1) - 1 / F.sqrt("n")
+    found = found.withColumn("hits", F.round(F.col("pos") / toxic_weight))
+    rated = found.filter(F.length("feature") >= 4).filter(F.col("hits") >= LEAST_DOCS).withColumn("sure", sure)
+    rated = rated.filter("sure > 0.45").orderBy(F.desc(F.col("sure") * F.log1p("hits")), "feature").limit(40 * STEMS)
     stems: list[str] = []
     for r in rated.collect():
         new = r["feature"].removesuffix(TWICE)

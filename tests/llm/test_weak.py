@@ -140,3 +140,12 @@ def test_empty_table(spark, stored):
     table = stored([])
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert weak.score(table, weak.fit(table, labels)).collect() == []
+
+
+def test_common_words_are_no_beginnings_of_toxic_texts_when_clean_ones_are_sampled(spark, docs):
+    rows = [(i, f"commonplace words {'zorkian' if i % 6 == 0 else 'plain'} x{i}") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    stems, share = weak.induce(docs(rows), labels, sample=1300)
+    assert any("zorkian".startswith(s) for s in stems)
+    assert not any(w.startswith(s.removesuffix(weak.TWICE)) for s in stems for w in ("commonplace", "words", "plain"))
+    assert abs(share - 1 / 6) < 0.03
