@@ -10,10 +10,10 @@ that of a word within its class is added: its share of the class's words in the
 in which one count a class is set aside for words never seen.
 
 Word counts are made over all documents. Training runs in rounds: every task takes gradient steps on its own
-share of the corpus, each place of a fixed fraction of them, from the last round's
-weights, and the results are averaged, weighted by places, over a tree of
-groups. What is trained on and what is sent therefore grow with the corpus; the
-weights do not.
+share of the corpus from the last round's weights, and the results are averaged, weighted by places,
+over a tree of groups. The places are dealt out over the rounds, so every place of every document
+is trained on, in one round. What is trained on and what is sent therefore grow with the corpus;
+the weights do not.
 
 Null texts count as empty: no tokens, log-likelihood 0 and no mean. Repeated rows score
 the same. With no words at all the network stays at its start. Extra columns are never
@@ -41,8 +41,6 @@ FREQUENT = TOKENS - 256  # the other classes are shared by rarer words
 WINDOW = 2
 WIDTH = 24
 ROUNDS = 2
-#: One in so many places is trained on in a round.
-FRACTION = 8
 BATCH = 1024
 RATE = 0.05
 SLICES = 8
@@ -186,7 +184,9 @@ class Network:
         d_in = d_h * (1 - h * h) / n
         near = np.zeros_like(self.near)
         for d in range(2 * WINDOW):
-            np.add.at(near[d], around[:, d], d_in)
+            order = np.argsort(around[:, d], kind="stable")
+            met, first = np.unique(around[order, d], return_index=True)
+            near[d][met] = np.add.reduceat(d_in[order], first)
         return Network(
             near, d_in.sum(axis=0), h.T @ d_group / n, d_group.sum(axis=0) / n, inner, inner_bias
         )
@@ -242,8 +242,8 @@ def train(
             for batch in batches:
                 for part in slices(batch):
                     tokens, places, _ = joined(classes, part.column("text").to_pylist())
-                    # every FRACTION-th place, another one in each round
-                    places = places[turn::FRACTION]
+                    # other places in each round, all of them in the end
+                    places = places[turn::rounds]
                     held.append((neighbours(tokens, places), tokens[places]))
                     size += len(places)
                     seen += len(places)

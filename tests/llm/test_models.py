@@ -298,3 +298,12 @@ def test_network_beats_word_shares(spark):
     unigram = sum(n * np.log(n / len(ids)) for n in Counter(ids).values()) / len(ids)
     got = masked_lm.score(docs, *trained).selectExpr("sum(log_likelihood) / sum(n_tokens)").first()[0]
     assert got > unigram
+
+
+def test_every_place_is_trained_on(docs):
+    cycle = "ant bee cow dog eel fox gnu hen".split()
+    classes, net = masked_lm.train(docs([(1, " ".join(cycle * 12_000))], 1))
+    tokens = classes.of(" ".join(cycle * 3))
+    places = np.arange(8, 16)
+    own = net.log_probability(masked_lm.neighbours(tokens, places), tokens[places])
+    assert own.min() > np.log(0.5)
