@@ -6,7 +6,9 @@ all shingles, two sets that are similar enough have one in common among the firs
 of each, so rows meet by the shingles of these prefixes. The order puts shingles of rare
 cells first, by a table of counts of fixed size, so common lines bring few rows together.
 
-Rows of equal sets are one node. In each bucket every node is compared with the least one;
+Rows of equal sets are one node. First the nodes' fingerprints are linked through BK-trees, as in
+``bktree``; of these pairs those count whose sets are similar enough. Similar sets may differ in more
+bits than a search can follow, so the prefixes find the rest: in each bucket every node is compared with the least one;
 then nodes of one bucket that are still in different components are compared in
 pairs, so a large group of copies costs a star and not all its pairs. Before two sets
 are compared, a bitmap of the parities of their hashes bounds how far they
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sheafline.llm.bktree import _LOWER, components
+from sheafline.llm.bktree import _LOWER, components, fingerprints, links
 from sheafline.llm.common import cut, keyed_texts, ship, slices
 from sheafline.operators.rows import maybe_among
 
@@ -202,6 +204,21 @@ def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Col
     return rest * (SHARE[0] + SHARE[1]) >= (n_a + n_b) * SHARE[0]
 
 
+def tree_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` between ``nodes`` whose fingerprints the BK-trees link and whose sets are
+    similar enough."""
+    rows = fingerprints(docs, SHINGLE).select(F.col("row_key").alias("node"), "fp")
+    prints = cut(rows.join(nodes.select("node"), "node", "left_semi"))
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    found = links(first.select("fp"))
+    for side in ("a", "b"):
+        found = found.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_")), side)
+    equal = prints.join(first, "fp").filter("node != first").select(F.col("first").alias("a_"), F.col("node").alias("b_"))
+    pairs = found.select("a_", "b_").unionByName(equal)
+    pairs = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct()
+    return _similar(docs, nodes, pairs)
+
+
 def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` that span their components."""
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
@@ -224,8 +241,9 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         )
         return cut(rooted.join(several, "token"))
 
+    linked = tree_edges(docs, nodes)
     one = stars(buckets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = cut(_similar(docs, nodes, one))
+    edges = cut(linked.unionByName(_similar(docs, nodes, one.join(linked, ["a", "b"], "left_anti"))))
     open_ = mixed(edges)
     found = open_.select("token", F.col("node").alias("_node"), F.col("root").alias("_root"))
     # the least of a bucket and its root, beside each row

@@ -61,3 +61,22 @@ def test_stage_takes_five_words_at_four_fifths(spark, stored):
     rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id in (6, 145)").collect()]
     got = corpus_pipeline.near_dedup(spark, stored(rows), "").collect()
     assert [r["doc_id"] for r in got] == [6]
+
+
+def test_nodes_are_linked_through_the_trees_and_confirmed(stored):
+    """Equal fingerprints of different sets, few bits between similar ones, and unlike texts."""
+    from sheafline.llm.common import cut
+
+    words = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(reversed(words)))]
+    # the halves of the second are the first again, so the bits agree and the sets hardly differ
+    rows += [(4, " ".join(words * 2))]
+    docs = stored(rows, 1)
+    table = cut(near.shingled(docs))
+    ids = {r["row_key"]: r["doc_id"] for r in table.collect()}
+    nodes = table.withColumnRenamed("row_key", "node").select("node", "n", "odd", "prefix")
+    found = {frozenset((ids[r["a"]], ids[r["b"]])) for r in near.tree_edges(docs, nodes).collect()}
+    assert frozenset((1, 2)) in found and not any(3 in pair for pair in found)
+    sets = {i: plain_set(t) for i, t in rows}
+    for a, b in map(tuple, found):
+        assert 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
