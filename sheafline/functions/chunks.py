@@ -134,9 +134,10 @@ def _joined_at(text: Column, pattern: str, short: Column) -> Column:
     ends in one of ``short``."""
 
     def goes_on(piece: Column) -> Column:
-        last = F.regexp_extract(piece, rf"([^{WS[1:]}+)\.$", 1)
+        tail = F.substring_index(piece, " ", -1)  # so that the pattern runs over few characters
+        last = F.regexp_extract(tail, rf"([^{WS[1:]}+)\.$", 1)
         last = fold(F.regexp_replace(last, r"^[\p{P}\p{S}]+", ""))
-        return F.array_contains(short, F.regexp_replace(last, r"\.+$", ""))
+        return piece.endswith(".") & F.array_contains(short, F.regexp_replace(last, r"\.+$", ""))
 
     def with_blanks(pieces: Column, blanks: Column) -> Column:
         ends = F.filter(

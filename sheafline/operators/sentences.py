@@ -82,5 +82,6 @@ def split_sentences(docs: DataFrame, learned: DataFrame, text: str = "text", lan
     lists = abbreviation_lists(learned).withColumnRenamed("lang", "_lang")
     own = F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG))
     short = F.coalesce("abbreviations", F.array().cast("array<string>"))
-    joined = docs.withColumn("_lang", own).join(lists, "_lang", "left")
+    # a row for each language; the texts stay where they are, and no language's come together
+    joined = docs.withColumn("_lang", own).join(F.broadcast(lists), "_lang", "left")
     return joined.withColumn("sentences", chunk_sentences(F.col(text), short=short)).select(*docs.columns, "sentences")
