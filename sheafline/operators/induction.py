@@ -19,8 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sheafline.functions.text import let
-from sheafline.functions.tokens import bare_words, fold, form, placed_words, shape
+from sheafline.functions.tokens import bare_words, fold, form, grams, plain_words, shape, word_starts
 from sheafline.operators.rows import explode_rows, maybe_among
 from sheafline.session import cut
 
@@ -40,41 +39,38 @@ KEY = ["kind", "left", "shape", "right", "n"]
 BEGIN, END = "^", "$"
 
 
-def _sequences(text: Column, sizes: Column) -> Column:
-    """{start, end, value, folded, left, shape, form, right, n} of all sequences of ``sizes`` words."""
-
-    def of_words(w: Column) -> Column:
-        def of_size(n: Column) -> Column:
-            last = F.size(w) - n
-            at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-            def one(i: Column) -> Column:
-                part = F.slice(w, i + 1, n)
-                joined = lambda field: F.array_join(F.transform(part, lambda t: t[field]), " ")
-                return F.struct(
-                    F.get(w, i)["start"].alias("start"),
-                    F.get(w, i + n - 1)["end"].alias("end"),
-                    joined("word").alias("value"),
-                    joined("folded").alias("folded"),
-                    F.coalesce(F.get(w, i - 1)["folded"], F.lit(BEGIN)).alias("left"),
-                    joined("shape").alias("shape"),
-                    joined("form").alias("form"),
-                    F.coalesce(F.get(w, i + n)["folded"], F.lit(END)).alias("right"),
-                    n.alias("n"),
-                )
-
-            return F.transform(at, one)
-
-        return F.flatten(F.transform(sizes, of_size))
-
-    seen = F.transform(
-        placed_words(text),
-        lambda t: F.struct(
-            t["start"].alias("start"), t["end"].alias("end"), t["word"].alias("word"),
-            fold(t["word"]).alias("folded"), shape(t["word"]).alias("shape"), form(t["word"]).alias("form"),
-        ),
+def _sequences(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``at`` {start, end, value, folded, left, shape, form, right, n} of all sequences of
+    ``_sizes`` words of ``_text``."""
+    # each step is a projection of its own, so that nothing is made twice; folding and shapes change
+    # no blank, so they are made of a text's words together
+    rows = rows.select(
+        *keep, "_sizes", plain_words(F.col("_text")).alias("_w"), word_starts(F.col("_text")).alias("_at")
+    )
+    rows = rows.withColumn("_joined", F.array_join("_w", " "))
+    made = {"value": F.col("_joined"), "folded": fold("_joined"), "shape": shape("_joined"), "form": form("_joined")}
+    rows = rows.select(
+        *keep, "_w", "_at", *[c.alias(name) for name, c in made.items()], F.explode("_sizes").alias("_n")
+    )
+    rows = rows.select(
+        *keep, "_w", "_at", "_n", F.split("folded", " ").alias("_context"),
+        *[grams(F.col(name), F.col("_n")).alias(f"_{name}") for name in made],
     )
-    return let(seen, of_words)
+    beside = ["_w", "_at", "_n", "_context", *[f"_{name}" for name in made]]
+    rows = explode_rows(rows, [*keep, *beside], F.col("_value"), "_i", "value")
+    i, n, last = F.col("_i"), F.col("_n"), F.col("_i") + F.col("_n") - 1
+    at = F.struct(
+        F.get("_at", i).alias("start"),
+        (F.get("_at", last) + F.length(F.get("_w", last))).alias("end"),
+        "value",
+        F.get("_folded", i).alias("folded"),
+        F.coalesce(F.get("_context", i - 1), F.lit(BEGIN)).alias("left"),
+        F.get("_shape", i).alias("shape"),
+        F.get("_form", i).alias("form"),
+        F.coalesce(F.get("_context", i + n), F.lit(END)).alias("right"),
+        n.alias("n"),
+    )
+    return rows.select(*keep, at.alias("at"))
 
 
 def _patterns(at: Column) -> Column:
@@ -117,8 +113,9 @@ def induce_patterns(
     labels = lambda at: F.array_distinct(
         F.transform(F.filter("_pairs", lambda p: p["folded"] == at["folded"]), lambda p: p["label"])
     )
-    places = explode_rows(rows, ["_pairs"], _sequences(F.col("_text"), F.col("_sizes")), "_i", "at")
-    marked = places.select(F.explode(labels(F.col("at"))).alias("label"), "at")
+    places = _sequences(rows, ["_pairs"])
+    marked = _sequences(rows.filter(F.size("_pairs") > 0), ["_pairs"])
+    marked = marked.select(F.explode(labels(F.col("at"))).alias("label"), "at")
     found = marked.select("label", F.inline(_patterns(F.col("at")))).groupBy("label", *KEY)
     found = cut(found.agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= support))
     met = places.select(F.inline(_patterns(F.col("at"))))
@@ -161,9 +158,9 @@ def extract_by_patterns(
     the best ``precision``."""
     sizes = patterns.agg(F.sort_array(F.collect_set("n")).alias("n"))  # few lengths
     rows = chunks.select(*keep, F.col(text).alias("_text"), sizes.scalar().alias("_sizes"))
-    places = explode_rows(rows, keep, _sequences(F.col("_text"), F.col("_sizes")), "_i", "_at")
+    places = _sequences(rows, keep)
     fits = places.select(
-        *keep, F.col("_at.value").alias("extraction_text"), "_at.start", "_at.end", F.inline(_patterns(F.col("_at")))
+        *keep, F.col("at.value").alias("extraction_text"), "at.start", "at.end", F.inline(_patterns(F.col("at")))
     )
     listed = patterns.select(F.col("label").alias("extraction_class"), *KEY, "precision")
     return (
