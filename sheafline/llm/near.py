@@ -8,11 +8,13 @@ cells first, by a table of counts of fixed size, so common lines bring few rows
 
 Rows of equal sets are one node. First the nodes' fingerprints are linked through BK-trees, as in
 ``bktree``; of these pairs those count whose sets are similar enough. Similar sets may differ in more
-bits than a search can follow, so the prefixes find the rest: in each bucket every node is compared with the least one;
-then nodes of one bucket that are still in different components are compared in
-pairs, so a large group of copies costs a star and not all its pairs. Before two sets
+bits than a search can follow, so the prefixes find the rest. Of buckets with the same nodes only the one of the
+first shingle is kept, which is the first that any two of them share. In each bucket every node is compared with the
+least one, then, round by round, nodes of other components with one that a hash picks for the bucket, as long as that joins many;
+at last nodes of one bucket that are still in different components are compared in
+pairs, so a large group of copies costs a few stars and not all its pairs. Before two sets
 are compared, a bitmap of the parities of their hashes bounds how far they
-differ from below; only pairs that it lets through have their sets made again.
+differ from below, for the last pairs while they are made; only pairs that it lets through have their sets made again.
 
 Words are as in ``bktree``: ASCII letters lowered, split at ASCII blanks. A text of fewer
 than five words is one shingle. Null texts count as empty, and all empty texts are equal; a null id comes
@@ -43,6 +45,8 @@ BLOCK = 1 << 14
 COUNTED = 1_000_000
 #: Bits of a set's parity map.
 PARITY = 2048
+#: Stars go on while one in so many of a round's pairs is similar.
+YIELD = 16
 MEMO_WORDS = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,11 +79,11 @@ def prefix_size(n: int) -> int:
     return n - -(-SHARE[0] * n // SHARE[1]) + 1
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """Whether each of ``PARITY`` cells holds an odd number of the hashes."""
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITY`` cells holds an odd number of the hashes, as bits of 64-bit numbers."""
     cells = (hashes >> np.uint64(40)) % np.uint64(PARITY)
     odd = np.bincount(cells.astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def cell_counts(docs: DataFrame) -> np.ndarray:
@@ -123,7 +127,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     ``prefix`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(cell_counts(docs))
     names = ["row_key", "doc_id", "h1", "h2", "n", "odd", "prefix"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = Shingles(), shared.value
@@ -145,7 +149,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 columns += [pa.array(x, kind) for x, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "row_key long, doc_id long, h1 long, h2 long, n long, odd binary, prefix array<long>"
+    schema = "row_key long, doc_id long, h1 long, h2 long, n long, odd array<long>, prefix array<long>"
     return keyed_texts(docs).mapInArrow(run, schema)
 
 
@@ -157,7 +161,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
             odd = [
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8)
+                batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
                 for c in ("odd_a", "odd_b")
             ]
             # sets this similar differ in a ninth of both sizes at most
@@ -204,6 +208,12 @@ def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Col
     return rest * (SHARE[0] + SHARE[1]) >= (n_a + n_b) * SHARE[0]
 
 
+def _differ_little(n_a: Column, odd_a: Column, n_b: Column, odd_b: Column) -> Column:
+    """As ``_similar`` bounds it by the parities."""
+    differ = sum((F.bit_count(odd_a[i].bitwiseXOR(odd_b[i])) for i in range(PARITY // 64)), F.lit(0))
+    return differ * (SHARE[1] + SHARE[0]) <= (n_a + n_b) * (SHARE[1] - SHARE[0])
+
+
 def tree_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` whose fingerprints the BK-trees link and whose sets are
     similar enough."""
@@ -222,21 +232,31 @@ def tree_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` that span their components."""
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    lowest = F.min(F.struct("node", "n", "at")).alias("least")
-    shared = cut(tokens.groupBy("token").agg(lowest, F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    shared = tokens.groupBy("token").agg(
+        F.min(F.struct("node", "n", "at")).alias("least"), F.count(F.lit(1)).alias("many"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
+    )
+    # of buckets with the same nodes that of the first shingle, in the order of all
+    shared = (
+        shared.filter("many > 1").groupBy("x1", "x2", "many")
+        .agg(F.min(F.struct("least.at", "token", "least")).alias("first")).select("first.token", "first.least")
+    )
+    shared = cut(shared)
     buckets = cut(maybe_among(tokens, ["token"], shared, 1 << 27).join(shared, "token"))
 
     def stars(rows: DataFrame) -> DataFrame:
         low = F.col("least")
         fits = _may_be_similar(F.col("n"), F.col("at"), low["n"], low["at"])
-        return rows.filter((F.col("node") != low["node"]) & fits).select(low["node"].alias("a"), F.col("node").alias("b"))
+        ends = F.least(low["node"], "node").alias("a"), F.greatest(low["node"], "node").alias("b")
+        return rows.filter((F.col("node") != low["node"]) & fits).select(*ends)
 
-    def mixed(edges: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components, with their ``root``."""
-        rooted = buckets.drop("least", "many").join(components(edges), "node", "left")
+    def mixed(edges: DataFrame, turn: int) -> DataFrame:
+        """Rows of buckets that hold several components, with their ``root`` and a ``least`` by hash."""
+        rooted = buckets.drop("least").join(components(edges), "node", "left")
         rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        by_hash = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "n", "at", "root"))
         several = (
-            rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), lowest)
+            rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), by_hash.alias("least"))
             .filter("low != high").select("token", "least")
         )
         return cut(rooted.join(several, "token"))
@@ -244,19 +264,23 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     linked = tree_edges(docs, nodes)
     one = stars(buckets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges = cut(linked.unionByName(_similar(docs, nodes, one.join(linked, ["a", "b"], "left_anti"))))
-    open_ = mixed(edges)
-    found = open_.select("token", F.col("node").alias("_node"), F.col("root").alias("_root"))
-    # the least of a bucket and its root, beside each row
-    roots = found.join(open_.select("token", F.col("least.node").alias("_node")).distinct(), ["token", "_node"])
-    apart = open_.join(roots.select("token", "_root"), "token").filter("root != _root")
-    edges = cut(edges.unionByName(_similar(docs, nodes, stars(apart).distinct())))
-    open_ = mixed(edges).drop("least")
-    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root")])
+    turn = 0
+    while True:
+        open_ = mixed(edges, turn)
+        apart = cut(stars(open_.filter("root != least.root")).distinct())
+        found = _similar(docs, nodes, apart)
+        edges = cut(edges.unionByName(found))
+        turn += 1
+        if found.count() * YIELD <= apart.count():
+            break
+    open_ = mixed(edges, turn).drop("least").join(nodes.select("node", "odd"), "node")
+    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root", "odd")])
     rest = (
         open_.join(
             other,
             (open_["token"] == other["token"]) & (open_["node"] < F.col("node_b")) & (open_["root"] != F.col("root_b"))
-            & _may_be_similar(open_["n"], open_["at"], F.col("n_b"), F.col("at_b")),
+            & _may_be_similar(open_["n"], open_["at"], F.col("n_b"), F.col("at_b"))
+            & _differ_little(open_["n"], open_["odd"], F.col("n_b"), F.col("odd_b")),
         )
         .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     )

@@ -80,3 +80,38 @@ def test_nodes_are_linked_through_the_trees_and_confirmed(stored):
     sets = {i: plain_set(t) for i, t in rows}
     for a, b in map(tuple, found):
         assert 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+
+
+def test_large_group_costs_few_pairs(stored, monkeypatch):
+    """Copies of one text of which many are too far from each other, the first from nearly all."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 8)))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(200):
+        copy = list(base)
+        for at in rnd.sample(range(5, 195), 5 if i == 0 else rnd.choice([1, 1, 2, 3])):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    want, pairs = plain_kept(rows)
+    compared, plain = [], near._similar
+    monkeypatch.setattr(near, "_similar", lambda d, n, p: compared.append(p.count()) or plain(d, n, p))
+    got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
+    assert pairs > 5000 and got == want
+    assert sum(compared) < 3000
+
+
+def test_buckets_of_the_same_nodes_are_one(stored, monkeypatch):
+    """Pairs of unlike texts with many rare shingles in common are made once, in any order of ids."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 8)))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(100)]
+        for j, n in enumerate((1, 2, 3)):
+            copy = list(base)
+            for at in rnd.sample(range(100), n):
+                copy[at] = word()
+            rows.append((1000 - 3 * i - j, " ".join(copy)))
+    want, _ = plain_kept(rows)
+    got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
+    assert got == want
