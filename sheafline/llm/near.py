@@ -110,7 +110,8 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint8).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()),
+             pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())],
             names=["block", "counts"],
         )
 
@@ -118,7 +119,7 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
     parts = keyed_texts(docs).select("text").mapInArrow(count, schema).repartition("block")
     counts = np.zeros((CELLS // BLOCK, BLOCK), dtype=np.uint16)
     for r in parts.mapInArrow(add, schema).collect():  # CELLS numbers
-        counts[r["block"]] = np.minimum(np.frombuffer(r["counts"], np.int32), 65535)
+        counts[r["block"]] = np.frombuffer(r["counts"], np.uint16)
     return counts.ravel()
 
 
@@ -153,6 +154,12 @@ def shingled(docs: DataFrame) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, schema)
 
 
+def texts_of(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``row_key``, ``doc_id`` and ``text`` of the rows whose ``row_key`` is in ``own``, which has each once."""
+    # no left semi join: Catalyst moves those below the bitmap, so that every text is shuffled
+    return maybe_among(keyed_texts(docs), ["row_key"], own).join(own, "row_key")
+
+
 def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``a``, ``b`` of ``pairs`` whose sets are similar enough."""
     most, least = SHARE[1] - SHARE[0], SHARE[1] + SHARE[0]
@@ -196,8 +203,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     figures = nodes.select("node", "n", "odd")
     likely = cut(beside(pairs, figures, ["n", "odd"]).mapInArrow(bound, "a long, b long"))
     own = cut(likely.select(F.explode(F.array("a", "b")).alias("row_key")).distinct())
-    texts = maybe_among(keyed_texts(docs), ["row_key"], own).join(own, "row_key", "left_semi")
-    made = cut(texts.mapInArrow(sets, "node long, set binary"))
+    made = cut(texts_of(docs, own).mapInArrow(sets, "node long, set binary"))
     return cut(beside(likely, made, ["set"]).mapInArrow(compare, "a long, b long"))
 
 
@@ -232,6 +238,9 @@ def tree_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` that span their components."""
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    # nearly all shingles are in one set only, so their rows are told by counts and not shuffled
+    several = cut(tokens.groupBy("token").count().filter("count > 1").select("token"))
+    tokens = cut(maybe_among(tokens, ["token"], several, 1 << 27))
     shared = tokens.groupBy("token").agg(
         F.min(F.struct("node", "n", "at")).alias("least"), F.count(F.lit(1)).alias("many"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
@@ -242,7 +251,7 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("least.at", "token", "least")).alias("first")).select("first.token", "first.least")
     )
     shared = cut(shared)
-    buckets = cut(maybe_among(tokens, ["token"], shared, 1 << 27).join(shared, "token"))
+    buckets = cut(tokens.join(shared, "token"))
 
     def stars(rows: DataFrame) -> DataFrame:
         low = F.col("least")
@@ -250,9 +259,9 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         ends = F.least(low["node"], "node").alias("a"), F.greatest(low["node"], "node").alias("b")
         return rows.filter((F.col("node") != low["node"]) & fits).select(*ends)
 
-    def mixed(edges: DataFrame, turn: int) -> DataFrame:
+    def mixed(roots: DataFrame, turn: int) -> DataFrame:
         """Rows of buckets that hold several components, with their ``root`` and a ``least`` by hash."""
-        rooted = buckets.drop("least").join(components(edges), "node", "left")
+        rooted = buckets.drop("least").join(roots, "node", "left")
         rooted = rooted.withColumn("root", F.coalesce("root", "node"))
         by_hash = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "n", "at", "root"))
         several = (
@@ -263,17 +272,21 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     linked = tree_edges(docs, nodes)
     one = stars(buckets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = cut(linked.unionByName(_similar(docs, nodes, one.join(linked, ["a", "b"], "left_anti"))))
+    star = _similar(docs, nodes, one.join(linked, ["a", "b"], "left_anti"))
+    roots = components(linked.unionByName(star))
+    spanning = lambda: roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
     turn = 0
     while True:
-        open_ = mixed(edges, turn)
+        open_ = mixed(roots, turn)
         apart = cut(stars(open_.filter("root != least.root")).distinct())
-        found = _similar(docs, nodes, apart)
-        edges = cut(edges.unionByName(found))
         turn += 1
-        if found.count() * YIELD <= apart.count():
+        found = None if apart.isEmpty() else _similar(docs, nodes, apart)
+        joined = found.count() if found is not None else 0
+        if joined:  # else the components are as they were
+            roots = components(spanning().unionByName(found))
+        if found is None or joined * YIELD <= apart.count():
             break
-    open_ = mixed(edges, turn).drop("least").join(nodes.select("node", "odd"), "node")
+    open_ = mixed(roots, turn).drop("least").join(nodes.select("node", "odd"), "node")
     other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root", "odd")])
     rest = (
         open_.join(
@@ -284,20 +297,18 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         )
         .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     )
-    return edges.unionByName(_similar(docs, nodes, rest))
+    return spanning().unionByName(_similar(docs, nodes, rest))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, the first of each group, with all their columns."""
-    rows = cut(shingled(docs))
-    lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("low")
-    sets = cut(rows.groupBy("h1", "h2").agg(lowest).select(F.col("low.row_key").alias("node"), "low"))
-    nodes = cut(
-        rows.withColumnRenamed("row_key", "node").select("node", "n", "odd", "prefix")
-        .join(sets.select("node"), "node", "left_semi")
-    )
+    # the row key decides before the arrays behind it are looked at
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "odd", "prefix"))
+    sets = shingled(docs).groupBy("h1", "h2").agg(first.alias("low")).select("low.*")
+    nodes = cut(sets.withColumnRenamed("row_key", "node"))
     joined = components(similar_edges(docs, nodes))
-    rooted = sets.join(joined, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    low = F.struct("none", "doc_id", F.col("node").alias("row_key")).alias("low")
+    rooted = nodes.join(joined, "node", "left").select(low, F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row_key").alias("row_key_"))
     whole = docs.select(F.struct("*").alias("row_"), F.monotonically_increasing_id().alias("row_key_"))
     return whole.join(keep, "row_key_", "left_semi").select("row_.*")

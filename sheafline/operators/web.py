@@ -171,7 +171,8 @@ def page_result_join(
         .groupBy("url").agg(F.min(order).alias(order))
     )
     likely = maybe_among(results, ["url", order], chosen)
-    met = likely.join(chosen, ["url", order], "left_semi")
+    # no left semi join: Catalyst moves those below the bitmap, so that every row is shuffled
+    met = likely.join(chosen, ["url", order]).select(*results.columns)
     first = dedupe_keep_first(met, "url", order)
     return urls.join(first if prepare is None else prepare(first), "url")
 

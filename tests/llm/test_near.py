@@ -115,3 +115,35 @@ def test_buckets_of_the_same_nodes_are_one(stored, monkeypatch):
     want, _ = plain_kept(rows)
     got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
     assert got == want
+
+
+def test_only_texts_of_candidates_are_shuffled(stored):
+    """The bitmap stands below the join, so what it rejects is not exchanged."""
+    docs = stored([(i, f"text {i}") for i in range(50)])
+    own = near.keyed_texts(docs).filter("doc_id in (3, 40)").select("row_key")
+    got = near.texts_of(docs, own.localCheckpoint())
+    assert sorted(r["doc_id"] for r in got.collect()) == [3, 40]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join " in line]
+    assert "row_key" in joins[0] and "getbit" in joins[1], joins
+
+
+def test_rows_of_shingles_met_once_are_not_kept(stored, monkeypatch):
+    """Of unlike texts no row of a shingle is stored; of near copies all shared ones are."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(100)]
+    rows = [(i, " ".join(word() for _ in range(100))) for i in range(40)]
+    rows += [(100, " ".join(base)), (101, " ".join([*base, word()]))]
+    seen, plain = [], near.cut
+
+    def noted(df):
+        out = plain(df)
+        if out.columns == ["node", "n", "at", "token"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "cut", noted)
+    got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
+    assert got == {i for i in range(40)} | {100}
+    assert seen and 20 <= sum(seen) <= 42
