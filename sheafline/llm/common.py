@@ -91,12 +91,15 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of at most ``most`` bytes of text, or one row."""
+def slices(
+    batch: pa.RecordBatch, most: int = SLICE_CHARS, size: pa.Array | None = None
+) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``most`` bytes of text, or one row; ``size``: the bytes of each row,
+    if not those of its ``text``."""
     n = batch.num_rows
     if n == 0:
         return
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0) if size is None else size
     ends = np.cumsum(np.asarray(size, dtype="int64"))
     at = 0
     while at < n:

@@ -54,8 +54,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    counts = cut(masked_lm.word_counts(docs))
-    return masked_lm.score_words(docs, *masked_lm.train(docs, counts=counts), counts)
+    return masked_lm.train_and_score(docs)
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

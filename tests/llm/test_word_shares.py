@@ -28,3 +28,26 @@ def test_words_within_their_class(spark, monkeypatch, held):
         want = sum(np.log(n[w] / (of_class[trained[0]._class(w)] + 1)) for w in rare)
         assert np.isclose(got[d], plain[d] + want, rtol=1e-6)
     assert any(got[d] < plain[d] - 1 for d in got)
+
+
+def test_words_are_cut_as_by_split():
+    texts = ["", " a  b ", "\x1cA\x85b C\xa0", "\n", "İx ΑΣ b", "a\u2028b\x0bc\x1fd\u3000e\u200bf"]
+    distinct, index, sizes = masked_lm.split_words(texts)
+    words = distinct.to_pylist()
+    assert [words[i] for i in index] == [w for t in texts for w in t.lower().split()]
+    assert sizes.tolist() == [len(t.lower().split()) for t in texts]
+
+
+def test_texts_are_read_twice_only(spark, monkeypatch):
+    """For the counts and for the tokens; training and scoring read the tokens, and score as one by one."""
+    from sheafline.llm.queries import QUERIES
+
+    data, calls, plain = "/root/testdata/sf0.001", [], masked_lm.keyed_texts
+    monkeypatch.setattr(masked_lm, "keyed_texts", lambda *a: calls.append(a) or plain(*a))
+    got = {r["doc_id"]: r["log_likelihood"] for r in QUERIES["op4_masked_lm"](spark, data).collect()}
+    assert len(calls) == 2
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    counts = cut(masked_lm.word_counts(docs))
+    want = masked_lm.score_words(docs, *masked_lm.train(docs, counts=counts), counts).collect()
+    assert len(got) == len(want)
+    assert all(np.isclose(got[r["doc_id"]], r["log_likelihood"], rtol=1e-5) for r in want)
