@@ -47,6 +47,8 @@ COUNTED = 1_000_000
 PARITY = 2048
 #: Stars go on while one in so many of a round's pairs is similar.
 YIELD = 16
+#: Powers of two between which the bits of the map of shared shingles lie.
+FILTER_BITS = (20, 27)
 MEMO_WORDS = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,7 +242,9 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     # nearly all shingles are in one set only, so their rows are told by counts and not shuffled
     several = cut(tokens.groupBy("token").count().filter("count > 1").select("token"))
-    tokens = cut(maybe_among(tokens, ["token"], several, 1 << 27))
+    # a small bitmap for few of them: the driver holds it several times
+    bits = 1 << min(FILTER_BITS[1], max(FILTER_BITS[0], (64 * several.count()).bit_length()))
+    tokens = cut(maybe_among(tokens, ["token"], several, bits))
     shared = tokens.groupBy("token").agg(
         F.min(F.struct("node", "n", "at")).alias("least"), F.count(F.lit(1)).alias("many"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
