@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sheafline.llm.common import cut, keyed_texts, map_texts
+from sheafline.llm.common import counted, cut, gathered, keyed_texts, map_texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -267,25 +267,27 @@ def components(edges: DataFrame) -> DataFrame:
     a node's neighbours are folded to their minimum and joined back, so a node with
     very many neighbours is never gathered in one place.
     """
-    edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, rows = counted(
+        cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    )
     seen = None
     while True:
         # large star: each larger neighbour of a node to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
-            both.filter("b > a").join(low, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+            both.filter("b > a").join(low.hint("merge"), "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         )
+        large = gathered(gathered(large, rows).distinct(), rows)
         # small star: a node and its smaller neighbours to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a")
+            large.join(low.hint("merge"), "a")
             .select(F.col("b").alias("x"), "m").filter("x != m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
-            .distinct()
         )
-        edges = cut(small)
+        small = gathered(small, rows).unionByName(gathered(low.select("a", F.col("m").alias("b")), rows)).distinct()
+        edges = cut(gathered(small, rows))
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

@@ -17,6 +17,9 @@ from sheafline.session import cut, scratch_path
 #: Texts are handed on in slices of about so many characters, whatever Arrow's batches hold.
 SLICE_CHARS = 8_000_000
 
+#: Rows of few columns that make up a task, in tables much smaller than the texts.
+TASK_ROWS = 100_000
+
 FOLDS = 3
 HELD_OUT = 1
 
@@ -58,6 +61,22 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in the tasks that about so many ``rows`` need, one a core at least; nothing is shuffled for it.
+
+    Every task of every step leaves files and a record behind however few its rows, so steps over small tables
+    are not left to as many tasks as the texts' shuffles have.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // TASK_ROWS)))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A stored ``df``, gathered, and its rows."""
+    rows = gathered(df, 0).count()
+    return gathered(df, rows), rows
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that models never learn from; false for a null id."""
     fold = F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
@@ -116,4 +135,4 @@ def _arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-__all__ = ["cut", "documents", "held_out", "keyed_texts", "map_texts", "scratch_path", "slices"]
+__all__ = ["counted", "cut", "documents", "gathered", "held_out", "keyed_texts", "map_texts", "scratch_path", "slices"]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafline.llm.bktree import _LOWER, components, fingerprints, links
-from sheafline.llm.common import cut, keyed_texts, ship, slices
+from sheafline.llm.common import counted, cut, gathered, keyed_texts, ship, slices
 from sheafline.operators.rows import maybe_among
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ YIELD = 16
 #: Powers of two between which the bits of the map of shared shingles lie.
 FILTER_BITS = (20, 27)
 MEMO_WORDS = 200_000
+#: A text or its set counts as so many rows when tasks are made.
+WIDE = 64
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,14 +201,18 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     def beside(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
             own = right.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-            left = left.join(own, side)
+            left = left.join(own.hint("merge"), side)
         return left
 
+    pairs, rows = counted(cut(pairs))
     figures = nodes.select("node", "n", "odd")
-    likely = cut(beside(pairs, figures, ["n", "odd"]).mapInArrow(bound, "a long, b long"))
-    own = cut(likely.select(F.explode(F.array("a", "b")).alias("row_key")).distinct())
-    made = cut(texts_of(docs, own).mapInArrow(sets, "node long, set binary"))
-    return cut(beside(likely, made, ["set"]).mapInArrow(compare, "a long, b long"))
+    likely = gathered(beside(pairs, figures, ["n", "odd"]), rows).mapInArrow(bound, "a long, b long")
+    likely, rows = counted(cut(likely))
+    own = likely.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    own = cut(gathered(own, 2 * rows))
+    # texts and sets are wide
+    made = cut(gathered(texts_of(docs, own), WIDE * rows).mapInArrow(sets, "node long, set binary"))
+    return cut(gathered(beside(likely, made, ["set"]), WIDE * rows).mapInArrow(compare, "a long, b long"))
 
 
 def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
@@ -226,14 +232,14 @@ def tree_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` whose fingerprints the BK-trees link and whose sets are
     similar enough."""
     rows = fingerprints(docs, SHINGLE).select(F.col("row_key").alias("node"), "fp")
-    prints = cut(rows.join(nodes.select("node"), "node", "left_semi"))
-    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    prints, many = counted(cut(rows.join(nodes.select("node"), "node", "left_semi")))
+    first = cut(gathered(prints.groupBy("fp").agg(F.min("node").alias("first")), many))
     found = links(first.select("fp"))
     for side in ("a", "b"):
-        found = found.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_")), side)
+        found = gathered(found.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_")), side), many)
     equal = prints.join(first, "fp").filter("node != first").select(F.col("first").alias("a_"), F.col("node").alias("b_"))
     pairs = found.select("a_", "b_").unionByName(equal)
-    pairs = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct()
+    pairs = gathered(pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct(), many)
     return _similar(docs, nodes, pairs)
 
 
@@ -241,56 +247,56 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between ``nodes`` that span their components."""
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     # nearly all shingles are in one set only, so their rows are told by counts and not shuffled
-    several = cut(tokens.groupBy("token").count().filter("count > 1").select("token"))
+    several, many = counted(cut(tokens.groupBy("token").count().filter("count > 1").select("token")))
     # a small bitmap for few of them: the driver holds it several times
-    bits = 1 << min(FILTER_BITS[1], max(FILTER_BITS[0], (64 * several.count()).bit_length()))
-    tokens = cut(maybe_among(tokens, ["token"], several, bits))
+    bits = 1 << min(FILTER_BITS[1], max(FILTER_BITS[0], (64 * many).bit_length()))
+    tokens, rows = counted(cut(maybe_among(tokens, ["token"], several, bits)))
     shared = tokens.groupBy("token").agg(
         F.min(F.struct("node", "n", "at")).alias("least"), F.count(F.lit(1)).alias("many"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
     )
     # of buckets with the same nodes that of the first shingle, in the order of all
     shared = (
-        shared.filter("many > 1").groupBy("x1", "x2", "many")
+        gathered(shared.filter("many > 1"), rows).groupBy("x1", "x2", "many")
         .agg(F.min(F.struct("least.at", "token", "least")).alias("first")).select("first.token", "first.least")
     )
-    shared = cut(shared)
-    buckets = cut(tokens.join(shared, "token"))
+    shared = cut(gathered(shared, rows))
+    buckets, rows = counted(cut(gathered(tokens.join(shared.hint("merge"), "token"), rows)))
 
-    def stars(rows: DataFrame) -> DataFrame:
+    def stars(of: DataFrame) -> DataFrame:
         low = F.col("least")
         fits = _may_be_similar(F.col("n"), F.col("at"), low["n"], low["at"])
         ends = F.least(low["node"], "node").alias("a"), F.greatest(low["node"], "node").alias("b")
-        return rows.filter((F.col("node") != low["node"]) & fits).select(*ends)
+        return of.filter((F.col("node") != low["node"]) & fits).select(*ends)
 
     def mixed(roots: DataFrame, turn: int) -> DataFrame:
         """Rows of buckets that hold several components, with their ``root`` and a ``least`` by hash."""
-        rooted = buckets.drop("least").join(roots, "node", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        rooted = buckets.drop("least").join(roots.hint("merge"), "node", "left")
+        rooted = gathered(rooted.withColumn("root", F.coalesce("root", "node")), rows)
         by_hash = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "n", "at", "root"))
         several = (
             rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), by_hash.alias("least"))
             .filter("low != high").select("token", "least")
         )
-        return cut(rooted.join(several, "token"))
+        return cut(gathered(rooted.join(several.hint("merge"), "token"), rows))
 
     linked = tree_edges(docs, nodes)
-    one = stars(buckets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    star = _similar(docs, nodes, one.join(linked, ["a", "b"], "left_anti"))
+    one = gathered(stars(buckets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows)
+    star = _similar(docs, nodes, gathered(one.join(linked.hint("merge"), ["a", "b"], "left_anti"), rows))
     roots = components(linked.unionByName(star))
     spanning = lambda: roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
     turn = 0
     while True:
         open_ = mixed(roots, turn)
-        apart = cut(stars(open_.filter("root != least.root")).distinct())
+        apart, many = counted(cut(gathered(stars(open_.filter("root != least.root")).distinct(), rows)))
         turn += 1
-        found = None if apart.isEmpty() else _similar(docs, nodes, apart)
+        found = _similar(docs, nodes, apart) if many else None
         joined = found.count() if found is not None else 0
         if joined:  # else the components are as they were
             roots = components(spanning().unionByName(found))
-        if found is None or joined * YIELD <= apart.count():
+        if joined * YIELD <= many:
             break
-    open_ = mixed(roots, turn).drop("least").join(nodes.select("node", "odd"), "node")
+    open_ = gathered(mixed(roots, turn).drop("least").join(nodes.select("node", "odd"), "node"), WIDE * rows)
     other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "root", "odd")])
     rest = (
         open_.join(
@@ -299,8 +305,9 @@ def similar_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             & _may_be_similar(open_["n"], open_["at"], F.col("n_b"), F.col("at_b"))
             & _differ_little(open_["n"], open_["odd"], F.col("n_b"), F.col("odd_b")),
         )
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     )
+    rest = gathered(rest, WIDE * rows).distinct()
     return spanning().unionByName(_similar(docs, nodes, rest))
 
 
@@ -309,10 +316,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     # the row key decides before the arrays behind it are looked at
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n", "odd", "prefix"))
     sets = shingled(docs).groupBy("h1", "h2").agg(first.alias("low")).select("low.*")
-    nodes = cut(sets.withColumnRenamed("row_key", "node"))
+    nodes, many = counted(cut(sets.withColumnRenamed("row_key", "node")))
+    nodes = gathered(nodes, WIDE * many)  # their prefixes are many rows
     joined = components(similar_edges(docs, nodes))
     low = F.struct("none", "doc_id", F.col("node").alias("row_key")).alias("low")
     rooted = nodes.join(joined, "node", "left").select(low, F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row_key").alias("row_key_"))
+    keep = gathered(rooted, many).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row_key").alias("row_key_"))
     whole = docs.select(F.struct("*").alias("row_"), F.monotonically_increasing_id().alias("row_key_"))
     return whole.join(keep, "row_key_", "left_semi").select("row_.*")

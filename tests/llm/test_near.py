@@ -2,7 +2,7 @@
 
 import random
 
-from sheafline.llm import near
+from sheafline.llm import bktree, near
 
 
 def plain_set(text):
@@ -147,3 +147,37 @@ def test_rows_of_shingles_met_once_are_not_kept(stored, monkeypatch):
     got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
     assert got == {i for i in range(40)} | {100}
     assert seen and 20 <= sum(seen) <= 42
+
+
+def test_small_tables_take_few_tasks(spark, stored, monkeypatch):
+    """Steps over few rows do not run as many tasks as the shuffles of the texts."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 8)))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(20):
+        copy = list(base)
+        for at in rnd.sample(range(100), i % 4):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    cores = spark.sparkContext.defaultParallelism
+    seen = {}
+    for module in (near, bktree):
+
+        def noted(df, plain=module.cut, name=module.__name__):
+            out = plain(df)
+            seen.setdefault(name, []).append(out.rdd.getNumPartitions())
+            return out
+
+        monkeypatch.setattr(module, "cut", noted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"] for r in near.drop_near_copies(stored(rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain_kept(rows)[0]
+    for parts in seen.values():
+        assert sum(n <= cores for n in parts) > len(parts) / 2, seen
