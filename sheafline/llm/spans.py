@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,14 @@ def runs(cut_up: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
     return out
 
 
+class _Numbers(dict):
+    """Word -> number, given at the first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """What is known of each word: its code, whether a sentence ends with it, and its 128-bit hash."""
 
@@ -119,19 +128,20 @@ class Words:
         self.powers = [np.ones(1, np.uint64) for _ in range(4)]
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.codes, self.last = np.empty(1024, np.uint64), np.empty(1024, bool)
         self.hashes = np.empty((2, 1024), np.uint64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """The number of each word; numbers hold until the next call."""
-        known = self.known
-        if len(known) > MEMO_WORDS:
+        if len(self.known) > MEMO_WORDS:
             self.clear()
-            known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            at, to = len(known), len(known) + len(new)
+        known = self.known
+        at = len(known)
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        to = len(known)
+        if to > at:
+            new = list(islice(reversed(known), to - at))[::-1]
             if to > len(self.codes):
                 more = np.arange(2 * to) % len(self.codes)  # those behind are not read before they are set
                 self.codes, self.last, self.hashes = self.codes[more], self.last[more], self.hashes[:, more]
@@ -140,8 +150,7 @@ class Words:
             self.last[at:to] = [w[-1] in _ENDS and _LAST.search(w) is not None for w in new]
             digests = b"".join(map(xxhash.xxh3_128_digest, raw))
             self.hashes[:, at:to] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
-            known.update(zip(new, range(at, to)))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def weights(self, n: int) -> list[np.ndarray]:
         """For each half the powers of its factor up to n and those of the factor's inverse."""
@@ -186,16 +195,16 @@ def ends_of_runs(many: np.ndarray) -> np.ndarray:
     return end[end < len(many)]
 
 
-def hashed_spans(text: str, own: Words) -> np.ndarray:
-    """The two halves of the hash of the span from each first sentence on."""
+def hashed_spans(text: str, own: Words, parts: int = 2) -> np.ndarray:
+    """The first ``parts`` halves of the hash of the span from each first sentence on."""
     numbers, many = bounds(text, own)
     end = ends_of_runs(many)
-    out = np.empty((2, len(end)), np.uint64)
+    out = np.empty((parts, len(end)), np.uint64)
     if not len(end):
         return out
     start, stop = many[: len(end)], many[end]
     powers = own.weights(len(numbers))
-    for i in range(2):
+    for i in range(parts):
         sums = np.zeros(len(numbers) + 1, np.uint64)
         np.cumsum(own.hashes[i][numbers] * powers[2 * i][: len(numbers)], out=sums[1:])
         made = (sums[stop] - sums[start]) * powers[2 * i + 1][start] + (stop - start).astype(np.uint64)
@@ -212,7 +221,7 @@ def halves(docs: DataFrame) -> DataFrame:
         own = Words()
         for batch in batches:
             for part in slices(batch):
-                made = [hashed_spans(t, own)[0] for t in part.column("text").to_pylist()]
+                made = [hashed_spans(t, own, 1)[0] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], names=["h1"])
 
     return keyed_texts(docs).select("text").mapInArrow(run, "h1 long")
