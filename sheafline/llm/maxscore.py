@@ -34,12 +34,14 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sheafline.llm.common import keyed_texts, scratch_path, slices
 from sheafline.operators.ranking import first_n
@@ -51,7 +53,10 @@ BLOCK_QUERIES = 2000
 BLOCK_BYTES = 16_000_000
 #: Text that one segment of the index holds, unless a single text is longer.
 SEGMENT_BYTES = 4_000_000
-ROW_GROUP = 16 << 20
+ROW_GROUP = 4 << 20
+#: Bytes after which a batch of rows goes to Python: one row of an index, or some hundred texts.
+BATCH_BYTES = 1 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Length normalisation: a document of mean length has 100.
 FLAT, SLOPE = 75, 25
 
@@ -86,6 +91,7 @@ def norms(lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
 
 def base_impact(times: np.ndarray, norm: np.ndarray) -> np.ndarray:
     """What a posting gives for each unit of its term's weight."""
+    times = times.astype(np.int64)
     return (1_000_000_000 * times) // (1000 * times + 12 * norm)
 
 
@@ -105,7 +111,22 @@ def postings(texts: list[str]) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarra
     flat, times = np.unique(np.concatenate(keys or [lengths]), return_counts=True)
     term, doc = np.divmod(flat, n)
     starts = np.searchsorted(term, np.arange(len(known) + 1))
-    return lengths, b" ".join(known), starts, doc.astype(np.int32), times
+    return lengths, b" ".join(known), starts, doc.astype(np.int32), times.astype(np.int32)
+
+
+def segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows in segments of at most ``most`` bytes of text, or one row, whatever Arrow's batches hold."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, most):
+            more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + more > most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -113,28 +134,50 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in slices(batch, SEGMENT_BYTES):
-                lengths, terms, starts, doc, times = postings(part.column("text").to_pylist())
-                yield _row(INDEX, {
-                    "segment": segment,
-                    "row_keys": part.column("row_key").to_numpy(),
-                    "doc_ids": part.column("doc_id").to_pylist(),
-                    "lengths": lengths,
-                    "terms": terms,
-                    "starts": starts,
-                    "docs": doc,
-                    "times": times,
-                })
-                segment += 1
+        for part in segments(batches, SEGMENT_BYTES):
+            lengths, terms, starts, doc, times = postings(part.column("text").to_pylist())
+            yield _row(INDEX, {
+                "segment": segment,
+                "row_keys": part.column("row_key").to_numpy(),
+                "doc_ids": part.column("doc_id").to_pylist(),
+                "lengths": lengths,
+                "terms": terms,
+                "starts": starts,
+                "docs": doc,
+                "times": times,
+            })
+            segment += 1
 
     return _stored(keyed_texts(docs).mapInArrow(run, INDEX), "lexical-index")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python by ``BATCH_BYTES``; a session's own bound, of 64 MB, would be
+    held several times over beside the JVM's heap in each task."""
+    before = spark.conf.get(_BATCHES, None)
+    spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCHES)
+        else:
+            spark.conf.set(_BATCHES, before)
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    # a row holds megabytes: small row groups, so that neither side holds many at once
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    # a row holds megabytes: small row groups, so that neither side holds many at once; Parquet would look at
+    # their size after 100 rows at first, and take each value for one that may come again
+    size = {
+        "parquet.block.size": ROW_GROUP,
+        "parquet.page.size.row.check.min": 1,
+        "parquet.page.size.row.check.max": 1,
+        "parquet.enable.dictionary": False,
+    }
+    with small_batches(df.sparkSession):
+        df.write.options(**size).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -200,7 +243,8 @@ def frequencies(index: DataFrame, terms: set[bytes]) -> tuple[int, int, dict[byt
 
     made = index.select("lengths", "terms", "starts").mapInArrow(run, "term binary, n long")
     # a row for each term of a block of queries
-    total = {bytes(r["term"]): r["n"] for r in made.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    with small_batches(index.sparkSession):
+        total = {bytes(r["term"]): r["n"] for r in made.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return total.pop(b" docs", 0), total.pop(b" terms", 0), total
 
 
@@ -254,7 +298,8 @@ def kth_largest(values: np.ndarray, k: int) -> int:
 
 def impacts_of(row: dict, block: Block, k: int) -> dict:
     """The impact lists and pair bounds of one segment of the index."""
-    starts, doc, times = _ints(row["starts"]), _ints(row["docs"], np.int32), _ints(row["times"])
+    starts, doc = _ints(row["starts"]), _ints(row["docs"], np.int32)
+    times = _ints(row["times"], np.int32)
     norm = norms(_ints(row["lengths"]), block.n_docs, block.n_terms)
     place = {t: i for i, t in enumerate(row["terms"].split())}
     at = [place.get(t, -1) for t in block.terms]
@@ -433,8 +478,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         best = best.withColumn(
             "rank", F.row_number().over(W.partitionBy("query").orderBy(*_best_first()))
         ).join(F.broadcast(ids), "query")
-        best = best.select("item_id", "rank", "doc_id", "score")
-        found = best if found is None else found.unionByName(_stored(best, "ranked"))
+        best = _stored(best.select("item_id", "rank", "doc_id", "score"), "ranked")
+        found = best if found is None else found.unionByName(best)
     if found is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return found

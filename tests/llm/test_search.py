@@ -3,8 +3,11 @@
 import math
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,55 @@ def test_bounds_hold_and_pairs_tighten_them():
     assert sorted(score.tolist(), reverse=True)[:5] == exact[:5].tolist()
     # the lists of the frequent words are not read as a whole
     assert segment.looked_up < len(rows) / 2
+
+
+def test_rows_of_an_index_are_stored_and_read_a_few_at_a_time(spark, stored, monkeypatch):
+    monkeypatch.setattr(maxscore, "SEGMENT_BYTES", 50_000)
+    monkeypatch.setattr(maxscore, "ROW_GROUP", 200_000)
+    monkeypatch.setattr(maxscore, "BATCH_BYTES", 300_000, raising=False)
+    random = np.random.default_rng(7)
+    rows = [(i, " ".join(f"{x:06x}" for x in random.integers(0, 1 << 20, 6_000))) for i in range(40)]
+    queries = [(i, " ".join(rows[i][1].split()[:40])) for i in range(3)]
+    rows_of = maxscore._rows
+
+    def few(batches):
+        for batch in batches:
+            assert batch.num_rows == 1 or batch.nbytes < 600_000, f"{batch.num_rows} rows, {batch.nbytes} bytes"
+            yield from rows_of([batch])
+
+    monkeypatch.setattr(maxscore, "_rows", few)
+    index = maxscore.build_index(stored(rows, 1))
+    asked = spark.createDataFrame(queries, "item_id long, text string")
+    got = sorted(map(tuple, maxscore.search(index, asked, 5).collect()), key=str)
+    assert got == brute(rows, queries, 5)
+    files = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in index.inputFiles()]
+    assert sum(f.num_rows for f in files) == len(rows)
+    assert max(f.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) <= 4
+
+
+def test_a_session_keeps_its_own_bound_of_batches(spark, stored):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    table = stored([(1, "a b"), (2, "b")])
+    try:
+        for own in ("20m", None):
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            with maxscore.small_batches(spark):
+                assert spark.conf.get(key) == str(maxscore.BATCH_BYTES)
+            assert len(ask(spark, table, [(1, "b")], 20)) == 2
+            assert spark.conf.get(key, None) == own
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_segments_are_full_whatever_the_batches_hold():
+    texts = ["abcd"] * 30 + ["x" * 70, "", "", "é" * 10] + ["abcd"] * 15
+    for n in (1, 3, 100):
+        batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + n]}) for i in range(0, len(texts), n)]
+        batches.insert(1, pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))
+        made = [t.column("text").to_pylist() for t in maxscore.segments(iter(batches), 40)]
+        assert [t for part in made for t in part] == texts
+        size = [sum(len(t.encode()) for t in part) for part in made]
+        assert all(s <= 40 or len(part) == 1 for s, part in zip(size, made))
+        # 270 bytes: full ones, however small the batches
+        assert len(made) <= 10
